@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text handled by one round of numpy work; bounds the memory of a Python worker.
 SLICE_BYTES = 4 << 20
@@ -50,6 +51,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_fields(df: DataFrame, keep: list[str], ddl: str) -> StructType:
+    """The schema of ``df``'s columns ``keep`` and of the fields in ``ddl``."""
+    return StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one byte buffer and ``len + 1`` offsets; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

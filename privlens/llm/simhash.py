@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from privlens.llm.common import Words, configure, materialize, slices, utf8, xxh64
+from privlens.llm.common import Words, configure, materialize, slices, utf8, with_fields, xxh64
 from privlens.llm.components import connected_components, forest
 
 #: Residents of one shard that a level of the shared tree aims at.
@@ -60,7 +60,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
     """
     keep = df.columns if keep is None else keep
     src = df.select(*[df[c] for c in keep], df[text].alias("__text"))
-    schema = df.select(*keep).schema.add(out, "long", False)
+    schema = with_fields(df, keep, f"`{out}` long")
 
     def run(batches):
         for batch in batches:
