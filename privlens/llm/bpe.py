@@ -11,6 +11,7 @@ the lookahead is bounded by the longest token. States and transitions are made o
 from __future__ import annotations
 
 import base64
+import functools
 import re
 
 import numpy as np
@@ -24,7 +25,7 @@ from privlens.llm.common import configure, with_fields
 #: Transitions kept before the machine's memory is dropped and filled anew; bounds a worker's memory.
 MAX_TRANSITIONS = 400_000
 #: Encodings of space-delimited pieces kept by a worker, and the longest piece kept.
-MAX_PIECES, LONGEST_PIECE = 300_000, 48
+MAX_PIECES, LONGEST_PIECE = 250_000, 48
 #: A space that follows white space and does not end its run: where a text may not be cut at spaces.
 _ODD_SPACES = re.compile(r"\s (?:\s|\Z)")
 
@@ -85,7 +86,7 @@ class Transducer:
         key = (a, b)
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) > 2 * MAX_TRANSITIONS:
+            if len(self.follows) > MAX_TRANSITIONS:
                 self.follows.clear()
             known = self.follows[key] = self._merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
@@ -139,17 +140,22 @@ class PieceEncoder(dict):
 
     The split pattern never joins a space to what stands before it unless white space does, so a text
     is cut before each space; texts with other runs of white space are encoded uncut. Keys are pieces
-    without their leading space, values the bytes of the ids of ``" " + piece``.
+    without their leading space, values the bytes of the ids of ``" " + piece``. A full memory becomes the
+    old one, from which pieces still in use come back.
     """
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        made = self.encode(" " + piece)
+        made = self.old.get(piece)
+        if made is None:
+            made = self.encode(" " + piece)
         if len(piece) <= LONGEST_PIECE:
             if len(self) >= MAX_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = made
         return made
@@ -163,8 +169,9 @@ class PieceEncoder(dict):
         return (self.encode(first) if first else b"") + b"".join(map(self.__getitem__, rest))
 
 
+@functools.lru_cache(maxsize=1)
 def transducer_encoder(path: str, pattern: str) -> PieceEncoder:
-    """A :class:`PieceEncoder` over the transducer, each match of ``pattern`` encoded separately."""
+    """A :class:`PieceEncoder` over the transducer, each match of ``pattern`` encoded separately; one per worker process, kept between tasks."""
     machine, split = Transducer(load_ranks(path)), regex.compile(pattern)
 
     def encode(text: str) -> bytes:
