@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privlens.llm import bpe, media, packing, pii, simhash, toxicity, urlfilter, warc
+from privlens.llm import bpe, embeddings, media, packing, pii, simhash, substrings, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), keep=["page_id"])
 
@@ -23,8 +28,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+@functools.lru_cache(maxsize=1)
 def packing_tokens():
-    """The tokenizer of the packing query, made in a worker."""
+    """The tokenizer of the packing query, made once in a worker process and kept between its tasks."""
     return packing.TokenIds(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -55,6 +61,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -67,15 +78,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_urlfilter": op2_urlfilter,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_media": op6_media,
     "op7_pii": op7_pii,
+    "op8_substrings": op8_substrings,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_urlfilter": urlfilter.SQL, "op10_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embeddings": embeddings.SQL, "op2_urlfilter": urlfilter.SQL, "op8_substrings": substrings.SQL, "op10_warc": warc.SQL}
 

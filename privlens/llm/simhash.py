@@ -170,3 +170,21 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     low = of.groupBy("root").agg(F.min("low").alias("component_id"))
     named = of.join(low, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
+    """One row of every group of near-duplicates: the one with the smallest id (nulls last; of equal ids, one).
+
+    Groups are connected through fingerprints of ``shingle``-word shingles at most ``radius`` bits apart.
+    Rows are numbered and written once, so that the surviving numbers mean the same rows when read again.
+    """
+    configure(df.sparkSession)
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    src = rows.select("__row", F.col(id_col).alias("id"), F.col(text).alias("text"))
+    marked = materialize(with_fingerprint(src, "text", "fp", shingle, ["__row", "id"]), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first")
+    classes = materialize(marked.groupBy("fp").agg(first), "classes")
+    roots = connected_components(fingerprint_links(classes, radius))
+    of = classes.join(roots, classes.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stay = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").drop("__row")
