@@ -79,7 +79,7 @@ def report(spark: SparkSession, data: cf.DataConfig, anonymization: cf.Anonymiza
     released = released.persist()
     names = [F.lit(anonymization.name).alias("anon_name"), F.lit(data.name).alias("dataset_name")]
     g = cl.granularity(released, df, levels, hierarchies)
-    e = cl.nonuniform_entropy(released, df, "row_id", levels)
+    e = cl.nonuniform_entropy(released, df, "row_id", levels, hierarchies)
     dataset = cl.dataset_metrics(released, df, "row_id", list(levels), levels, hierarchies)
     tb.write_report(dataset.select(*names, "*"), g.join(e, "attribute").select(*names, "*"), f"{out}/report")
     cf.write_config(anonymization, Path(out) / "configs" / f"{anonymization.name}_{data.name}.yaml")

@@ -87,27 +87,27 @@ def granularity(released: DataFrame, original: DataFrame, levels: Mapping[str, i
     return out
 
 
-def nonuniform_entropy(released: DataFrame, original: DataFrame, key: str, levels: Mapping[str, int], by: Sequence[str] = ()) -> DataFrame:
+def nonuniform_entropy(released: DataFrame, original: DataFrame, key: str, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], by: Sequence[str] = ()) -> DataFrame:
     """``(by, attribute, entropy)``: 1 minus the information lost over the information there was.
 
     A cell loses ``-log2(f(value) / f(label))``, where ``f(label)`` counts the original records that the label
     covers; a suppressed cell's label covers all. The original holds ``-sum log2(f(value) / n)``; where that is
-    zero the score is 1.
+    zero the score is 1. Only counts per value go through the hierarchy.
     """
     out = None
     flag = F.col(SUPPRESSED) if SUPPRESSED in released.columns else F.lit(False)
-    for name in levels:
-        mine = released.select(*by, key, flag.alias("s"), F.col(name).cast("string").alias("label"))
-        both = mine.join(original.select(key, F.col(name).cast("string").alias("value")), key)
-        pairs = both.groupBy(*by, "s", "label", "value").agg(F.count("*").alias("c"))
-        values = pairs.groupBy(*by, "value").agg(F.sum("c").alias("fv"))
+    group = lambda *more: [*by, *more]
+    for name, level in levels.items():
+        both = released.select(*by, key, flag.alias("s")).join(original.select(key, F.col(name).alias("value")), key)
+        values = both.groupBy(*group("value")).agg(F.count("*").alias("fv"), F.sum(F.col("s").cast("long")).alias("gone"))
+        values = hierarchies[name].attach(values, level, "label", "value")
+        labels = values.groupBy(*group("label")).agg(F.sum("fv").alias("fl"))
         whole = values.groupBy(*by).agg(F.sum("fv").alias("n"))
-        # a label covers the records of all values that map to it, released or not
-        covers = pairs.where(~F.col("s")).select(*by, "label", "value").distinct().join(values, [*by, "value"]).groupBy(*by, "label").agg(F.sum("fv").alias("fl"))
-        lost = pairs.join(values, [*by, "value"]).join(covers, [*by, "label"], "left")
-        lost = lost.join(whole, list(by)) if by else lost.crossJoin(F.broadcast(whole))
-        under = F.when(F.col("s"), F.col("n")).otherwise(F.col("fl"))
-        sums = lost.groupBy(*by).agg(F.sum(F.col("c") * -F.log2(F.col("fv") / under)).alias("lost"), F.sum(F.col("c") * -F.log2(F.col("fv") / F.col("n"))).alias("had"))
+        cells = values.join(labels, group("label"))
+        cells = cells.join(whole, list(by)) if by else cells.crossJoin(F.broadcast(whole))  # one row
+        fv, lose = F.col("fv"), lambda under: -F.log2(F.col("fv") / under)
+        lost = (fv - F.col("gone")) * lose(F.col("fl")) + F.col("gone") * lose(F.col("n"))
+        sums = cells.groupBy(*by).agg(F.sum(lost).alias("lost"), F.sum(fv * lose(F.col("n"))).alias("had"))
         part = sums.select(*by, F.lit(name).alias("attribute"), (1.0 - F.coalesce(ratio(F.col("lost"), F.col("had")), F.lit(0.0))).alias("entropy"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -149,7 +149,7 @@ def dataset_metrics(released: DataFrame, original: DataFrame, key: str, qis: Seq
     classes = equivalence_classes(released, qis)
     stats = class_statistics(released, qis).select("max_class_size", "avg_class_size", "min_class_size", "suppressed_records")
     g = granularity(released, original, levels, hierarchies).agg(F.avg("granularity").alias("granularity"))
-    e = nonuniform_entropy(released, original, key, levels).agg(F.avg("entropy").alias("nonuniform_entropy"))
+    e = nonuniform_entropy(released, original, key, levels, hierarchies).agg(F.avg("entropy").alias("nonuniform_entropy"))
     d = discernibility(released, qis).select("discernibility")
     out = reidentification_risk(classes)
     for one_row in (stats, g, e, d):

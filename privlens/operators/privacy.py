@@ -10,8 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,11 +40,9 @@ def class_grid(df: DataFrame, qis: Sequence[str], sensitive: str, by: Sequence[s
     # classes times the sensitive domain, the definition's own grid; both sides are aggregates
     grid = sizes.join(domain, list(by)) if by else sizes.crossJoin(domain)
     keys = [*by, *qis, "s"]
-    same = [grid[k].eqNullSafe(counts[k]) for k in keys]
-    from functools import reduce
-
-    joined = grid.join(counts, reduce(lambda a, b: a & b, same), "left")
-    return joined.select(*[grid[k] for k in keys], grid["size"], ratio(F.coalesce(counts["n"], F.lit(0)), grid["size"]).alias("p"), grid["q"])
+    found = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("n").alias("__n"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return grid.join(found, same, "left").select(*keys, "size", ratio(F.coalesce("__n", F.lit(0)), F.col("size")).alias("p"), "q")
 
 
 def k_anonymity(df: DataFrame, qis: Sequence[str], k: int, by: Sequence[str] = ()) -> DataFrame:
@@ -163,11 +162,9 @@ def safepub(df: DataFrame, key: str, qis: Sequence[str], epsilon: float, delta:
     beta, k = safepub_beta(epsilon), safepub_k(epsilon, delta)
     unit = F.conv(F.substring(seeded_order(seed, "dp", F.col(key)), 1, 12), 16, 10).cast("double") / float(16**12)
     drawn = df.withColumn("is_sampled", unit < beta)
-    sizes = drawn.where("is_sampled").groupBy(*qis).agg(F.count("*").alias("__n"))
-    from functools import reduce
-
-    on = reduce(lambda a, b: a & b, [drawn[q].eqNullSafe(sizes[q]) for q in qis])
-    out = drawn.join(sizes, on, "left").select(*[drawn[c] for c in drawn.columns], sizes["__n"])
+    sizes = drawn.where("is_sampled").groupBy(*[F.col(q).alias(f"__k{i}") for i, q in enumerate(qis)]).agg(F.count("*").alias("__n"))
+    on = reduce(lambda a, b: a & b, [F.col(q).eqNullSafe(F.col(f"__k{i}")) for i, q in enumerate(qis)])
+    out = drawn.join(sizes, on, "left").select(*drawn.columns, "__n")
     return out.withColumn(SUPPRESSED, ~(F.col("is_sampled") & (F.coalesce("__n", F.lit(0)) >= k))).drop("__n")
 
 
@@ -333,7 +330,3 @@ def satisfied(df: DataFrame, qis: Sequence[str], models: Sequence[Model], sensit
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy(*by, *qis).agg(F.bool_and("ok").alias("ok")) if len(parts) > 1 else out
-
-
-def _unused(c: Column) -> Column:
-    return c

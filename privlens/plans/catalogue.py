@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privlens.functions.scalar import r6, three_decimals
+from privlens.functions.scalar import r6
 from privlens.operators import classes as cl
 from privlens.operators import classify, features, hierarchy, privacy, recode, sampling, schema, search, targets
 from privlens.operators.hierarchy import Hierarchy
@@ -401,7 +401,7 @@ def _ent_sql(a: str, level: str) -> str:
 
 @query(f"WITH {_KSUP} " + " UNION ALL ".join(_ent_sql(a, e[1]) for a, e in (("p_brand", _B), ("p_type", _T), ("p_size", _S))))
 def nonuniform_entropy(spark, sf):
-    return rounded(cl.nonuniform_entropy(released(spark, sf), part(spark, sf), "p_partkey", LEVELS))
+    return rounded(cl.nonuniform_entropy(released(spark, sf), part(spark, sf), "p_partkey", LEVELS, part_hierarchies()))
 
 
 @query(
@@ -586,7 +586,7 @@ def feature_ensemble(spark, sf):
 
 @query(
     """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
-d AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.x, t.x), p -> (p[1] - p[2]) * (p[1] - p[2]))), t.vec_id) AS r FROM e q JOIN e t ON q.vec_id % 2 = 1 AND t.vec_id % 2 = 0),
+d AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.x, t.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), t.vec_id) AS r FROM e q JOIN e t ON q.vec_id % 2 = 1 AND t.vec_id % 2 = 0),
 v AS (SELECT vec_id, label, count(*) AS n FROM d WHERE r <= 5 GROUP BY 1, 2)
 SELECT vec_id, arg_max(label, n * 100000 - label) AS predicted, round(max(n) / 5.0, 6) AS confidence FROM v GROUP BY 1"""
 )
@@ -600,8 +600,8 @@ _PLAN = pa.Assessment(runs=2, train=3, test=2)
 
 @query(
     """WITH t AS (SELECT CAST(c_custkey AS BIGINT) AS target_id, row_number() OVER (ORDER BY c_custkey) - 1 AS t, count(*) OVER () AS nt FROM customer WHERE c_custkey < 6),
-e(at, phase, k, target_in) AS (VALUES (0, 'train', 0, false), (1, 'train', 0, true), (2, 'train', 1, false), (3, 'train', 1, true), (4, 'train', 2, false), (5, 'train', 2, true), (6, 'test', 0, false), (7, 'test', 0, true), (8, 'test', 1, false), (9, 'test', 1, true))
-SELECT CAST((r.run_id * nt + t) * 10 + at AS BIGINT) AS sample_id, CAST(r.run_id AS INT) AS run_id, target_id, phase, CAST(k AS INT) AS k, target_in FROM range(2) r(run_id), t, e"""
+e(pos, phase, k, target_in) AS (VALUES (0, 'train', 0, false), (1, 'train', 0, true), (2, 'train', 1, false), (3, 'train', 1, true), (4, 'train', 2, false), (5, 'train', 2, true), (6, 'test', 0, false), (7, 'test', 0, true), (8, 'test', 1, false), (9, 'test', 1, true))
+SELECT CAST((r.run_id * nt + t) * 10 + pos AS BIGINT) AS sample_id, CAST(r.run_id AS INT) AS run_id, target_id, phase, CAST(k AS INT) AS k, target_in FROM range(2) r(run_id), t, e"""
 )
 def job_plan(spark, sf):
     return pa.job_plan(customers(spark, sf).where("c_custkey < 6"), "c_custkey", _PLAN)
@@ -646,5 +646,3 @@ def attack_knn(spark, sf):
 def utility_logreg(spark, sf):
     return rounded(classify.utility_accuracy(released(spark, sf), ["p_brand", "p_size"], "p_type", key="p_partkey"))
 
-
-_ = three_decimals
