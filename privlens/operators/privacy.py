@@ -25,24 +25,24 @@ EPS = 1e-9
 
 
 def value_counts(df: DataFrame, qis: Sequence[str], sensitive: str, by: Sequence[str] = ()) -> DataFrame:
-    """``(by, qis, s, n)``: how often each sensitive value occurs in each class of live rows."""
-    return live_rows(df).groupBy(*by, *qis, F.col(sensitive).cast("string").alias("s")).agg(F.count("*").alias("n"))
+    """``(by, qis, __s, __n)``: how often each sensitive value occurs in each class of live rows."""
+    return live_rows(df).groupBy(*by, *qis, F.col(sensitive).cast("string").alias("__s")).agg(F.count("*").alias("__n"))
 
 
 def class_grid(df: DataFrame, qis: Sequence[str], sensitive: str, by: Sequence[str] = ()) -> DataFrame:
-    """``(by, qis, s, size, p, q)`` for every class and every value of the table's domain; values missing from a class have ``p = 0``."""
+    """``(by, qis, __s, __size, __p, __q)`` for every class and every value of the table's domain; values missing from a class have ``__p = 0``."""
     counts = value_counts(df, qis, sensitive, by)
-    sizes = counts.groupBy(*by, *qis).agg(F.sum("n").alias("size"))
-    domain = counts.groupBy(*by, "s").agg(F.sum("n").alias("m"))
-    total = domain.groupBy(*by).agg(F.sum("m").alias("rows"))
+    sizes = counts.groupBy(*by, *qis).agg(F.sum("__n").alias("__size"))
+    domain = counts.groupBy(*by, "__s").agg(F.sum("__n").alias("__m"))
+    total = domain.groupBy(*by).agg(F.sum("__m").alias("__rows"))
     domain = domain.join(total, list(by)) if by else domain.crossJoin(F.broadcast(total))  # one row
-    domain = domain.select(*by, "s", ratio(F.col("m"), F.col("rows")).alias("q"))
+    domain = domain.select(*by, "__s", ratio(F.col("__m"), F.col("__rows")).alias("__q"))
     # classes times the sensitive domain, the definition's own grid; both sides are aggregates
     grid = sizes.join(domain, list(by)) if by else sizes.crossJoin(domain)
-    keys = [*by, *qis, "s"]
-    found = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("n").alias("__n"))
+    keys = [*by, *qis, "__s"]
+    found = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__n").alias("__found"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-    return grid.join(found, same, "left").select(*keys, "size", ratio(F.coalesce("__n", F.lit(0)), F.col("size")).alias("p"), "q")
+    return grid.join(found, same, "left").select(*keys, "__size", ratio(F.coalesce("__found", F.lit(0)), F.col("__size")).alias("__p"), "__q")
 
 
 def k_anonymity(df: DataFrame, qis: Sequence[str], k: int, by: Sequence[str] = ()) -> DataFrame:
@@ -50,14 +50,14 @@ def k_anonymity(df: DataFrame, qis: Sequence[str], k: int, by: Sequence[str] = (
 
 
 def distinct_l_diversity(df: DataFrame, qis: Sequence[str], sensitive: str, l: int, by: Sequence[str] = ()) -> DataFrame:  # noqa: E741
-    counts = value_counts(df, qis, sensitive, by).groupBy(*by, *qis).agg(F.sum("n").alias("class_size"), F.count("s").alias("n_distinct"))
+    counts = value_counts(df, qis, sensitive, by).groupBy(*by, *qis).agg(F.sum("__n").alias("class_size"), F.count("__s").alias("n_distinct"))
     return counts.withColumn("ok", F.col("n_distinct") >= l)
 
 
 def entropy_l_diversity(df: DataFrame, qis: Sequence[str], sensitive: str, l: float, by: Sequence[str] = ()) -> DataFrame:  # noqa: E741
     """Entropy of the class as ``ln(size) - sum(n ln n) / size``, at least ``ln l``."""
-    n = F.col("n").cast("double")
-    sums = value_counts(df, qis, sensitive, by).groupBy(*by, *qis).agg(F.sum("n").alias("class_size"), F.sum(n * F.ln(n)).alias("nln"))
+    n = F.col("__n").cast("double")
+    sums = value_counts(df, qis, sensitive, by).groupBy(*by, *qis).agg(F.sum("__n").alias("class_size"), F.sum(n * F.ln(n)).alias("nln"))
     sums = sums.withColumn("entropy", F.ln(F.col("class_size").cast("double")) - F.col("nln") / F.col("class_size")).drop("nln")
     return sums.withColumn("ok", F.col("entropy") >= math.log(l) - EPS)
 
@@ -65,25 +65,25 @@ def entropy_l_diversity(df: DataFrame, qis: Sequence[str], sensitive: str, l: fl
 def t_closeness_equal(df: DataFrame, qis: Sequence[str], sensitive: str, t: float, by: Sequence[str] = ()) -> DataFrame:
     """Equal ground distance: half the sum of ``|p - q|``."""
     g = class_grid(df, qis, sensitive, by)
-    out = g.groupBy(*by, *qis).agg(F.first("size").alias("class_size"), (F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("emd"))
+    out = g.groupBy(*by, *qis).agg(F.first("__size").alias("class_size"), (F.sum(F.abs(F.col("__p") - F.col("__q"))) / 2).alias("emd"))
     return out.withColumn("ok", F.col("emd") <= t + EPS)
 
 
 def t_closeness_hierarchical(df: DataFrame, qis: Sequence[str], sensitive: str, hierarchy: Hierarchy, t: float, by: Sequence[str] = ()) -> DataFrame:
     """Hierarchical ground distance: over inner nodes, ``height / H * min(positive extras, negative extras)`` of the children."""
     keys = [*by, *qis]
-    g = class_grid(df, qis, sensitive, by).withColumn("extra", F.col("p") - F.col("q"))
+    g = class_grid(df, qis, sensitive, by).withColumn("__extra", F.col("__p") - F.col("__q"))
     height = hierarchy.height
     # a node is its label together with all labels above it, since labels recur across levels
-    path = lambda level: F.concat_ws("\u001f", *[hierarchy.label(F.col("s"), i) for i in range(level, height + 1)])
+    path = lambda level: F.concat_ws("\u001f", *[hierarchy.label(F.col("__s"), i) for i in range(level, height + 1)])
     cost = None
     for level in range(1, height + 1):
         child, node = path(level - 1), path(level)
-        children = g.groupBy(*keys, child.alias("c"), node.alias("v")).agg(F.sum("extra").alias("x"))
-        nodes = children.groupBy(*keys, "v").agg(F.sum(F.greatest("x", F.lit(0.0))).alias("pos"), F.sum(F.greatest(-F.col("x"), F.lit(0.0))).alias("neg"))
-        part = nodes.groupBy(*keys).agg((F.sum(F.least("pos", "neg")) * (level / height)).alias("cost"))
+        children = g.groupBy(*keys, child.alias("__c"), node.alias("__v")).agg(F.sum("__extra").alias("__x"))
+        nodes = children.groupBy(*keys, "__v").agg(F.sum(F.greatest("__x", F.lit(0.0))).alias("__pos"), F.sum(F.greatest(-F.col("__x"), F.lit(0.0))).alias("__neg"))
+        part = nodes.groupBy(*keys).agg((F.sum(F.least("__pos", "__neg")) * (level / height)).alias("cost"))
         cost = part if cost is None else cost.unionByName(part)
-    sizes = g.groupBy(*keys).agg(F.first("size").alias("class_size"))
+    sizes = g.groupBy(*keys).agg(F.first("__size").alias("class_size"))
     out = cost.groupBy(*keys).agg(F.sum("cost").alias("emd"))
     return sizes.join(out, keys).withColumn("ok", F.col("emd") <= t + EPS)
 
@@ -91,15 +91,15 @@ def t_closeness_hierarchical(df: DataFrame, qis: Sequence[str], sensitive: str,
 def d_disclosure(df: DataFrame, qis: Sequence[str], sensitive: str, d: float, by: Sequence[str] = ()) -> DataFrame:
     """``|ln(p / q)| < d`` for every value of the domain; a missing value violates."""
     g = class_grid(df, qis, sensitive, by)
-    fine = F.when(F.col("p") > 0, F.abs(F.ln(F.col("p") / F.col("q"))) < d - EPS).otherwise(F.lit(False))
-    return g.groupBy(*by, *qis).agg(F.first("size").alias("class_size"), F.bool_and(fine).alias("ok"))
+    fine = F.when(F.col("__p") > 0, F.abs(F.ln(F.col("__p") / F.col("__q"))) < d - EPS).otherwise(F.lit(False))
+    return g.groupBy(*by, *qis).agg(F.first("__size").alias("class_size"), F.bool_and(fine).alias("ok"))
 
 
 def enhanced_b_likeness(df: DataFrame, qis: Sequence[str], sensitive: str, b: float, by: Sequence[str] = ()) -> DataFrame:
     """``(p - q) / q <= min(b, -ln q)`` wherever ``p > q``."""
-    p, q = F.col("p"), F.col("q")
+    p, q = F.col("__p"), F.col("__q")
     over = F.when(p > q, (p - q) / q - F.least(F.lit(float(b)), -F.ln(q))).otherwise(F.lit(0.0))
-    out = class_grid(df, qis, sensitive, by).groupBy(*by, *qis).agg(F.first("size").alias("class_size"), F.max(over).alias("excess"))
+    out = class_grid(df, qis, sensitive, by).groupBy(*by, *qis).agg(F.first("__size").alias("class_size"), F.max(over).alias("excess"))
     return out.withColumn("ok", F.col("excess") <= EPS)
 
 
