@@ -91,7 +91,7 @@ def test_diversity_and_closeness(spark):
     near = Hierarchy("s", [("x", "g", "*"), ("y", "g", "*"), ("z", "g", "*")])
     assert {r["q"]: r["emd"] for r in privacy.t_closeness_hierarchical(df, ["q"], "s", near, 0.2).collect()}["a"] == pytest.approx(0.125)
     assert ok(privacy.d_disclosure(df, ["q"], "s", 1.0)) == {"a": True, "b": False}
-    assert ok(privacy.enhanced_b_likeness(df, ["q"], "s", 2.0)) == {"a": False, "b": True}
+    assert ok(privacy.enhanced_b_likeness(df, ["q"], "s", 2.0)) == {"a": True, "b": False}
 
 
 def test_average_risk_drops_the_smallest_classes(spark):
