@@ -21,8 +21,8 @@ from privlens.llm.common import Words, configure, slices, utf8, with_fields, xxh
 
 #: Most labelled examples of each class that the index holds; the sample is drawn by a hash of the id.
 MAX_EXAMPLES = 3000
-#: Most terms of the vocabulary, least examples a term occurs in, and least chi-squared statistic.
-MAX_TERMS, LEAST_EXAMPLES, LEAST_CHI2 = 1500, 4, 12.0
+#: Most terms of the vocabulary, least examples a term occurs in, least chi-squared statistic, and how many times as often a term occurs in one class as in the other: weak terms become significant as examples grow, without telling the classes apart.
+MAX_TERMS, LEAST_EXAMPLES, LEAST_CHI2, LEAST_RATIO = 1500, 4, 12.0, 3.0
 NEIGHBOURS = 25
 THRESHOLD = 0.7
 #: Postings in a block.
@@ -128,7 +128,7 @@ class BlockMaxIndex:
         rest = np.concatenate((np.cumsum(bound[::-1])[::-1], [0.0]))
         sums = np.zeros(self.n)
         k = min(k, self.n)
-        floor = 0.0
+        floor, look = 0.0, 1
         for j, (s, w) in enumerate(zip(slots.tolist(), weights.tolist())):
             ids, ws = self.ids[s], self.weights[s]
             if not len(ids):
@@ -141,17 +141,17 @@ class BlockMaxIndex:
                     on = np.repeat(go, BLOCK)[: len(ids)]
                     ids, ws = ids[on], ws[on]
             sums[ids] += w * ws
-            if self.n > k:
-                floor = max(floor, float(np.partition(sums, self.n - k)[self.n - k]))
-        best = np.lexsort((np.arange(self.n), -np.round(sums, 12)))[:k] if self.n <= 4 * k else self._best(sums, k)
+            if self.n > k and j + 1 >= look:
+                # any earlier k-th best is a valid bound: it is looked up after 1, 4, 16, ... slots
+                floor, look = max(floor, float(np.partition(sums, self.n - k)[self.n - k])), 4 * look
+        best = self._best(sums, k)
         return best, np.minimum(sums[best], 1.0)
 
     @staticmethod
     def _best(sums: np.ndarray, k: int) -> np.ndarray:
-        r = np.round(sums, 12)
-        edge = np.partition(r, len(r) - k)[len(r) - k]
-        on = np.flatnonzero(r >= edge)
-        return on[np.lexsort((on, -r[on]))][:k]
+        edge = np.partition(sums, len(sums) - k)[len(sums) - k]
+        on = np.flatnonzero(sums >= edge - 1e-11)
+        return on[np.lexsort((on, -np.round(sums[on], 12)))][:k]
 
 
 @dataclass
@@ -226,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     n = float(pos + neg)
     cross = p * (neg - q) - q * (pos - p)
     chi2 = F.try_divide(F.lit(n) * cross * cross, F.lit(float(pos)) * F.lit(float(neg)) * (p + q) * (F.lit(n) - p - q))
-    picked = terms.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).where((F.col("p") + F.col("q") >= LEAST_EXAMPLES) & (F.col("chi2") >= LEAST_CHI2))
+    odds = F.abs(F.ln((p + 0.5) / (pos + 1.0)) - F.ln((q + 0.5) / (neg + 1.0)))
+    picked = terms.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).where((F.col("p") + F.col("q") >= LEAST_EXAMPLES) & (F.col("chi2") >= LEAST_CHI2) & (odds >= float(np.log(LEAST_RATIO))))
     hashes = np.sort(np.array([r["hash"] for r in picked.orderBy(F.desc("chi2"), "hash").limit(MAX_TERMS).select("hash").collect()], np.int64).view(np.uint64))
     vocabulary = Vocabulary(hashes, np.ones(len(hashes)))
     counted = docs.select(docs[text].alias("text")).mapInArrow(_frequencies(vocabulary), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
