@@ -112,3 +112,32 @@ class CheckpointStore:
     def remaining(self, jobs: DataFrame, kind: str, on: Sequence[str] = ("run_id", "target_id")) -> DataFrame:
         done = self.load(kind)
         return jobs if done is None else jobs.join(done.select(*on).distinct(), list(on), "left_anti")
+
+
+#: Columns of the series summary, in order; two keep the spelling that readers of such files expect.
+SERIES_COLUMNS = ("TestName", "RiskConfig", "DataConfig", "AnonConfig", "FeartureType", "Classifier", "Targets", "Runs", "MeanAccuracy", "CgfsFile")
+
+
+def write_series_summary(rows: DataFrame, path: str) -> None:
+    """Append one row per finished assessment of a series."""
+    write_csv(rows.select(*SERIES_COLUMNS), path, mode="append", single=True)
+
+
+def statistics_properties(row: dict) -> str:
+    """A record of statistics as ``key=value`` lines in order of key; missing values are written as ``NaN``."""
+    return "".join(f"{k}={'NaN' if v is None else v}\n" for k, v in sorted(row.items()))
+
+
+def read_statistics_properties(text: str) -> dict:
+    """The record written by :func:`statistics_properties`: numbers as floats, ``NaN`` as None, the rest as text."""
+    out = {}
+    for line in text.splitlines():
+        key, eq, value = line.partition("=")
+        if not eq or line.startswith("#"):
+            continue
+        try:
+            number = float(value)
+            out[key] = None if number != number else number
+        except ValueError:
+            out[key] = value
+    return out

@@ -275,3 +275,15 @@ def test_checkpoint_store(spark, tmp_path):
     store.save("results", jobs.where("run_id = 0").withColumn("v", F.lit(1.0)))
     assert [tuple(r) for r in store.remaining(jobs, "results").collect()] == [(1, 1)]
     assert store.load("results").count() == 2
+
+
+def test_sinks(spark, tmp_path):
+    text = tb.statistics_properties({"b": 2.5, "a": None, "c": "{}"})
+    assert text == "a=NaN\nb=2.5\nc={}\n" and tb.read_statistics_properties(text) == {"a": None, "b": 2.5, "c": "{}"}
+    row = spark.createDataFrame([tuple(map(str, range(10)))], ", ".join(f"{c} string" for c in tb.SERIES_COLUMNS))
+    for _ in range(2):
+        tb.write_series_summary(row, str(tmp_path / "series"))
+    assert tb.read_csv(spark, str(tmp_path / "series")).count() == 2
+    df = spark.createDataFrame([(0, "NULL", ""), (1, "x", "y")], "row_id long, a string, b string")
+    tb.write_release(df, str(tmp_path / "csv"), as_csv=True)
+    assert sorted(map(tuple, tb.read_csv(spark, str(tmp_path / "csv")).collect())) == [("0", "NULL", ""), ("1", "x", "y")]
