@@ -99,12 +99,13 @@ def risk_assessment(spark: SparkSession, risk: cf.RiskAssessmentConfig, data: cf
     numeric = {s.name: (s.minimum, s.maximum) for s in specs if s.name in qis and s.data_type is not schema.DataType.CATEGORICAL}
     done = []
     for kind in risk.featureTypes:
+        started = datetime.now(UTC)
         plan = pa.Assessment(
             risk.runCount, risk.runTrainingCount, risk.runTestCount,
             _size(n, risk.cohortFraction, risk.cohortSize), _size(n, risk.backgroundFraction, risk.backgroundSize), risk.sampleSize or _size(n, risk.cohortFraction, risk.cohortSize) // 2,
-            risk.overlap, kind, risk.classifierType, risk.seed,
+            risk.sampleSizeTest, risk.overlap, kind, risk.classifierType, risk.seed,
         )
-        stamp = datetime.now(UTC).strftime("%Y%m%d_%H%M")
+        stamp = started.strftime("%Y%m%d_%H%M")
         title = "_".join(filter(None, [stamp, name, risk.name, data.name, anonymization.name, kind]))
         guesses = pa.assess(df, "row_id", picked.select("row_id"), levels, hierarchies, anonymization.models(hierarchies), numeric, plan, schema.sensitive_attributes(specs)).persist()
         accuracy = pa.attack_accuracy(guesses, targets.distances(df, "row_id", qis), "row_id", plan.runs, plan.test)
@@ -112,6 +113,8 @@ def risk_assessment(spark: SparkSession, risk: cf.RiskAssessmentConfig, data: cf
         tb.write_csv(guesses, f"{out}/{title}_log", mode="append")
         cf.write_config(risk, Path(out) / f"{title}_cfgs.yml")
         guesses.unpersist()
+        row = (title, stamp, datetime.now(UTC).strftime("%Y%m%d_%H%M"), risk.name, data.name, anonymization.name, kind, f"{title}_log", f"{title}_summary", f"{title}_cfgs.yml")
+        tb.write_series_summary(spark.createDataFrame([row], ", ".join(f"{c} string" for c in tb.SERIES_COLUMNS)), f"{out}/{name or 'series'}")
         done.append(title)
     return done
 

@@ -26,7 +26,7 @@ from privlens.operators.schema import dictionary, distinct_values
 
 @dataclass(frozen=True)
 class Assessment:
-    """What an assessment varies; sizes are rows."""
+    """What an assessment varies; sizes are rows. ``sample`` is a training sample's size, ``sample_test`` a test sample's (0: the same)."""
 
     runs: int = 1
     train: int = 1
@@ -34,6 +34,7 @@ class Assessment:
     cohort: int = 100
     background: int = 100
     sample: int = 50
+    sample_test: int = 0
     overlap: float = 0.0
     features: str = "HISTOGRAM"
     classifier: str = "RF"
@@ -92,7 +93,7 @@ def membership(df: DataFrame, key: str, jobs: DataFrame, plan: Assessment, rows:
     candidates = draws.join(pools, ["run_id", "phase"]).where(F.col(key) != F.col("target_id"))
     stream = F.concat_ws(":", F.lit("draw"), "run_id", "target_id", "phase", "k", F.col(key).cast("string"))
     w = Window.partitionBy("run_id", "target_id", "phase", "k").orderBy("__o", key)
-    drawn = candidates.withColumn("__o", seeded_order(plan.seed, "sample", stream)).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= plan.sample)
+    drawn = candidates.withColumn("__o", seeded_order(plan.seed, "sample", stream)).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.when(F.col("phase") == "train", plan.sample).otherwise(plan.sample_test or plan.sample))
     last = F.max("__r").over(Window.partitionBy("run_id", "target_id", "phase", "k"))
     drawn = drawn.withColumn("__last", F.col("__r") == last)
     pair = jobs.select("sample_id", "run_id", "target_id", "phase", "k", "target_in")

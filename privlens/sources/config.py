@@ -25,9 +25,32 @@ def _load(path: str | Path) -> dict:
     return yaml.safe_load(text) or {}
 
 
+#: Other spellings of keys that configuration files may use, by the field they fill.
+ALIASES = {
+    "attributeType": ("type",),
+    "hierarchy": ("pathToHierarchy",),
+    "minGeneralization": ("minLevelToUse",),
+    "maxGeneralization": ("maxLevelToUse",),
+    "algorithm": ("anonymizationAlgorithm",),
+    "targetFile": ("targetImportFile",),
+    "sampleSize": ("sizeSampleTraining",),
+    "sampleSizeTest": ("sizeSampleTest",),
+    "cohortSize": ("sizeCohort",),
+    "cohortFraction": ("sizeCohortFraction",),
+    "backgroundSize": ("sizeBackground",),
+    "backgroundFraction": ("sizeBackgroundFraction",),
+    "attributesForAttackType": ("attributesForAttack",),
+    "features": ("featureAttributes",),
+    "target": ("targetAttribute",),
+}
+
+
 def _known(cls, raw: Mapping) -> dict:
+    """The entries of ``raw`` that ``cls`` has fields for, by either spelling; empty values keep the default."""
+    raw = {k: v for k, v in raw.items() if v is not None}
     names = {f.name for f in fields(cls)}
-    return {k: v for k, v in raw.items() if k in names}
+    found = {n: raw[a] for n in names for a in ALIASES.get(n, ()) if a in raw}
+    return found | {k: v for k, v in raw.items() if k in names}
 
 
 @dataclass
@@ -49,15 +72,17 @@ class AttributeConfig:
     minGeneralization: int | None = None
     maxGeneralization: int | None = None
     microAggregation: MicroAggregation | None = None
+    min: float | None = None
+    max: float | None = None
+    possibleEntries: list[str] = field(default_factory=list)
 
     @classmethod
     def parse(cls, raw: Mapping) -> AttributeConfig:
         raw = dict(raw)
-        for alias, name in (("min", "minGeneralization"), ("max", "maxGeneralization"), ("pathToHierarchy", "hierarchy"), ("type", "attributeType"), ("microAggregationFunction", "microAggregation")):
-            if alias in raw and name not in raw:
-                raw[name] = raw[alias]
         micro = raw.get("microAggregation")
-        if isinstance(micro, str):
+        if micro is None and raw.get("useMicroAggregation"):
+            raw["microAggregation"] = MicroAggregation(str(raw.get("microAggregationFunction", "ARITHMETIC_MEAN")), bool(raw.get("performClustering", True)), bool(raw.get("ignoreMissingData", True)))
+        elif isinstance(micro, str):
             raw["microAggregation"] = MicroAggregation(micro, bool(raw.get("performClustering", False)), bool(raw.get("ignoreMissingData", True)))
         elif isinstance(micro, Mapping):
             raw["microAggregation"] = MicroAggregation(**_known(MicroAggregation, micro))
@@ -68,7 +93,11 @@ class AttributeConfig:
         micro = self.microAggregation
         if micro:
             more |= {"micro_aggregation": micro.function, "perform_clustering": micro.performClustering, "ignore_missing": micro.ignoreMissingData}
-        return AttributeSpec.of(self.name, self.dataType, self.attributeType, include=self.include, min_level=self.minGeneralization, max_level=self.maxGeneralization, **more)
+        return AttributeSpec.of(self.name, self.dataType, self.attributeType, include=self.include, min_level=self.minGeneralization, max_level=self.maxGeneralization, minimum=self._number(self.min), maximum=self._number(self.max), possible_entries=tuple(map(str, self.possibleEntries)), **more)
+
+    @staticmethod
+    def _number(value) -> float | None:
+        return None if value is None else float(value)
 
     def read_hierarchy(self) -> Hierarchy | None:
         numeric = self.dataType == "continuous"
@@ -132,6 +161,8 @@ class RiskAssessmentConfig:
     targetType: str = "OUTLIER"
     targetCount: int = 10
     targetFile: str | None = None
+    useCheckpointData: bool = False
+    pathToCheckpointData: str | None = None
     runCount: int = 1
     runTrainingCount: int = 1
     runTestCount: int = 1
@@ -140,6 +171,7 @@ class RiskAssessmentConfig:
     backgroundSize: float = 0
     backgroundFraction: float = 0.0
     sampleSize: int = 0
+    sampleSizeTest: int = 0
     overlap: float = 0.0
     featureTypes: list[str] = field(default_factory=lambda: ["HISTOGRAM"])
     classifierType: str = "RF"
@@ -176,7 +208,7 @@ def read_hierarchy_rows(path: str | Path) -> list[tuple[str, ...]]:
 def read_data_config(path: str | Path) -> DataConfig:
     raw = _load(path)
     attributes = raw.get("attributes") or raw.get("attributeConfigs") or []
-    return DataConfig(str(raw.get("path") or raw.get("pathToData") or raw.get("dataFile") or ""), [AttributeConfig.parse(a) for a in attributes], str(raw.get("name") or Path(path).stem))
+    return DataConfig(str(raw.get("path") or raw.get("dataCsvFile") or ""), [AttributeConfig.parse(a) for a in attributes], str(raw.get("name") or raw.get("dataSetName") or Path(path).stem))
 
 
 def read_anonymization_config(path: str | Path) -> AnonymizationConfig:
@@ -194,12 +226,12 @@ def read_risk_config(path: str | Path) -> RiskAssessmentConfig:
 
 def read_statistics_config(path: str | Path) -> StatisticsConfig:
     raw = _load(path)
-    return StatisticsConfig(list(raw.get("features") or []), str(raw.get("target") or raw.get("targetAttribute") or ""))
+    return StatisticsConfig(**_known(StatisticsConfig, raw))
 
 
 def read_series_config(path: str | Path) -> SeriesConfig:
     raw = _load(path)
-    groups = raw.get("series") or raw.get("experiments") or ([raw] if raw else [])
+    groups = raw.get("combinationConfig") or raw.get("series") or ([raw] if raw else [])
 
     def listed(g: Mapping, *names: str) -> list[str]:
         for n in names:
@@ -208,9 +240,9 @@ def read_series_config(path: str | Path) -> SeriesConfig:
         return []
 
     return SeriesConfig([{
-        "risk": listed(g, "risk", "riskAssessmentConfigs", "riskAssessmentConfig"),
-        "data": listed(g, "data", "dataConfigs", "dataConfig"),
-        "anonymization": listed(g, "anonymization", "anonymizationConfigs", "anonymizationConfig"),
+        "risk": listed(g, "risk", "pathsToRiskAssessmentConfig"),
+        "data": listed(g, "data", "pathsToDataConfig"),
+        "anonymization": listed(g, "anonymization", "pathsToAnonymizationConfig"),
     } for g in groups])
 
 

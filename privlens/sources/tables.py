@@ -114,8 +114,8 @@ class CheckpointStore:
         return jobs if done is None else jobs.join(done.select(*on).distinct(), list(on), "left_anti")
 
 
-#: Columns of the series summary, in order; two keep the spelling that readers of such files expect.
-SERIES_COLUMNS = ("TestName", "RiskConfig", "DataConfig", "AnonConfig", "FeartureType", "Classifier", "Targets", "Runs", "MeanAccuracy", "CgfsFile")
+#: Columns of the series summary, in order and in the spelling that readers of such files expect.
+SERIES_COLUMNS = ("ExperimentName", "StartTime", "EndTime", "SMConfig", "DataConfig", "AnonymizationConfig", "FeartureType", "LogFile", "SummaryFile", "CgfsFile")
 
 
 def write_series_summary(rows: DataFrame, path: str) -> None:

@@ -236,6 +236,14 @@ def test_configurations(tmp_path):
     (tmp_path / "a.yml").write_text("algorithm: BEST_EFFORT_GENETIC\nprivacyModels:\n- type: k-Anonymity\n  k: 2\n- type: EqualDistanceTCloseness\n  t: 0.2\n  attributes: [sex]\nqualityModel: {gsFactor: 0.0}\n")
     a = cf.read_anonymization_config(tmp_path / "a.yml")
     assert [m.kind for m in a.models()] == ["k-Anonymity", "EqualDistanceTCloseness"] and a.qualityModel.gsFactor == 0.0
+    (tmp_path / "d2.yml").write_text("dataSetName: x\ndataCsvFile: p.csv\nattributeConfigs:\n- {name: v, type: QUASI_IDENTIFYING_ATTRIBUTE, dataType: continuous, useMicroAggregation: true, min: 0, max: 9, minLevelToUse: 1, pathToHierarchy: h.csv}\n")
+    d2 = cf.read_data_config(tmp_path / "d2.yml")
+    assert (d2.name, d2.path, d2.specs[0].micro_aggregation, d2.specs[0].perform_clustering, d2.specs[0].maximum, d2.specs[0].min_level, d2.attributes[0].hierarchy) == ("x", "p.csv", "ARITHMETIC_MEAN", True, 9.0, 1, "h.csv")
+    (tmp_path / "r2.yml").write_text("featureTypes: [NAIVE]\ntargetImportFile: t.txt\nsizeSampleTraining: 3\nsizeSampleTest: 4\nsizeCohort: 5\nsizeBackground: 6\n")
+    r2 = cf.read_risk_config(tmp_path / "r2.yml")
+    assert (r2.featureTypes, r2.targetFile, r2.sampleSize, r2.sampleSizeTest, r2.cohortSize, r2.backgroundSize) == (["NAIVE"], "t.txt", 3, 4, 5, 6)
+    (tmp_path / "s2.yml").write_text("combinationConfig:\n- {pathsToAnonymizationConfig: [a], pathsToDataConfig: [d], pathsToRiskAssessmentConfig: [r]}\n")
+    assert cf.read_series_config(tmp_path / "s2.yml").length() == 1
     (tmp_path / "s.yml").write_text("risk: [r1, r2]\ndata: d\nanonymization: [a1, a2, a3]\n")
     s = cf.read_series_config(tmp_path / "s.yml")
     assert s.length() == 6 and cf.missing_paths(s) == ["a1", "a2", "a3", "d", "r1", "r2"]
