@@ -34,12 +34,12 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder (with the writer's ``options``) and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 

@@ -195,8 +195,8 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 def warc_round_trip(df: DataFrame) -> DataFrame:
     """Write ``df``'s pages to archives in the shared folder and read the records back."""
     configure(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", "16")
-    return read_archives(materialize(write_archives(df), "archives"))
+    # a reader's batch holds a row group at most: groups of two archives or so keep it small
+    return read_archives(materialize(write_archives(df), "archives", **{"parquet.block.size": str(2 * ARCHIVE_BYTES)}))
 
 
 #: The registered query in DuckDB SQL.
