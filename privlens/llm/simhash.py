@@ -6,6 +6,10 @@ level the Hamming distance to a vantage point picks a band, and a fingerprint al
 every other band that the triangle inequality cannot rule out. Each shard then runs a local
 vantage-point tree over its residents and reports a spanning forest of the links it finds, never all
 pairs of a dense group. Forests of all shards go to :func:`connected_components`.
+
+Fingerprints of texts that share four fifths of their shingles lie about 10 bits apart, where the
+triangle inequality prunes nothing. :func:`similar_links` finds those pairs: min-wise keys choose the
+shards, and candidates are verified on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +34,15 @@ BAND = 5
 LEAF = 48
 #: Shingles whose bits are unpacked at once.
 BITS_AT_ONCE = 1 << 18
+#: Min-wise keys of a text, and minima in a key: of pairs with Jaccard similarity 0.8, 6 in 100,000 share no key.
+KEYS, MINIMA = 32, 6
+#: Texts of one block, compared with those of one other block at once.
+BLOCK = 1000
+_FACTORS = np.random.default_rng(5).integers(0, 2**63, KEYS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """64-bit SimHash of each row: bit set where over half of the shingles' XXH64 have it; no words: zero."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
+def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, shingle: int):
+    """``(a, b, n, hashes)`` of slices of rows ``a`` to ``b``: shingles of each row, and the XXH64 of all of them in order."""
     for a, b in slices(offsets):
         w = Words(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)
         count = np.diff(w.first)
@@ -42,14 +51,42 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarr
         first = np.cumsum(n) - n
         s = w.first[:-1][row] + np.arange(len(row)) - first[row]
         e = np.minimum(s + shingle, w.first[1:][row]) - 1
-        h = xxh64(w.buf, w.start[s], w.end[e])
-        sums = np.zeros((b - a, 64), np.int64)
-        for i in range(0, len(h), BITS_AT_ONCE):
-            part = np.unpackbits(h[i : i + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            rows, at = np.unique(row[i : i + BITS_AT_ONCE], return_index=True)
-            sums[rows] += np.add.reduceat(part, at, axis=0, dtype=np.int64)
-        bits = (2 * sums > n[:, None]).astype(np.uint8)
-        out[a:b] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+        yield a, b, n, xxh64(w.buf, w.start[s], w.end[e])
+
+
+def _majority(n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """SimHash of rows with ``n`` of the shingle hashes ``h`` each."""
+    row = np.repeat(np.arange(len(n)), n)
+    sums = np.zeros((len(n), 64), np.int64)
+    for i in range(0, len(h), BITS_AT_ONCE):
+        part = np.unpackbits(h[i : i + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        rows, at = np.unique(row[i : i + BITS_AT_ONCE], return_index=True)
+        sums[rows] += np.add.reduceat(part, at, axis=0, dtype=np.int64)
+    bits = (2 * sums > n[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """64-bit SimHash of each row: bit set where over half of the shingles' XXH64 have it; no words: zero."""
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    for a, b, n, h in shingle_hashes(buf, offsets, shingle):
+        out[a:b] = _majority(n, h)
+    return out
+
+
+def min_keys(n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """``KEYS`` min-wise keys of each row with ``n`` of the shingle hashes ``h``; a row without shingles has zeros."""
+    out = np.zeros((len(n), KEYS), np.uint64)
+    on = np.flatnonzero(n)
+    if not len(on):
+        return out
+    first = (np.cumsum(n) - n)[on]
+    for k in range(KEYS):
+        key = np.full(len(on), k + 1, np.uint64)
+        for f in _FACTORS[k * MINIMA : (k + 1) * MINIMA]:
+            key = (key ^ np.minimum.reduceat(h * f, first)) * np.uint64(0x9E3779B185EBCA87)
+            key ^= key >> np.uint64(29)
+        out[on, k] = key
     return out
 
 
@@ -172,19 +209,117 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
+def _with_keys(src: DataFrame, shingle: int) -> DataFrame:
+    """``src(__row, id, text)`` without ``text``, with ``fp``, a digest ``body`` of all shingles in order and the min-wise ``keys`` (none for a text without words)."""
+    schema = with_fields(src, ["__row", "id"], "fp long, body long, keys array<long>")
+
+    def run(batches):
+        for batch in batches:
+            fp, body, keys = [np.empty(0, np.uint64)], [], []
+            for _, _, n, h in shingle_hashes(*utf8(batch.column(2)), shingle):
+                fp.append(_majority(n, h))
+                body += [xxhash.xxh64_intdigest(x.tobytes()) for x in np.split(h, np.cumsum(n)[:-1])]
+                keys += [k if m else k[:0] for k, m in zip(min_keys(n, h).view(np.int64), n.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(fp).view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["__row", "id", "fp", "body", "keys"])
+
+    return src.select("__row", "id", "text").mapInArrow(run, schema)
+
+
+def _with_sets(src: DataFrame, shingle: int) -> DataFrame:
+    """``src(__row, text)`` as ``__row`` and ``shingles``, the row's distinct shingle hashes as bytes, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            sets = []
+            for _, _, n, h in shingle_hashes(*utf8(batch.column(1)), shingle):
+                sets += [np.unique(x).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["__row", "shingles"])
+
+    return src.select("__row", "text").mapInArrow(run, "__row long, shingles binary")
+
+
+def alike(sets: list[np.ndarray], asks: np.ndarray, asked: np.ndarray, similarity: float, root: np.ndarray) -> np.ndarray:
+    """``root`` extended by all links of Jaccard similarity ``similarity`` between members ``asks`` and members ``asked`` of ``sets``.
+
+    Members that are connected already are not compared again.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    names, flat = np.unique(np.concatenate([sets[j] for j in asked.tolist()]), return_inverse=True)
+    first = np.concatenate(([0], np.cumsum(size[asked])))
+    marked = np.zeros(len(names), bool)
+    for i in asks.tolist():
+        fits = (size[asked] >= similarity * size[i]) & (size[asked] <= size[i] / similarity)
+        on = np.flatnonzero((root[asked] != root[i]) & fits)
+        if not len(on):
+            continue
+        slot = np.searchsorted(names, sets[i])
+        slot[slot == len(names)] = 0
+        slot = slot[names[slot] == sets[i]]
+        marked[slot] = True
+        n = size[asked[on]]
+        start = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(first[on] - start, n)
+        both = np.add.reduceat(marked[flat[at]], start, dtype=np.int64)
+        marked[slot] = False
+        near = asked[on[both >= similarity * (n + size[i] - both) - 1e-9]]
+        root = forest(len(sets), np.full(len(near), i), near, root)
+    return root
+
+
+def similar_links(marked: DataFrame, src: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Spanning links ``(a long, b long)`` between the fingerprints of rows of ``marked(__row, fp, body, keys)`` whose shingle sets are alike.
+
+    Texts that share a min-wise key, directly or through others, form a candidate group. A group is cut into
+    blocks, every block meets every other, and pairs are verified on the whole sets.
+    """
+    items = materialize(marked.where("size(keys) > 0").groupBy("fp", "body").agg(F.min("__row").alias("__row"), F.any_value("keys").alias("keys")), "items")
+    keyed = items.select("__row", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("__row").alias("low"), F.max("__row").alias("high")).where("low < high").select("key", "low")
+    groups = materialize(connected_components(keyed.join(shared, "key").where("__row <> low").select(F.col("low").alias("a"), F.col("__row").alias("b"))), "groups")
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    # small groups share tasks
+    few = max(1, math.ceil(groups.count() / BLOCK))
+    own = F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks")).cast("int")
+    dealt = groups.join(sizes, "root").select(F.col("node").alias("__row"), "root", "blocks", own.alias("own"))
+    dealt = dealt.select("__row", "root", "own", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root", F.lit(6)), F.lit(few))).otherwise(F.col("root")).alias("shard"), (F.col("blocks") > 1).alias("big"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("__row", "root", "own", "shard", "big", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sets = _with_sets(src.join(groups.select(F.col("node").alias("__row")), "__row", "left_semi"), shingle)
+    dealt = dealt.join(sets, "__row").join(items.select("__row", "fp"), "__row").drop("__row")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["root", "fp"], kind="stable")
+        fp, own = pdf["fp"].to_numpy(np.int64), pdf["own"].to_numpy()
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        group = pdf["root"].to_numpy(np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        root = np.arange(len(fp))
+        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        for a, b in zip(cut.tolist(), cut[1:].tolist()):
+            asks, asked = a + np.flatnonzero(own[a:b] == i), a + np.flatnonzero(own[a:b] == j)
+            if len(asks) and len(asked):
+                part = alike(sets[a:b], asks - a, asked - a, similarity, np.arange(b - a))
+                root[a:b] = a + part
+        on = np.flatnonzero((root != np.arange(len(fp))) & (fp[root] != fp))
+        return pd.DataFrame({"a": fp[root[on]], "b": fp[on]})
+
+    return dealt.groupBy("big", "shard", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """One row of every group of near-duplicates: the one with the smallest id (nulls last; of equal ids, one).
 
-    Groups are connected through fingerprints of ``shingle``-word shingles at most ``radius`` bits apart.
+    Groups are connected through fingerprints of ``shingle``-word shingles at most ``radius`` bits apart, and
+    through pairs of texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
     Rows are numbered and written once, so that the surviving numbers mean the same rows when read again.
     """
     configure(df.sparkSession)
     rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
     src = rows.select("__row", F.col(id_col).alias("id"), F.col(text).alias("text"))
-    marked = materialize(with_fingerprint(src, "text", "fp", shingle, ["__row", "id"]), "fingerprints")
+    marked = materialize(_with_keys(src, shingle), "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first")
     classes = materialize(marked.groupBy("fp").agg(first), "classes")
-    roots = connected_components(fingerprint_links(classes, radius))
+    links = fingerprint_links(classes, radius).unionAll(similar_links(marked, src, shingle, similarity))
+    roots = connected_components(links)
     of = classes.join(roots, classes.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     stay = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return rows.join(stay, "__row", "left_semi").drop("__row")
