@@ -106,11 +106,11 @@ _DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _OPEN, _CLOSE = r"[\x20]*[\[({<][\x20]*", r"[\x20]*[\])}>][\x20]*"
-_AT_RE = re.compile(rf"{_OPEN}(?:at|arroba|arobase|@){_CLOSE}|(?<![\x20])\x20+(?:at|arroba|arobase)\x20+", re.I)
-_DOT_RE = re.compile(rf"{_OPEN}(?:dot|punkt|punto|point|\.){_CLOSE}|(?<![\x20])\x20+(?:dot|punkt|punto|point)\x20+", re.I)
-#: One of these is in every lower-cased text with a bracketed ``@``; one of the second line's in every text with a spelled dot.
-_AT_SIGNS = ("at)", "at]", "at}", "at>", "at )", "at ]", "arroba", "arobase", "@)", "@]", "@}", "@>", "@ )", "@ ]")
-_DOT_SIGNS = ("dot ", "dot)", "dot]", "punkt", "punto", "point", ".)", ".]")
+_AT_WORDS, _DOT_WORDS = "at|arroba|arobase", "dot|punkt|punto|point"
+_AT_RE = re.compile(rf"{_OPEN}(?:{_AT_WORDS}|@){_CLOSE}|(?<![\x20])\x20+(?:{_AT_WORDS})\x20+", re.I)
+_DOT_RE = re.compile(rf"{_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}|(?<![\x20])\x20+(?:{_DOT_WORDS})\x20+", re.I)
+#: In every text with a disguised dot or a bracketed ``@``; a bare word for ``@`` counts only beside a disguised dot.
+_SIGN_HINT = re.compile(rf"[\[({{<]\x20*(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)\x20*[\])}}>]|\x20(?:{_DOT_WORDS})\x20", re.I)
 #: Any character that may be a look-alike or silent lies here.
 _ODD_RE = re.compile("[\u00a0\u00ad\u00b7\u0370-\U0010ffff]")
 _GLYPH_RE = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + _SILENT + "]")
@@ -164,7 +164,7 @@ def _neighbourhoods(text: str) -> list[tuple[int, int]]:
     """Windows around triggers, whole runs included, merged."""
     hits = [] if text.isascii() or not _ODD_RE.search(text) else [m.span() for m in _GLYPH_RE.finditer(text)]
     low = text.lower()
-    if any(x in low for x in _AT_SIGNS) or " at " in low and any(x in low for x in _DOT_SIGNS):
+    if _SIGN_HINT.search(text):
         hits += [m.span() for m in _AT_RE.finditer(text)]
         hits += [m.span() for m in _DOT_RE.finditer(text)]
     if _RUN_HINT.search(low):
@@ -179,7 +179,7 @@ def _neighbourhoods(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _email_view(part: Mapped) -> Mapped:
+def _sign_view(part: Mapped) -> Mapped:
     """``part`` with disguised dots and ``@``; a bare word for ``@`` counts only before a domain whose dot was disguised too."""
     view = Mapped(part.text)
     view.start, view.end = list(part.start), list(part.end)
@@ -206,10 +206,10 @@ def disguised_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[i
         part = Mapped(text[a:b], a)
         part.rewrite(_GLYPH_RE, lambda m: _GLYPHS.get(m[0], ""))
         part.rewrite(_RUN, lambda m: _spelled(m[0]) if len(_WORD_DIGIT.findall(m[0])) > 1 else None)
-        views = [part, _email_view(part)] if _AT_RE.search(part.text) else [part]
+        views = [part, _sign_view(part)] if _AT_RE.search(part.text) or _DOT_RE.search(part.text) else [part]
         for view in views:
             for kind, find in _FINDERS.items():
-                if view is not part and kind != "email":
+                if view is not part and kind not in ("email", "ip"):
                     continue
                 for s, e in find(view.text):
                     if kind == "email" and view is not part and not re.search(r"\.[A-Za-z]{2,}$", view.text[s:e]):

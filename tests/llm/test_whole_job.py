@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from privlens.llm import simhash
+from privlens.llm import pii, simhash
 from tests.llm.test_text_ops import fingerprint
 
 
@@ -58,3 +58,20 @@ def test_near_duplicates_equal_brute_force_jaccard(spark, sf, monkeypatch, which
     assert len(far) > (20 if which == "edited" else 0)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == want
+
+
+@pytest.mark.parametrize(
+    "kind, said",
+    [
+        *[("email", x) for x in ("jane@example[dot]com", "jane@example (dot) com", "jane@example dot com", "jane@mail[.]example[.]com", "jane < at > example.com", "jane { at } example.com", "jane {AT} example {DOT} com", "jane ( @ ) example.com", "jane  arroba  example  punto  com", "jane (  at  ) example.com")],
+        *[("ip", x) for x in ("192[.]168[.]0[.]1", "192.168.0[.]1", "10 dot 0 dot 0 dot 1", "10 (dot) 0 (dot) 0 (dot) 1", "10 Punkt 0 Punkt 0 Punkt 1")],
+    ],
+)
+def test_disguised_signs(kind, said):
+    for text in (said, f"say: {said}, please", "words without any sign " * 20 + said + " and more words" * 20):
+        assert pii.base_spans(text) == [] and [(k, text[s:e]) for s, e, k in pii.disguised_spans(text, [])] == [(kind, said)]
+
+
+def test_signs_that_disguise_nothing():
+    for text in ("a point of order", "300 dot 1 dot 2 dot 3", "1 dot 2 dot 3", "see (.) and [at] once", "jane@example.com dot the i", "he was at the point < at > last"):
+        assert pii.disguised_spans(text, pii.base_spans(text)) == []
