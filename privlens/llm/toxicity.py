@@ -4,8 +4,13 @@ A bounded sample of labelled rows gives the examples and the vocabulary (words a
 that tell the classes apart); document frequencies are counted over the whole corpus. A document is a
 TF-IDF vector over that vocabulary and a start marker that every document has. Its nearest examples
 are found exactly: postings are cut into blocks that know their largest weight, and blocks that cannot
-reach the k-th best similarity are skipped. Votes are weighted by inverse distance and by class
-frequency, then calibrated on the examples themselves, each judged without its own copies.
+reach the k-th best similarity are skipped. Votes are weighted by inverse distance and calibrated on the
+examples themselves.
+
+Both classes weigh the same in votes and calibration, however many rows of each are labelled or drawn, so
+a score is the chance of label 1 at even odds and the threshold asks for the same evidence at every size.
+Equal texts are one example with the labels of all its rows. A text is always judged without the example
+that it equals, in calibration as in scoring: its own label never reaches its score.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +27,8 @@ from privlens.llm.common import Words, configure, slices, utf8, with_fields, xxh
 
 #: Most labelled examples of each class that the index holds; the sample is drawn by a hash of the id.
 MAX_EXAMPLES = 3000
-#: Most terms of the vocabulary, least examples a term occurs in, least chi-squared statistic, and how many times as often a term occurs in one class as in the other: weak terms become significant as examples grow, without telling the classes apart.
-MAX_TERMS, LEAST_EXAMPLES, LEAST_CHI2, LEAST_RATIO = 1500, 4, 12.0, 3.0
+#: Most terms of the vocabulary (those of largest chi-squared statistic), least examples a term occurs in, and least chi-squared statistic.
+MAX_TERMS, LEAST_EXAMPLES, LEAST_CHI2 = 4000, 4, 12.0
 NEIGHBOURS = 25
 THRESHOLD = 0.7
 #: Postings in a block.
@@ -156,29 +162,39 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
-    """Vocabulary, labelled examples with class weights, index and calibration."""
+    """Vocabulary, examples (distinct texts, numbered) with the weight of their toxic and clean rows, index and calibration."""
 
     vocabulary: Vocabulary
     index: BlockMaxIndex
     ids: np.ndarray
     toxic: np.ndarray
-    weight: np.ndarray
+    clean: np.ndarray
+    number: dict[bytes, int]
     steps: np.ndarray
     levels: np.ndarray
     k: int = NEIGHBOURS
 
+    def nearest(self, slots: np.ndarray, weights: np.ndarray, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` nearest examples but ``own``, and their cosines."""
+        near, cosine = self.index.top(slots, weights, self.k + (own is not None))
+        if own is not None:
+            on = near != own
+            near, cosine = near[on][: self.k], cosine[on][: self.k]
+        return near, cosine
+
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        w = self.weight[near] / (1.0 - cosine + 0.01)
-        return float((w * self.toxic[near]).sum() / w.sum()) if w.sum() else 0.5
+        closeness = 1.0 / (1.0 - cosine + 0.01)
+        toxic, clean = float((self.toxic[near] * closeness).sum()), float((self.clean[near] * closeness).sum())
+        return toxic / (toxic + clean) if toxic + clean else 0.5
 
     def calibrated(self, raw: float) -> float:
         return float(np.interp(raw, self.steps, self.levels)) if len(self.steps) else raw
 
-    def score(self, slots: np.ndarray, tf: np.ndarray) -> tuple[float, list]:
-        """Calibrated score and the ids of the nearest examples, nearest first."""
-        if not self.index.n:
+    def score(self, slots: np.ndarray, tf: np.ndarray, own: int | None = None) -> tuple[float, list]:
+        """Calibrated score and the ids of the nearest examples, nearest first; ``own`` is the number of the example with the same text."""
+        if self.index.n <= (own is not None):
             return 0.5, []
-        near, cosine = self.index.top(*self.vocabulary.vector(slots, tf), self.k)
+        near, cosine = self.nearest(*self.vocabulary.vector(slots, tf), own)
         return self.calibrated(self.vote(near, cosine)), self.ids[near].tolist()
 
 
@@ -204,21 +220,19 @@ def in_training(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 != 1, F.lit(True))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """A bounded sample of labelled texts, ``(id, toxic, text)``, and the class sizes it was drawn from."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, most: int) -> DataFrame:
+    """A bounded sample of labelled texts, ``(id, toxic, text)``."""
     ids = labels.select(labels[id_col].alias("id"), labels[label].alias("toxic")).where("id is not null and toxic in (0, 1)")
     ids = ids.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")).where(in_training(F.col("id")))
-    sizes = {int(r["toxic"]): int(r["n"]) for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("id", F.lit(9))
     drawn = ids.where("toxic = 1").orderBy(order, "id").limit(most).unionAll(ids.where("toxic = 0").orderBy(order, "id").limit(most))
-    texts = docs.select(docs[id_col].alias("id"), docs[text].alias("text")).join(F.broadcast(drawn), "id")
-    return texts, sizes
+    return docs.select(docs[id_col].alias("id"), docs[text].alias("text")).join(F.broadcast(drawn), "id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> ToxicityModel:
     """Learn from ``most`` labelled rows of each class at most; document frequencies cover all of ``docs``."""
     configure(docs.sparkSession)
-    sample, sizes = _sample(docs, labels, id_col, text, label, most)
+    sample = _sample(docs, labels, id_col, text, label, most)
     terms = sample.mapInArrow(_term_rows, "toxic int, hash long").groupBy("hash").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     drawn = sample.groupBy().agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     pos, neg = int(drawn["p"]), int(drawn["n"]) - int(drawn["p"])
@@ -226,8 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     n = float(pos + neg)
     cross = p * (neg - q) - q * (pos - p)
     chi2 = F.try_divide(F.lit(n) * cross * cross, F.lit(float(pos)) * F.lit(float(neg)) * (p + q) * (F.lit(n) - p - q))
-    odds = F.abs(F.ln((p + 0.5) / (pos + 1.0)) - F.ln((q + 0.5) / (neg + 1.0)))
-    picked = terms.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).where((F.col("p") + F.col("q") >= LEAST_EXAMPLES) & (F.col("chi2") >= LEAST_CHI2) & (odds >= float(np.log(LEAST_RATIO))))
+    picked = terms.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).where((F.col("p") + F.col("q") >= LEAST_EXAMPLES) & (F.col("chi2") >= LEAST_CHI2))
     hashes = np.sort(np.array([r["hash"] for r in picked.orderBy(F.desc("chi2"), "hash").limit(MAX_TERMS).select("hash").collect()], np.int64).view(np.uint64))
     vocabulary = Vocabulary(hashes, np.ones(len(hashes)))
     counted = docs.select(docs[text].alias("text")).mapInArrow(_frequencies(vocabulary), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -235,26 +248,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     for r in counted.collect():
         frequency[r["slot"]] = r["n"]
     vocabulary = Vocabulary(hashes, np.log((frequency[0] + 1) / (frequency[1:] + 1)) + 1.0)
-    rows = sample.select("id", "toxic", "text").mapInArrow(_example_rows(vocabulary), "id long, toxic int, slots array<int>, counts array<int>").collect()
-    return build(vocabulary, [(r["id"], r["toxic"], np.array(r["slots"], np.int64), np.array(r["counts"], np.int64)) for r in rows], sizes, k)
-
-
-def build(vocabulary: Vocabulary, examples: list, sizes: dict[int, int], k: int = NEIGHBOURS) -> ToxicityModel:
-    """A model from example rows ``(id, toxic, slots, counts)``; classes weigh as much as they did before sampling."""
-    examples = sorted(examples, key=lambda e: (len(e[2]), e[0], e[1]))
-    vectors = [vocabulary.vector(s, c) for _, _, s, c in examples]
-    ids, toxic = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.float64)
-    had = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
-    weight = np.where(toxic == 1, sizes.get(1, had[1]) / had[1], sizes.get(0, had[0]) / had[0])
-    model = ToxicityModel(vocabulary, BlockMaxIndex(vectors, len(vocabulary.hashes) + 1), ids, toxic, weight, np.empty(0), np.empty(0), k)
-    if len(examples) > k:
-        raw = np.empty(len(examples))
-        for i, (s, w) in enumerate(vectors):
-            near, cosine = model.index.top(s, w, k + 1)
-            on = near != i
-            raw[i] = model.vote(near[on][:k], cosine[on][:k])
-        # each class keeps a little of the other's weight at the ends
-        model.steps, model.levels = isotonic(raw, toxic, weight)
+    rows = sample.select("id", "toxic", "text").mapInArrow(_example_rows(vocabulary), "id long, toxic int, digest binary, slots array<int>, counts array<int>").collect()
+    return build(vocabulary, [(r["id"], r["toxic"], bytes(r["digest"]), np.array(r["slots"], np.int64), np.array(r["counts"], np.int64)) for r in rows], k)
+
+
+def build(vocabulary: Vocabulary, rows: list, k: int = NEIGHBOURS) -> ToxicityModel:
+    """A model from labelled rows ``(id, toxic, digest of the text, slots, counts)``; rows of one text are one example, named by its least id."""
+    of: dict[bytes, list] = {}
+    for i, toxic, digest, slots, counts in rows:
+        held = of.setdefault(digest, [i, 0, 0, slots, counts])
+        held[0] = min(held[0], i)
+        held[2 - toxic] += 1
+    # numbered by content: the id decides nothing, not even among ties
+    order = sorted(of, key=lambda d: (len(of[d][3]), d))
+    examples = [of[d] for d in order]
+    vectors = [vocabulary.vector(s, c) for _, _, _, s, c in examples]
+    counts = np.array([e[1:3] for e in examples], np.float64).reshape(-1, 2)
+    weight = counts / np.maximum(counts.sum(axis=0), 1.0)
+    model = ToxicityModel(vocabulary, BlockMaxIndex(vectors, len(vocabulary.hashes) + 1), np.array([e[0] for e in examples], np.int64), weight[:, 0], weight[:, 1], {d: i for i, d in enumerate(order)}, np.empty(0), np.empty(0), k)
+    if len(examples) > k and (counts.sum(axis=0) > 0).all():
+        raw = np.array([model.vote(*model.nearest(s, w, i)) for i, (s, w) in enumerate(vectors)])
+        total = weight.sum(axis=1)
+        model.steps, model.levels = isotonic(raw, weight[:, 0] / total, total)
+        # no level is certain: each keeps a little of the other class
         model.levels = np.clip(model.levels, 0.001, 0.999)
     return model
 
@@ -279,13 +295,20 @@ def _frequencies(vocabulary: Vocabulary):
     return run
 
 
+def text_digests(col) -> list[bytes]:
+    """A 128-bit digest of each whole text; null counts as empty."""
+    buf, offsets = utf8(col)
+    data, at = memoryview(np.ascontiguousarray(buf)), offsets.tolist()
+    return [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(at, at[1:])]
+
+
 def _example_rows(vocabulary: Vocabulary):
     def run(batches):
         for batch in batches:
             rows = vocabulary.counts(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").cast(pa.int64()), batch.column("toxic"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))],
-                names=["id", "toxic", "slots", "counts"],
+                [batch.column("id").cast(pa.int64()), batch.column("toxic"), pa.array(text_digests(batch.column("text")), pa.binary()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))],
+                names=["id", "toxic", "digest", "slots", "counts"],
             )
 
     return run
@@ -294,8 +317,9 @@ def _example_rows(vocabulary: Vocabulary):
 def score(df: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None, evidence: int = 3) -> DataFrame:
     """``keep`` columns (default: all) with ``score double`` and ``evidence array<long>``, ids of the nearest examples.
 
-    Null and empty texts are judged by the start marker alone. A model without examples gives 0.5.
-    Input columns named ``score`` or ``evidence`` are replaced. Equal texts get equal scores.
+    Null and empty texts are judged by the start marker alone. A model without examples of both classes gives 0.5, or 0 or 1
+    if all its examples are of one. A text that is an example is judged by the others. Equal texts get equal scores, whatever
+    their ids. Input columns named ``score`` or ``evidence`` are replaced.
     """
     configure(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("score", "evidence")]
@@ -306,12 +330,14 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", keep: list[st
         m, memo = shared.value, {}
         for batch in batches:
             scores, near = [], []
-            for slots, tf in m.vocabulary.counts(batch.column(batch.num_columns - 1)):
-                key = slots.astype(np.int32).tobytes() + tf.astype(np.int32).tobytes()
+            texts = batch.column(batch.num_columns - 1)
+            for (slots, tf), digest in zip(m.vocabulary.counts(texts), text_digests(texts)):
+                own = m.number.get(digest)
+                key = (own, slots.astype(np.int32).tobytes(), tf.astype(np.int32).tobytes())
                 if (made := memo.get(key)) is None:
                     if len(memo) >= MAX_MEMO:
                         memo.clear()
-                    s, e = m.score(slots, tf)
+                    s, e = m.score(slots, tf, own)
                     made = memo[key] = (s, e[:evidence])
                 scores.append(made[0])
                 near.append(made[1])
