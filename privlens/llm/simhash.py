@@ -1,11 +1,16 @@
-"""SimHash near-duplicates, found by vantage-point partitioning of the fingerprints.
+"""SimHash near-duplicates, found by vantage-point trees over cells of fingerprints.
 
 Fingerprints are computed on whole texts (numpy over Arrow batches). Equal fingerprints fold into one
-class before any comparison. The distinct classes are split by a shallow vantage-point tree: at each
-level the Hamming distance to a vantage point picks a band, and a fingerprint also visits, as a query,
-every other band that the triangle inequality cannot rule out. Each shard then runs a local
-vantage-point tree over its residents and reports a spanning forest of the links it finds, never all
-pairs of a dense group. Forests of all shards go to :func:`connected_components`.
+class before any comparison. For radius ``r`` the 64 bits are cut into ``r + 1`` blocks: two fingerprints
+within the radius agree on one block at least, so each visits the ``r + 1`` cells of those that share a
+block with it, however many there are. (Partitioning all fingerprints by their distance to vantage points
+alone lets each visit the more shards the more there are: random ones lie about 32 bits from any point,
+and a shared tree that cuts a shard to 1/2.4 lets a row visit 1.8 times as many at radius 2.)
+
+A cell is searched by a local vantage-point tree with triangle bounds. A dense cell is partitioned by
+Hamming distance to one of its members, and a fingerprint also queries the bands that overlap its
+boundary. Each task reports a spanning forest of the links it finds, never all pairs of a dense group.
+Forests of all tasks go to :func:`connected_components`.
 
 Fingerprints of texts that share four fifths of their shingles lie about 10 bits apart, where the
 triangle inequality prunes nothing. :func:`similar_links` finds those pairs: min-wise keys choose the
@@ -26,9 +31,11 @@ from pyspark.sql import functions as F
 from privlens.llm.common import Words, configure, materialize, slices, utf8, with_fields, xxh64
 from privlens.llm.components import connected_components, forest
 
-#: Residents of one shard that a level of the shared tree aims at.
-SHARD = 60_000
-#: Width of a distance band of the shared tree.
+#: Fingerprints of one task, about, and the number from which a cell is dense and is split by distance.
+SHARD = 30_000
+#: Tasks at least, so that small inputs too are dealt out.
+LEAST_SHARDS = 48
+#: Width of a distance band of a dense cell.
 BAND = 5
 #: Residents of a local leaf that are compared with its queries at once.
 LEAF = 48
@@ -107,15 +114,6 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
     return src.mapInArrow(run, schema)
 
 
-def _vantage_points(n: int, seed: int) -> np.ndarray:
-    """``n`` fixed pseudo-random points of the Hamming space."""
-    return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
-
-
 def _band(distance: Column) -> Column:
     return F.floor(distance / F.lit(BAND)).cast("int")
 
@@ -150,43 +148,83 @@ def linked_pairs(items: np.ndarray, resident: np.ndarray, radius: int):
             stack.append((d[od[lo:hi]], q[oq[ql:qh]], depth + 1))
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 2, seed: int = 11) -> DataFrame:
+def cells(fp: Column, radius: int) -> Column:
+    """The ``radius + 1`` cells of a fingerprint: block numbers and the bits of these blocks."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    blocks = [F.shiftrightunsigned(F.shiftleft(fp, 64 - b), 64 - b + a) for a, b in zip(cuts, cuts[1:])]
+    return F.array(*[F.struct(F.lit(i).alias("cell"), block.alias("bits")) for i, block in enumerate(blocks)])
+
+
+def cell_links(items: np.ndarray, cell: np.ndarray, resident: np.ndarray, radius: int):
+    """Batches of ``(i, j)`` of one cell with Hamming distance of at most ``radius``, ``j`` a resident; ``items`` are ordered by ``cell``.
+
+    Small cells are compared by offset, all at once; each larger one by its vantage-point tree.
+    """
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    size = np.diff(np.append(first, len(items)))
+    small = np.repeat(size <= LEAF, size)
+    for step in range(1, int(size[size <= LEAF].max(initial=1))):
+        i = np.flatnonzero(small[step:] & (cell[step:] == cell[:-step]))
+        i = i[np.bitwise_count(items[i] ^ items[i + step]) <= radius]
+        if len(i):
+            yield i, i + step
+    for a, n in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist()):
+        for i, j in linked_pairs(items[a : a + n], resident[a : a + n], radius):
+            yield a + i, a + j
+
+
+def gathered(batches, least: int = 1 << 18):
+    """The same pairs in batches of ``least`` and more, but for the last: a batch costs a pass over all items."""
+    held, n = [], 0
+    for pair in batches:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= least:
+            yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+            held, n = [], 0
+    if held:
+        yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Spanning links ``(a long, b long)`` between distinct fingerprints ``fp`` at Hamming distance up to ``radius``.
 
-    The links connect exactly what all pairs within ``radius`` connect; each shard reports a forest.
+    The links connect exactly what all pairs within ``radius`` connect; each task reports a forest. ``radius`` may be
+    0 to 62. A cell's fingerprints are cut into bands and blocks only where it holds over ``SHARD`` of them.
     """
     n = distinct.count()
-    levels = max(1, math.ceil(math.log(max(n, 2) / SHARD) / math.log(2.4))) if n > SHARD else 1
-    points = _vantage_points(levels, seed)
-    df = distinct.select("fp")
-    homes, visits = [], []
-    for k, p in enumerate(points.tolist()):
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p))))
-        homes.append(_band(d).cast("string"))
-        visits.append(F.sequence(_band(F.greatest(d - F.lit(radius), F.lit(0))), _band(F.least(d + F.lit(radius), F.lit(64)))))
-    home = F.concat_ws(".", *homes)
-    paths = F.transform(visits[0], lambda x: x.cast("string"))
-    for more in visits[1:]:
-        paths = (lambda so_far, nxt: F.flatten(F.transform(so_far, lambda p: F.transform(nxt, lambda x: F.concat(p, F.lit("."), x.cast("string"))))))(paths, more)
-    routed = df.select("fp", home.alias("home"), F.explode(paths).alias("shard")).select("fp", "shard", (F.col("home") == F.col("shard")).alias("resident"))
-    # a dense shard is cut into blocks of residents; its queries visit every block
-    sizes = routed.where("resident").groupBy("shard").agg(F.count("*").alias("size")).select("shard", F.greatest(F.ceil(F.col("size") / F.lit(2 * SHARD)), F.lit(1)).cast("int").alias("blocks"))
-    blocked = routed.join(sizes, "shard")
-    own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks")).cast("int")
-    blocked = blocked.select("fp", "shard", "resident", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    blocked = blocked.select("fp", "shard", "block", (F.col("resident") & (F.col("own") == F.col("block"))).alias("resident"))
+    visits = distinct.select("fp", F.explode(cells(F.col("fp"), radius)).alias("at")).select("fp", "at.cell", "at.bits")
+    dense = visits.groupBy("cell", "bits").agg(F.count("*").alias("size"), F.min("fp").alias("point")).where(F.col("size") > SHARD)
+    dense = materialize(dense.select("cell", "bits", "point", F.ceil(F.col("size") / F.lit(4 * SHARD)).cast("int").alias("blocks")), "dense")
+    hashed = F.xxhash64("cell", "bits")
+    tasks = max(LEAST_SHARDS, math.ceil(n * (radius + 1) / SHARD))
+    columns = ["fp", "cell", "bits", "band", "block", "task", "resident"]
+    many = dense.limit(1).count()
+    sparse = visits.join(dense, ["cell", "bits"], "left_anti") if many else visits
+    dealt = sparse.select("fp", "cell", "bits", F.lit(0).alias("band"), F.lit(0).alias("block"), F.pmod(hashed, F.lit(tasks)).alias("task"), F.lit(True).alias("resident"))
+    if many:
+        inside = visits.join(dense, ["cell", "bits"])
+        distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("point")))
+        low, high = F.greatest(distance - F.lit(radius), F.lit(0)), F.least(distance + F.lit(radius), F.lit(64))
+        inside = inside.select("fp", "cell", "bits", "blocks", _band(distance).alias("home"), F.explode(F.sequence(_band(low), _band(high))).alias("band"))
+        own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks")).cast("int")
+        inside = inside.select("fp", "cell", "bits", "home", "band", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        resident = (F.col("home") == F.col("band")) & (F.col("own") == F.col("block"))
+        dealt = dealt.unionByName(inside.select("fp", "cell", "bits", "band", "block", hashed.alias("task"), resident.alias("resident")).select(columns))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf["fp"].to_numpy(np.int64)
-        order = np.argsort(items)
-        items, resident = items[order], pdf["resident"].to_numpy(bool)[order]
-        root = np.arange(len(items))
-        for a, b in linked_pairs(items.view(np.uint64), resident, radius):
-            root = forest(len(items), a, b, root)
-        on = np.flatnonzero(root != np.arange(len(items)))
-        return pd.DataFrame({"a": items[root[on]], "b": items[on]})
-
-    return blocked.groupBy("shard", "block").applyInPandas(run, "a long, b long")
+        fp = pdf["fp"].to_numpy(np.int64)
+        order = np.lexsort((fp, pdf["bits"].to_numpy(), pdf["cell"].to_numpy()))
+        fp, resident = fp[order], pdf["resident"].to_numpy(bool)[order]
+        bits, cell = pdf["bits"].to_numpy(np.int64)[order], pdf["cell"].to_numpy(np.int64)[order]
+        number = np.cumsum(np.concatenate(([0], (bits[1:] != bits[:-1]) | (cell[1:] != cell[:-1]))))
+        root = np.arange(len(fp))
+        for a, b in gathered(cell_links(fp.view(np.uint64), number, resident, radius)):
+            root = forest(len(fp), a, b, root)
+        on = np.flatnonzero(root != np.arange(len(fp)))
+        return pd.DataFrame({"a": fp[root[on]], "b": fp[on]})
+
+    return dealt.groupBy("task", "band", "block").applyInPandas(run, "a long, b long")
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:

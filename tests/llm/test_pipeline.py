@@ -8,7 +8,8 @@ import pytest
 import corpus_pipeline as cp
 from privlens.llm import toxicity
 from tests.llm.test_search_ops import brute_repeats
-from tests.llm.test_text_ops import base_by_regex, components, fingerprint
+from tests.llm.test_text_ops import base_by_regex
+from tests.llm.test_whole_job import survivors
 
 KEPT = cp.COLUMNS
 
@@ -36,15 +37,11 @@ def test_toxicity_stage(spark, sf, docs):
 
 
 def test_near_duplicate_stage(spark, sf, docs):
-    rows = docs.collect()
-    fps = {i: fingerprint(r["text"], 5) for i, r in enumerate(rows)}
-    group = components(fps, 3)
-    best = defaultdict(list)
-    for i, root in group.items():
-        best[root].append((rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0))
-    want = sorted(min(v) for v in best.values())
+    """Groups by both rules: fingerprints at most 3 bits apart, and shingle sets with a Jaccard similarity of 0.8 and more."""
+    rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    want, _ = survivors([r["text"] for r in rows])
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in cp.keep_one_of_each(spark, docs, sf).collect())
-    assert got == want
+    assert got == [(rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0) for i in want]
 
 
 def test_repeats_stage(spark, sf, docs):

@@ -76,16 +76,18 @@ def test_simhash_equals_brute_force(which, request):
     assert {i: r["component_id"] for i, r in got.items()} == components(fps)
 
 
-def test_vantage_links_equal_all_pairs_over_many_shards(spark, monkeypatch):
+@pytest.mark.parametrize("radius, dense", [(2, False), (2, True), (3, True), (0, False)])
+def test_vantage_links_equal_all_pairs_over_many_shards(spark, monkeypatch, radius, dense):
+    """``dense``: the fingerprints agree on most bits, so that a few cells hold nearly all and are split by distance."""
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64) & np.uint64(0x3FF if dense else 2**64 - 1)
     near = np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) for _ in range(4)]])
     fps = {int(x): int(x) for x in np.unique(near).view(np.int64)}
     monkeypatch.setattr(simhash, "SHARD", 60)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    found = simhash.connected_components(simhash.fingerprint_links(df)).collect()
+    found = simhash.connected_components(simhash.fingerprint_links(df, radius)).collect()
     got = {r["node"]: r["root"] for r in found}
-    want = components({f: f & (2**64 - 1) for f in fps})
+    want = components({f: f & (2**64 - 1) for f in fps}, radius)
     assert {f: got.get(f, f) for f in fps} == want
 
 
