@@ -11,23 +11,30 @@ the lookahead is bounded by the longest token. States and transitions are made o
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
-import re
+import gc
+import hashlib
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from privlens.llm.common import configure, with_fields
 
 #: Transitions kept before the machine's memory is dropped and filled anew; bounds a worker's memory.
 MAX_TRANSITIONS = 400_000
-#: Encodings of space-delimited pieces kept by a worker, and the longest piece kept.
-MAX_PIECES, LONGEST_PIECE = 250_000, 48
-#: A space that follows white space and does not end its run: where a text may not be cut at spaces.
-_ODD_SPACES = re.compile(r"\s (?:\s|\Z)")
+#: Encodings of matches of the split pattern kept by a worker, and the longest match kept.
+MAX_MATCHES, LONGEST_MATCH = 250_000, 48
+#: Whether arrays of the machine are the bytes of little-endian unsigned 32-bit ids.
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +63,8 @@ class Transducer:
                 node = after
             self.ends[node] = rank
         self.follows: dict[tuple[int, int], bool] = {}
+        self.as_left: dict[int, tuple[bool, list]] = {}
+        self.as_right: dict[int, tuple[bool, list]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -65,59 +74,89 @@ class Transducer:
         self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.size = 0
 
-    def _merged(self, data: bytes) -> list[int]:
-        """Plain merging by lowest rank, leftmost first; used on two tokens at a time."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        get = self.ranks.get
-        while len(parts) > 1:
+    def _merges(self, token: bytes) -> list[tuple[int, bytes, bytes]]:
+        """Merging of ``token`` by lowest rank, leftmost first: before each merge its rank and the first and last part; at the end the parts that are left."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        get, steps = self.ranks.get, []
+        while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = get(parts[i] + parts[i + 1])
                 if r is not None and (best is None or r < best):
                     best, at = r, i
+            steps.append((len(self.ranks) if best is None else best, parts[0], parts[-1]))
             if best is None:
-                break
+                return steps
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+
+    def _edge(self, token: int, right: bool) -> tuple[bool, list]:
+        """Whether ``token`` merges into itself, and its merges' ranks with the part at its left or right edge before each."""
+        known = self.as_right if right else self.as_left
+        made = known.get(token)
+        if made is None:
+            data = self.tokens[token]
+            steps = self._merges(data)
+            made = known[token] = (steps[-1][1] == data, [(rank, first if right else last) for rank, first, last in steps])
+        return made
 
     def _may_follow(self, a: int, b: int) -> bool:
+        """Whether ``a`` then ``b`` is the encoding of their concatenation.
+
+        Both merge as they would alone until a merge across their border is the lowest there is (of equal ranks the
+        leftmost goes first); only the parts at the border and the rank of each side's next merge count.
+        """
         if a < 0:
-            return self._merged(self.tokens[b]) == [b]
+            return self._edge(b, True)[0]
         key = (a, b)
         known = self.follows.get(key)
-        if known is None:
-            if len(self.follows) > MAX_TRANSITIONS:
-                self.follows.clear()
-            known = self.follows[key] = self._merged(self.tokens[a] + self.tokens[b]) == [a, b]
+        if known is not None:
+            return known
+        if len(self.follows) > MAX_TRANSITIONS:
+            self.follows.clear()
+        (whole, left), (also, right) = self._edge(a, False), self._edge(b, True)
+        known = whole and also
+        get, i, j, last_i, last_j = self.ranks.get, 0, 0, len(left) - 1, len(right) - 1
+        while known:
+            (next_a, x), (next_b, y) = left[i], right[j]
+            across = get(x + y)
+            if across is not None and across < next_a and across <= next_b:
+                known = False
+            elif i == last_i and j == last_j:
+                break
+            elif next_a <= next_b:
+                i += 1
+            else:
+                j += 1
+        self.follows[key] = known
         return known
 
     def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the transition of ``state`` on ``byte``: the state reached and the tokens emitted."""
-        live, ended = [], None
+        live, ended, children, ends = [], None, self.children, self.ends
         for node, last, pending in self.states[state]:
-            after = self.children[node].get(byte)
+            after = children[node].get(byte)
             if after is None:
                 continue
-            token = self.ends[after]
-            if token is not None and ended is None and self._may_follow(last, token):
-                ended = (0, token, (*pending, token))
-            if self.children[after]:
+            if ended is None and (token := ends[after]) is not None and self._may_follow(last, token):
+                ended = (*pending, token)
+            if children[after]:
                 live.append((after, last, pending))
         if ended is None:
             raise ValueError(f"byte {byte} cannot be encoded by this vocabulary")
-        live.append(ended)
-        common = 0
-        shortest = min(len(h[2]) for h in live)
-        while common < shortest and all(h[2][common] == ended[2][common] for h in live):
-            common += 1
-        key = tuple((n, t, p[common:]) for n, t, p in live)
+        # the tokens that every hypothesis has next are emitted
+        common = len(ended)
+        for _, _, pending in live:
+            if pending[:common] != ended[:common]:
+                common = next(i for i, (x, y) in enumerate(zip((*pending, -1), ended)) if x != y)
+        live.append((0, ended[-1], ended))
+        key = tuple([(n, t, p[common:]) for n, t, p in live] if common else live)
         target = self.ids.get(key)
         if target is None:
             target = self.ids[key] = len(self.states)
             self.states.append(key)
             self.step.append({})
         self.size += 1
-        made = self.step[state][byte] = (target, ended[2][:common])
+        made = self.step[state][byte] = (target, ended[:common])
         return made
 
     def encode(self, data: bytes) -> list[int]:
@@ -135,52 +174,36 @@ class Transducer:
         return out + list(self.states[state][-1][2])
 
 
-class PieceEncoder(dict):
-    """Whole texts to little-endian unsigned 32-bit ids, cutting at single spaces and remembering pieces.
+class MatchEncoder(dict):
+    """Whole texts to little-endian unsigned 32-bit ids, each match of the split pattern by itself, remembering matches.
 
-    The split pattern never joins a space to what stands before it unless white space does, so a text
-    is cut before each space; texts with other runs of white space are encoded uncut. Keys are pieces
-    without their leading space, values the bytes of the ids of ``" " + piece``. A full memory becomes the
-    old one, from which pieces still in use come back.
+    A full memory becomes the old one, from which matches still in use come back.
     """
 
-    def __init__(self, encode):
+    def __init__(self, machine: Transducer, pattern: str):
         super().__init__()
-        self.encode = encode
+        self.machine, self.split = machine, regex.compile(pattern).findall
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        made = self.old.get(piece)
+    def __missing__(self, match: str) -> bytes:
+        made = self.old.get(match)
         if made is None:
-            made = self.encode(" " + piece)
-        if len(piece) <= LONGEST_PIECE:
-            if len(self) >= MAX_PIECES:
+            made = id_bytes(self.machine.encode(match.encode()))
+        if len(match) <= LONGEST_MATCH:
+            if len(self) >= MAX_MATCHES:
                 self.old = dict(self)
                 self.clear()
-            self[piece] = made
+            self[match] = made
         return made
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACES.search(text):
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        return (self.encode(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        return b"".join(map(self.__getitem__, self.split(text))) if text else b""
 
 
 @functools.lru_cache(maxsize=1)
-def transducer_encoder(path: str, pattern: str) -> PieceEncoder:
-    """A :class:`PieceEncoder` over the transducer, each match of ``pattern`` encoded separately; one per worker process, kept between tasks."""
-    machine, split = Transducer(load_ranks(path)), regex.compile(pattern)
-
-    def encode(text: str) -> bytes:
-        out: list[int] = []
-        for part in split.findall(text):
-            out += machine.encode(part.encode())
-        return np.array(out, "<u4").tobytes()
-
-    return PieceEncoder(encode)
+def transducer_encoder(path: str, pattern: str) -> MatchEncoder:
+    """A :class:`MatchEncoder` over the transducer; one per worker process, kept between tasks."""
+    return MatchEncoder(Transducer(load_ranks(path)), pattern)
 
 
 class Utf8Stream:
@@ -220,6 +243,36 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def stream_decoder(path: str):
+    """A function from ids to text through :class:`Utf8Stream`, 4,096 ids at a time; one per worker process, kept between tasks. Unknown ids raise."""
+    token = {r: t for t, r in load_ranks(path).items()}.__getitem__
+
+    def decode(ids: list[int]) -> str:
+        stream = Utf8Stream()
+        parts = [stream.feed(b"".join(map(token, ids[i : i + 4096]))) for i in range(0, len(ids), 4096)]
+        return "".join(parts) + stream.finish()
+
+    return decode
+
+
+@functools.lru_cache(maxsize=1)
+def decimals(path: str) -> list[str]:
+    return [str(i) for i in range(max(load_ranks(path).values()) + 1)]
+
+
+@contextlib.contextmanager
+def uncollected():
+    """Without passes of the cycle collector: the machine's memory is a few million tuples, none of them in a cycle."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, out: str = "ids") -> DataFrame:
     """``keep`` columns (default: all) and ``out array<int>``, the ids of the whole text; null counts as empty.
 
@@ -232,7 +285,8 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", kee
     def run(batches):
         encoder = transducer_encoder(path, pattern)
         for batch in batches:
-            made = [encoder.ids(t) if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            with uncollected():
+                made = [encoder.ids(t) if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(m) // 4 for m in made]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*keep, out])
@@ -247,27 +301,33 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | Non
     schema = with_fields(df, keep, f"`{out}` string")
 
     def run(batches):
-        token = load_ranks(path)
-        token = {r: t for t, r in token.items()}.__getitem__
+        decode = stream_decoder(path)
         for batch in batches:
-            texts = []
-            col = batch.column(batch.num_columns - 1)
-            for row in col:
-                if not row.is_valid:
-                    texts.append(None)
-                    continue
-                values, stream, parts = row.values.to_numpy(zero_copy_only=False).tolist(), Utf8Stream(), []
-                for i in range(0, len(values), 4096):
-                    parts.append(stream.feed(b"".join(map(token, values[i : i + 4096]))))
-                texts.append("".join(parts) + stream.finish())
+            texts = [decode(row.values.to_numpy(zero_copy_only=False).tolist()) if row.is_valid else None for row in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, out])
 
     return df.select(*[df[c] for c in keep], df[ids].alias("__ids")).mapInArrow(run, schema)
 
 
 def round_trip_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, ``n_tokens``, SHA-256 of the ids joined by spaces, and of the decoded text."""
-    encoded = encode_texts(df.select(df[id_col].alias("__id"), df[text].alias("__text_in")), path, pattern, "__text_in", ["__id"])
-    encoded = encoded.select("__id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    decoded = decode_ids(encoded, path, "ids", ["__id", "n_tokens", "ids_sha256"], "decoded")
-    return decoded.select(F.col("__id").alias(id_col), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Per row: id, ``n_tokens``, SHA-256 of the ids joined by spaces, and of the text decoded from the ids.
+
+    Encoding, decoding and digests are one pass: the ids never leave the task.
+    """
+    configure(df.sparkSession)
+    src = df.select(df[id_col].alias(id_col), df[text].alias("__text"))
+    schema = with_fields(src, [id_col], "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def run(batches):
+        encoder, decode, name = transducer_encoder(path, pattern), stream_decoder(path), decimals(path).__getitem__
+        for batch in batches:
+            n, of_ids, of_text = [], [], []
+            with uncollected():
+                for t in batch.column(1).to_pylist():
+                    ids = np.frombuffer(encoder.ids(t or ""), "<u4").tolist()
+                    n.append(len(ids))
+                    of_ids.append(hashlib.sha256(" ".join(map(name, ids)).encode()).hexdigest())
+                    of_text.append(hashlib.sha256(decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return src.mapInArrow(run, schema)
