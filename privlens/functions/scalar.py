@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The label of a suppressed cell.
 STAR = "*"
@@ -34,10 +35,14 @@ def seeded_order(seed: int | str, stream: str, key: Column) -> Column:
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """``df`` with a contiguous 0-based row position, for tables without a key.
 
-    One pass counts the partitions, so no row is moved; the order is the source's own.
+    One pass counts the partitions' rows; a row's place in its partition then gives its position, and no
+    row is moved. The order is the source's own.
     """
-    schema = df.schema.add(name, "long", False)
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    sizes = df.groupBy(F.spark_partition_id().alias("__p")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__p", before.alias("__start"))  # a row per partition
+    placed = df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return placed.join(F.broadcast(starts), "__p").select(*df.columns, (F.col("__start") + F.col("__i")).alias(name))
 
 
 def three_decimals(value: Column) -> Column:

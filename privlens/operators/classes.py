@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privlens.functions.scalar import STAR, ratio, three_decimals
-from privlens.operators.hierarchy import Hierarchy
+from privlens.operators.hierarchy import Hierarchy, attach_many
 
 SUPPRESSED = "is_suppressed"
 
@@ -61,30 +61,48 @@ def reidentification_risk(classes: DataFrame, by: Sequence[str] = ()) -> DataFra
     )
 
 
-def _leaf_counts(original: DataFrame, hierarchies: Mapping[str, Hierarchy], levels: Mapping[str, int], name: str) -> DataFrame:
-    """``(label, n_leaves)`` of an attribute's level, with the domain's size as ``domain``."""
-    domain = original.select(F.col(name)).where(F.col(name).isNotNull()).distinct()
-    counts = hierarchies[name].leaf_counts(domain)
-    size = counts.where(F.col("level") == 0).agg(F.count("*").alias("domain"))
-    return counts.where(F.col("level") == levels[name]).select("label", "n_leaves").crossJoin(F.broadcast(size))  # one row
+def _cells(df: DataFrame, attributes: Sequence[str], keep: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``(keep, __a, __v0, __v1, ...)``: a row per cell with its attribute's number and its value, typed as it was, in its own column."""
+    columns = {a: f"__v{i}" for i, a in enumerate(attributes)}
+    structs = [F.struct(F.lit(i).alias("__a"), *[(F.col(a) if a == b else F.lit(None).cast(df.schema[b].dataType)).alias(c) for b, c in columns.items()]) for i, a in enumerate(attributes)]
+    return df.select(*keep, F.explode(F.array(*structs)).alias("__c")).select(*keep, "__c.*"), columns
+
+
+def _named(out: DataFrame, attributes: Sequence[str], by: Sequence[str], value: str) -> DataFrame:
+    return out.select(*by, F.element_at(F.array(*map(F.lit, attributes)), F.col("__a") + 1).alias("attribute"), value)
+
+
+def _leaf_counts(original: DataFrame, hierarchies: Mapping[str, Hierarchy], levels: Mapping[str, int]) -> DataFrame:
+    """``(__a, label, n_leaves, domain)`` of every attribute's level: leaves under each label, and leaves in all."""
+    observed = [a for a in levels if hierarchies[a].rows is None]
+    numbers = {a: i for i, a in enumerate(levels)}
+    spark, parts = original.sparkSession, []
+    if observed:
+        cells, columns = _cells(original, observed, [])
+        leaves = cells.where(F.coalesce(*[F.col(c).cast("string") for c in columns.values()]).isNotNull()).distinct()
+        renumbered = F.element_at(F.array(*[F.lit(numbers[a]) for a in observed]), F.col("__a") + 1)
+        parts.append(attach_many(leaves, {a: levels[a] for a in observed}, hierarchies, columns, "__a", "label").groupBy(renumbered.alias("__a"), "label").agg(F.count("*").alias("n_leaves")))
+    listed = [(numbers[a], r[levels[a]]) for a in levels if hierarchies[a].rows is not None for r in {r[0]: r for r in hierarchies[a].rows}.values()]
+    if listed:
+        parts.append(spark.createDataFrame(listed, "__a int, label string").groupBy("__a", "label").agg(F.count("*").alias("n_leaves")))
+    counts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return counts.withColumn("domain", F.sum("n_leaves").over(Window.partitionBy("__a")))
 
 
 def granularity(released: DataFrame, original: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], by: Sequence[str] = ()) -> DataFrame:
     """``(by, attribute, granularity)``: 1 minus the mean share of the domain that a cell leaves open.
 
     A cell costs ``(leaves - 1) / (domain - 1)``; a suppressed cell costs 1, and a domain of one value costs
-    nothing unless suppressed. Labels are counted first, so the leaf table meets one row per label.
+    nothing unless suppressed. All attributes are counted by label in one pass over the release.
     """
-    out = None
     flag = F.col(SUPPRESSED) if SUPPRESSED in released.columns else F.lit(False)
-    for name in levels:
-        labels = released.groupBy(*by, flag.alias("s"), F.col(name).cast("string").alias("label")).agg(F.count("*").alias("n"))
-        leaves = _leaf_counts(original, hierarchies, levels, name)
-        cost = F.when(F.col("s") | F.col("n_leaves").isNull(), F.lit(1.0)).otherwise(F.coalesce(ratio(F.col("n_leaves") - 1, F.col("domain") - 1), F.lit(0.0)))
-        part = labels.join(leaves, "label", "left").groupBy(*by).agg((1.0 - ratio(F.sum(cost * F.col("n")), F.sum("n"))).alias("granularity"))
-        part = part.select(*by, F.lit(name).alias("attribute"), "granularity")
-        out = part if out is None else out.unionByName(part)
-    return out
+    text = released.select(*by, flag.alias("__s"), *[F.col(a).cast("string").alias(a) for a in levels])
+    cells, columns = _cells(text, list(levels), [*by, "__s"])
+    labels = cells.groupBy(*by, "__s", "__a", F.coalesce(*columns.values()).alias("label")).agg(F.count("*").alias("n"))
+    leaves = _leaf_counts(original, hierarchies, levels)
+    cost = F.when(F.col("__s") | F.col("n_leaves").isNull(), F.lit(1.0)).otherwise(F.coalesce(ratio(F.col("n_leaves") - 1, F.col("domain") - 1), F.lit(0.0)))
+    sums = labels.join(leaves, ["__a", "label"], "left").groupBy(*by, "__a").agg((1.0 - ratio(F.sum(cost * F.col("n")), F.sum("n"))).alias("granularity"))
+    return _named(sums, list(levels), by, "granularity")
 
 
 def nonuniform_entropy(released: DataFrame, original: DataFrame, key: str, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], by: Sequence[str] = ()) -> DataFrame:
@@ -92,25 +110,21 @@ def nonuniform_entropy(released: DataFrame, original: DataFrame, key: str, level
 
     A cell loses ``-log2(f(value) / f(label))``, where ``f(label)`` counts the original records that the label
     covers; a suppressed cell's label covers all. The original holds ``-sum log2(f(value) / n)``; where that is
-    zero the score is 1. Only counts per value go through the hierarchy.
+    zero the score is 1. Release and original are joined once; only counts per value go through the hierarchies.
     """
-    out = None
     flag = F.col(SUPPRESSED) if SUPPRESSED in released.columns else F.lit(False)
-    group = lambda *more: [*by, *more]
-    for name, level in levels.items():
-        both = released.select(*by, key, flag.alias("s")).join(original.select(key, F.col(name).alias("value")), key)
-        values = both.groupBy(*group("value")).agg(F.count("*").alias("fv"), F.sum(F.col("s").cast("long")).alias("gone"))
-        values = hierarchies[name].attach(values, level, "label", "value")
-        labels = values.groupBy(*group("label")).agg(F.sum("fv").alias("fl"))
-        whole = values.groupBy(*by).agg(F.sum("fv").alias("n"))
-        cells = values.join(labels, group("label"))
-        cells = cells.join(whole, list(by)) if by else cells.crossJoin(F.broadcast(whole))  # one row
-        fv, lose = F.col("fv"), lambda under: -F.log2(F.col("fv") / under)
-        lost = (fv - F.col("gone")) * lose(F.col("fl")) + F.col("gone") * lose(F.col("n"))
-        sums = cells.groupBy(*by).agg(F.sum(lost).alias("lost"), F.sum(fv * lose(F.col("n"))).alias("had"))
-        part = sums.select(*by, F.lit(name).alias("attribute"), (1.0 - F.coalesce(ratio(F.col("lost"), F.col("had")), F.lit(0.0))).alias("entropy"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    both = released.select(*by, key, flag.alias("__s")).join(original.select(key, *levels), key)
+    cells, columns = _cells(both, list(levels), [*by, "__s"])
+    values = cells.groupBy(*by, "__a", *columns.values()).agg(F.count("*").alias("fv"), F.sum(F.col("__s").cast("long")).alias("gone"))
+    values = attach_many(values, levels, hierarchies, columns, "__a", "label")
+    fl = F.sum("fv").over(Window.partitionBy(*by, "__a", "label"))
+    n = F.sum("fv").over(Window.partitionBy(*by, "__a"))
+    counted = values.select(*by, "__a", "fv", "gone", fl.alias("fl")).withColumn("n", n)
+    fv, lose = F.col("fv"), lambda under: -F.log2(F.col("fv") / under)
+    lost = (fv - F.col("gone")) * lose(F.col("fl")) + F.col("gone") * lose(F.col("n"))
+    sums = counted.groupBy(*by, "__a").agg(F.sum(lost).alias("lost"), F.sum(fv * lose(F.col("n"))).alias("had"))
+    out = sums.select(*by, "__a", (1.0 - F.coalesce(ratio(F.col("lost"), F.col("had")), F.lit(0.0))).alias("entropy"))
+    return _named(out, list(levels), by, "entropy")
 
 
 def discernibility(df: DataFrame, qis: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -19,22 +19,54 @@ K = 5
 TREES = 100
 
 
+#: Vectors of a block of test or training vectors that meet in one task.
+KNN_BLOCK = 2048
+
+
 def knn_predict(train: DataFrame, test: DataFrame, by: Sequence[str] = (), key: str = "id", features: str = "features", label: str = "label", k: int = K) -> DataFrame:
     """``(by, key, predicted, confidence)`` by the ``k`` nearest training vectors of the same job (squared distance, ties to the smaller key).
 
-    The most frequent label wins, ties to the smaller label; confidence is its share. A test vector meets
-    every training vector of its own job (or of the one table given), as the definition asks; the ranking
-    keeps only ``k`` of them per test vector.
+    The most frequent label wins, ties to the smaller label; confidence is its share. Test and training vectors are
+    cut into blocks of about ``KNN_BLOCK``; each test block meets each training block of its job in a task, and only
+    the ``k`` nearest of a block move on. Keys and labels are integers; vectors of a job have one length.
     """
-    a = test.select(*by, F.col(key).alias("__q"), F.col(features).alias("__x"))
-    b = train.select(*by, F.col(key).alias("__t"), F.col(features).alias("__y"), F.col(label).alias("__l"))
-    pairs = a.join(b, list(by)) if by else a.crossJoin(b)
-    square = F.aggregate(F.zip_with("__x", "__y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    near = pairs.select(*by, "__q", "__t", "__l", square.alias("__d"))
+    n_test, n_train = test.count(), train.count()
+    cuts = [max(1, -(-n // KNN_BLOCK)) for n in (n_test, n_train)]
+    keys = [*by, "__i", "__j"]
+    other = lambda cut: F.explode(F.sequence(F.lit(0), F.lit(cut - 1)))
+    block = lambda name, cut: F.pmod(F.xxhash64(F.col(name)), F.lit(cut)).cast("int")
+    a = test.select(*by, F.col(key).cast("long").alias("__q"), F.col(features).cast("array<double>").alias("__x")).withColumn("__i", block("__q", cuts[0])).withColumn("__j", other(cuts[1]))
+    b = train.select(*by, F.col(key).cast("long").alias("__t"), F.col(features).cast("array<double>").alias("__y"), F.col(label).cast("long").alias("__l")).withColumn("__j", block("__t", cuts[1])).withColumn("__i", other(cuts[0]))
+
+    def near(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        found = {"__q": [], "__t": [], "__l": [], "__d": []}
+        if len(asks) and len(known):
+            known = known.sort_values("__t", kind="stable")
+            y, t, l = np.stack(known["__y"].to_numpy()), known["__t"].to_numpy(), known["__l"].to_numpy()
+            squares = (y * y).sum(axis=1)
+            for q, x in zip(asks["__q"].to_numpy(), asks["__x"].to_numpy()):
+                on = np.arange(len(t))
+                if len(t) > k:
+                    # a quick estimate rules out what cannot be among the nearest; the rest is measured
+                    rough = squares - 2.0 * (y @ x)
+                    scale = 1e-9 * (squares.max() + x @ x)
+                    on = np.flatnonzero(rough <= np.partition(rough, k - 1)[k - 1] + scale)
+                d = ((y[on] - x) ** 2).sum(axis=1)
+                best = np.lexsort((t[on], d))[:k]
+                for name, v in (("__q", np.full(len(best), q)), ("__t", t[on][best]), ("__l", l[on][best]), ("__d", d[best])):
+                    found[name].append(v)
+        out = pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in found.items()})
+        for i, c in enumerate(by):
+            out.insert(i, c, (asks if len(asks) else known)[c].iloc[0])
+        return out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.select(*by).schema.fields) + ", " * bool(by) + "__q long, __t long, __l long, __d double"
+    met = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(near, schema)
     w = Window.partitionBy(*by, "__q").orderBy("__d", "__t")
-    votes = near.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).groupBy(*by, "__q", "__l").agg(F.count("*").alias("__n"))
+    votes = met.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).groupBy(*by, "__q", "__l").agg(F.count("*").alias("__n"))
     order = F.struct(F.col("__n"), -F.col("__l"))
-    return votes.groupBy(*by, "__q").agg(F.max_by("__l", order).alias("predicted"), (F.max("__n") / F.sum("__n")).alias("confidence")).withColumnRenamed("__q", key)
+    out = votes.groupBy(*by, "__q").agg(F.max_by("__l", order).alias("predicted"), (F.max("__n") / F.sum("__n")).alias("confidence"))
+    return out.select(*by, F.col("__q").cast(test.schema[key].dataType).alias(key), F.col("predicted").cast(train.schema[label].dataType).alias("predicted"), "confidence")
 
 
 # --- models of one job, in numpy -------------------------------------------------------------------

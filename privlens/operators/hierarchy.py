@@ -92,10 +92,12 @@ class Hierarchy:
 
     def table(self, domain: DataFrame) -> DataFrame:
         """``(attribute, leaf, level, label)`` over a one-column ``domain`` of leaves (or over the rows' own leaves)."""
-        leaves = domain if self.rows is None else domain.sparkSession.createDataFrame([(r[0],) for r in self.rows], "leaf string").distinct()
-        leaf = F.col(leaves.columns[0])
+        if self.rows is not None:
+            listed = dict.fromkeys((r[0], i, label) for r in {r[0]: r for r in reversed(self.rows)}.values() for i, label in enumerate(r))
+            return domain.sparkSession.createDataFrame(list(listed), "leaf string, level int, label string").select(F.lit(self.attribute).alias("attribute"), "leaf", "level", "label")
+        leaf = F.col(domain.columns[0])
         levels = F.array(*[F.struct(F.lit(i).alias("level"), self.label(leaf, i).alias("label")) for i in range(self.height + 1)])
-        return leaves.select(F.lit(self.attribute).alias("attribute"), leaf.cast("string").alias("leaf"), F.explode(levels).alias("x")).select("attribute", "leaf", "x.level", "x.label")
+        return domain.select(F.lit(self.attribute).alias("attribute"), leaf.cast("string").alias("leaf"), F.explode(levels).alias("x")).select("attribute", "leaf", "x.level", "x.label")
 
     def leaf_counts(self, domain: DataFrame) -> DataFrame:
         """``(attribute, level, label, n_leaves)``; labels recur across levels, so both make the key."""
@@ -111,6 +113,31 @@ def all_labels(spark: SparkSession, hierarchies: Sequence[Hierarchy], domains: M
     return out.distinct() if out is not None else spark.createDataFrame([], "attribute string, label string")
 
 
+def attach_many(values: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], typed: Mapping[str, str], number: str, out: str) -> DataFrame:
+    """``values`` with ``out``, the label of the attribute whose position in ``levels`` stands in ``number`` and whose value in column ``typed[attribute]``.
+
+    Large listed hierarchies share one join; all others are computed in place.
+    """
+    exprs, listed = [], []
+    for i, (name, level) in enumerate(levels.items()):
+        h = hierarchies[name]
+        if level and h.rows is not None and len(h.rows) > MAP_LIMIT:
+            first = {r[0]: r for r in reversed(h.rows)}
+            listed += [(i, str(float(leaf)) if h.numeric else leaf, r[level]) for leaf, r in first.items()]
+            exprs.append((i, None, F.col(typed[name]).try_cast("double").cast("string") if h.numeric else F.col(typed[name]).cast("string")))
+        else:
+            exprs.append((i, h.label(F.col(typed[name]), level), None))
+    computed = F.coalesce(*[F.when(F.col(number) == i, e) for i, e, _ in exprs if e is not None], F.lit(None).cast("string"))
+    if not listed:
+        return values.withColumn(out, computed)
+    side = values.sparkSession.createDataFrame(listed, "__i int, __leaf string, __label string")
+    leaf = F.coalesce(*[F.when(F.col(number) == i, k) for i, _, k in exprs if k is not None], F.lit(None).cast("string"))
+    marked = values.withColumn("__key", leaf)
+    joined = marked.join(side, (marked[number] == side["__i"]) & (marked["__key"] == side["__leaf"]), "left")
+    large = F.col(number).isin([i for i, e, _ in exprs if e is None])
+    return joined.withColumn(out, F.when(large, F.coalesce("__label", F.lit(STAR))).otherwise(computed)).drop("__key", "__i", "__leaf", "__label")
+
+
 def generalize(df: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy]) -> DataFrame:
     """``df`` with each attribute of ``levels`` replaced by its label at that level (full-domain generalization)."""
     for name, level in levels.items():

@@ -8,6 +8,7 @@ from enum import Enum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 from privlens.functions.scalar import STAR, epoch_ms, ratio
@@ -159,18 +160,43 @@ def enrich(specs: Sequence[AttributeSpec], df: DataFrame) -> list[AttributeSpec]
     ]
 
 
+def exact_medians(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """``(attribute, median)`` of numeric columns over a whole table, without gathering a column in one task.
+
+    A first pass brackets the middle by approximate quantiles, whose rank error is a tenth of the bracket's width;
+    a second counts the values below the bracket and each value in it, and the middle ranks are read off those.
+    """
+    cells = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("v")) for a in attributes])
+    long = df.select(F.explode(cells).alias("c")).select("c.*").where("v is not null")
+    ends = long.groupBy("attribute").agg(F.percentile_approx("v", [0.499, 0.501], 10_000).alias("ends"), F.count("*").alias("n"))
+    ends = ends.select("attribute", F.col("ends")[0].alias("lo"), F.col("ends")[1].alias("hi"), "n")
+    near = long.join(F.broadcast(ends), "attribute").where(F.col("v") <= F.col("hi"))  # a row per attribute
+    counts = near.groupBy("attribute", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("attribute").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto)
+    middle = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
+    return ranked.groupBy("attribute").agg(((middle(F.floor((F.col("n") + 1) / 2)) + middle(F.floor(F.col("n") / 2) + 1)) / 2).alias("median"))
+
+
 def summary_statistics(df: DataFrame, attributes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(by, attribute, n, min, max, mean, median, variance)``, each column over its own non-null values; one pass, exact medians."""
+    """``(by, attribute, n, min, max, mean, median, variance)``, each column over its own non-null values, medians exact.
+
+    Groups of ``by`` are samples, whose medians one aggregation finds; those of a whole table come from :func:`exact_medians`.
+    """
     aggs = []
     for i, a in enumerate(attributes):
         v = F.col(a).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.median(v).alias(f"md{i}"), F.var_samp(v).alias(f"v{i}")]
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.var_samp(v).alias(f"v{i}")]
+        aggs += [F.median(v).alias(f"md{i}")] if by else []
     wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     rows = F.array(*[
-        F.struct(F.lit(a).alias("attribute"), F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"m{i}").alias("mean"), F.col(f"md{i}").alias("median"), F.col(f"v{i}").alias("variance"))
+        F.struct(F.lit(a).alias("attribute"), F.col(f"n{i}").alias("n"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.col(f"m{i}").alias("mean"), (F.col(f"md{i}") if by else F.lit(None).cast("double")).alias("median"), F.col(f"v{i}").alias("variance"))
         for i, a in enumerate(attributes)
     ])
-    return wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+    out = wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+    if by:
+        return out
+    return out.drop("median").join(exact_medians(df, attributes), "attribute", "left").select("attribute", "n", "min", "max", "mean", "median", "variance")
 
 
 def frequency_distribution(df: DataFrame, attributes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -185,8 +211,6 @@ def frequency_distribution(df: DataFrame, attributes: Sequence[str], by: Sequenc
 
 def dictionary(domain: DataFrame) -> DataFrame:
     """``(attribute, value, code)``: codes are the 0-based rank of the value within its attribute."""
-    from pyspark.sql.window import Window
-
     rank = F.dense_rank().over(Window.partitionBy("attribute").orderBy("value")) - 1
     return domain.select("attribute", "value").distinct().withColumn("code", rank.cast("int"))
 

@@ -7,10 +7,11 @@ turned into features and classified; no loop runs per sample.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +23,7 @@ from privlens.operators.privacy import Model
 from privlens.operators.recode import release
 from privlens.operators.sampling import overlapping_split
 from privlens.operators.schema import dictionary, distinct_values
+from privlens.sources.shared import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -82,7 +84,8 @@ def membership(df: DataFrame, key: str, jobs: DataFrame, plan: Assessment, rows:
     """``(sample_id, key)``: who is in each sample.
 
     Pools are the cohort (test) or the background (train) of the run, without the job's target. The pair
-    of a step shares one draw: the sample with the target loses the last row of the order.
+    of a step shares one draw: the sample with the target loses the last row of the order. The result is a
+    written table.
     """
     pools = None
     for run in range(plan.runs):
@@ -90,30 +93,50 @@ def membership(df: DataFrame, key: str, jobs: DataFrame, plan: Assessment, rows:
         part = split.select(F.lit(run).alias("run_id"), F.col(key), F.explode(F.array_compact(F.array(F.when(F.col("cohort"), F.lit("test")), F.when(F.col("background"), F.lit("train"))))).alias("phase"))
         pools = part if pools is None else pools.unionByName(part)
     draws = jobs.where("not target_in").select("run_id", "target_id", "phase", "k")
-    candidates = draws.join(pools, ["run_id", "phase"]).where(F.col(key) != F.col("target_id"))
-    stream = F.concat_ws(":", F.lit("draw"), "run_id", "target_id", "phase", "k", F.col(key).cast("string"))
-    w = Window.partitionBy("run_id", "target_id", "phase", "k").orderBy("__o", key)
-    drawn = candidates.withColumn("__o", seeded_order(plan.seed, "sample", stream)).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.when(F.col("phase") == "train", plan.sample).otherwise(plan.sample_test or plan.sample))
-    last = F.max("__r").over(Window.partitionBy("run_id", "target_id", "phase", "k"))
-    drawn = drawn.withColumn("__last", F.col("__r") == last)
-    pair = jobs.select("sample_id", "run_id", "target_id", "phase", "k", "target_in")
-    kept = pair.join(drawn, ["run_id", "target_id", "phase", "k"]).where("not (target_in and __last)").select("sample_id", F.col(key))
-    return kept.unionByName(pair.where("target_in").select("sample_id", F.col("target_id").cast(df.schema[key].dataType).alias(key)))
-
-
-def sample_features(df: DataFrame, key: str, members: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """The released rows of all samples, and their features, in one plan each."""
+    on = ["run_id", "target_id", "phase", "k"]
+    wanted = F.when(F.col("phase") == "train", plan.sample).otherwise(plan.sample_test or plan.sample)
+    stream = F.concat_ws(":", F.lit("draw"), *on, F.col(key).cast("string"))
+    ordered = draws.join(pools, ["run_id", "phase"]).where(F.col(key) != F.col("target_id")).withColumn("__o", seeded_order(plan.seed, "sample", stream))
+    w = Window.partitionBy(*on).orderBy("__o", key)
+
+    def drawn_below(bar: Column | None) -> DataFrame:
+        # a draw takes its smallest digests: what lies clearly above the share it needs is gone before the shuffle
+        some = ordered if bar is None else ordered.where(F.col("__o") <= bar)
+        return some.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= wanted).select(*on, key, "__r")
+
+    bars = {p: _digest_bar(n, size) for p, n, size in (("train", plan.sample, plan.background), ("test", plan.sample_test or plan.sample, plan.cohort))}
+    drawn = materialize(drawn_below(F.when(F.col("phase") == "train", F.lit(bars["train"])).otherwise(F.lit(bars["test"]))), "draws")
+    least = F.least(wanted, F.when(F.col("phase") == "train", plan.background).otherwise(plan.cohort) - 1)
+    full = drawn.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    if not draws.join(full, on, "left_anti").isEmpty():
+        discard(drawn)
+        drawn = materialize(drawn_below(None), "draws")
+    last = drawn.groupBy(*on).agg(F.max("__r").alias("__last"))
+    pair = jobs.select("sample_id", *on, "target_in")
+    kept = pair.join(drawn.join(last, on), on).where("not (target_in and __r = __last)").select("sample_id", F.col(key))
+    members = materialize(kept.unionByName(pair.where("target_in").select("sample_id", F.col("target_id").cast(df.schema[key].dataType).alias(key))), "members")
+    discard(drawn)
+    return members
+
+
+def _digest_bar(n: int, pool: int) -> str:
+    """Six hexadecimal digits under which nearly surely at least ``n`` of ``pool`` uniform digests lie."""
+    share = (n + 8.0 * math.sqrt(n) + 16.0) / max(pool - 1, 1)
+    return "g" if share >= 1 else f"{min(16**6 - 1, math.ceil(share * 16**6)):06x}"
+
+
+def sample_features(df: DataFrame, key: str, members: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The released rows of all samples, their features in one plan, and the dictionary; the first and the last are written tables."""
     by = ["sample_id"]
     rows = members.join(df, key)
-    out = release(rows, levels, hierarchies, models, sensitive, by)
+    out = materialize(release(rows, levels, hierarchies, models, sensitive, by), "released")
     categorical = [a for a in levels if a not in numeric]
     domain = distinct_values(df, categorical)
     for a in categorical:
         labels = hierarchies[a].table(df.select(a).where(F.col(a).isNotNull()).distinct()).select("attribute", F.col("label").alias("value"))
         domain = domain.unionByName(labels)
     star = df.sparkSession.createDataFrame([(a, "*") for a in categorical], "attribute string, value string")
-    codes = dictionary(domain.unionByName(star)) if categorical else star.withColumn("code", F.lit(0))
-    codes = codes.persist()
+    codes = materialize(dictionary(domain.unionByName(star)) if categorical else star.withColumn("code", F.lit(0)), "codes")
     sizes = {r["attribute"]: r["n"] for r in codes.groupBy("attribute").agg(F.count("*").alias("n")).collect()}
     kinds = {
         "NAIVE": lambda: fe.naive(out, list(numeric), categorical, codes, by),
@@ -122,18 +145,31 @@ def sample_features(df: DataFrame, key: str, members: DataFrame, levels: Mapping
     }
     if plan.features == "ENSEMBLE":
         lengths = {k: fe.feature_count(k, len(numeric), [sizes[a] for a in categorical]) for k in kinds}
-        return out, fe.ensemble([(make(), lengths[k]) for k, make in kinds.items()], by)
-    return out, kinds[plan.features]()
+        return out, fe.ensemble([(make(), lengths[k]) for k, make in kinds.items()], by), codes
+    return out, kinds[plan.features](), codes
 
 
 def assess(df: DataFrame, key: str, targets: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = ()) -> DataFrame:
     """``(run_id, target_id, k, true_label, predicted, confidence, p_member)`` of every test sample."""
-    jobs = job_plan(targets, key, plan)
+    guesses, released, jobs = assess_fully(df, key, targets, levels, hierarchies, models, numeric, plan, sensitive)
+    discard(released, jobs)
+    return guesses.drop("sample_id")
+
+
+def assess_fully(df: DataFrame, key: str, targets: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = (), jobs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The guesses of :func:`assess` with their ``sample_id``, all samples' released rows with their keys, and the jobs, each a written table.
+
+    ``jobs`` may be given to assess only some of :func:`job_plan`'s rows.
+    """
+    jobs = materialize(job_plan(targets, key, plan) if jobs is None else jobs, "jobs")
     members = membership(df, key, jobs, plan, df.count())
-    _, long = sample_features(df, key, members, levels, hierarchies, models, numeric, plan, sensitive)
+    out, long, codes = sample_features(df, key, members, levels, hierarchies, models, numeric, plan, sensitive)
     vectors = jobs.join(fe.dense(long, ["sample_id"]), "sample_id").withColumn("label", F.col("target_in").cast("int"))
     guesses = predict_jobs(vectors, ["run_id", "target_id"], plan.classifier, plan.seed)
-    return guesses.join(jobs.select("sample_id", "k", F.col("target_in").cast("int").alias("true_label")), "sample_id").select("run_id", "target_id", "k", "true_label", "predicted", "confidence", "p_member")
+    named = guesses.join(jobs.select("sample_id", "k", F.col("target_in").cast("int").alias("true_label")), "sample_id")
+    done = materialize(named.select("sample_id", "run_id", "target_id", "k", "true_label", "predicted", "confidence", "p_member"), "guesses")
+    discard(members, codes)
+    return done, out, jobs
 
 
 def attack_accuracy(guesses: DataFrame, distances: DataFrame, key: str, runs: int, tests: int) -> DataFrame:

@@ -404,10 +404,14 @@ def nonuniform_entropy(spark, sf):
     return rounded(cl.nonuniform_entropy(released(spark, sf), part(spark, sf), "p_partkey", LEVELS, part_hierarchies()))
 
 
+def _three(v: str) -> str:
+    """Three decimals, half up, of the decimal number that the double prints as."""
+    return f"CAST(CAST(CAST(CAST({v} AS VARCHAR) AS DECIMAL(30, 14)) AS DECIMAL(18, 3)) AS VARCHAR)"
+
+
 @query(
-    f"""WITH {_KSUP}, s AS (SELECT CAST(p_size AS DOUBLE) AS v FROM part), a AS (SELECT CAST(p.p_size AS DOUBLE) AS v FROM part p JOIN rel USING (p_partkey) WHERE NOT is_suppressed)
-SELECT 'p_size' AS attribute, '[' || printf('%.3f', (SELECT min(v) FROM s)) || ', ' || printf('%.3f', (SELECT min(v) FROM a)) || ']' AS min, '[' || printf('%.3f', (SELECT max(v) FROM s)) || ', ' || printf('%.3f', (SELECT max(v) FROM a)) || ']' AS max,
-  '[' || printf('%.3f', (SELECT avg(v) FROM s)) || ', ' || printf('%.3f', (SELECT avg(v) FROM a)) || ']' AS mean, '[' || printf('%.3f', (SELECT median(v) FROM s)) || ', ' || printf('%.3f', (SELECT median(v) FROM a)) || ']' AS median"""
+    f"WITH {_KSUP}, s AS (SELECT CAST(p_size AS DOUBLE) AS v FROM part), a AS (SELECT CAST(p.p_size AS DOUBLE) AS v FROM part p JOIN rel USING (p_partkey) WHERE NOT is_suppressed) SELECT 'p_size' AS attribute, "
+    + ", ".join(f"'[' || {_three(f'(SELECT {f}(v) FROM s)')} || ', ' || {_three(f'(SELECT {f}(v) FROM a)')} || ']' AS {name}" for f, name in (("min", "min"), ("max", "max"), ("avg", "mean"), ("median", "median")))
 )
 def location_limits(spark, sf):
     df = part(spark, sf).select("p_partkey", "p_size")
