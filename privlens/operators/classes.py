@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,9 +23,18 @@ def live_rows(df: DataFrame) -> DataFrame:
     return df.where(~F.col(SUPPRESSED)) if SUPPRESSED in df.columns else df
 
 
+#: A column that says how many equal rows a row stands for; see :func:`row_count`.
+WEIGHT = "__weight"
+
+
+def row_count(df: DataFrame) -> Column:
+    """The number of rows of a group: each counts once, or ``__weight`` times where the table has that column."""
+    return F.sum(WEIGHT).cast("long") if WEIGHT in df.columns else F.count("*")
+
+
 def equivalence_classes(df: DataFrame, qis: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``(by, qis, class_size)`` over live rows."""
-    return live_rows(df).groupBy(*by, *qis).agg(F.count("*").alias("class_size"))
+    return live_rows(df).groupBy(*by, *qis).agg(row_count(df).alias("class_size"))
 
 
 def class_size_histogram(classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:

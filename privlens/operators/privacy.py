@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from privlens.functions.scalar import ratio
-from privlens.operators.classes import SUPPRESSED, equivalence_classes, live_rows
+from privlens.functions.scalar import ratio, seeded_order
+from privlens.operators.classes import SUPPRESSED, equivalence_classes, live_rows, row_count
 from privlens.operators.hierarchy import Hierarchy
 
 #: Slack of comparisons with a threshold, for sums in another order.
@@ -26,7 +26,7 @@ EPS = 1e-9
 
 def value_counts(df: DataFrame, qis: Sequence[str], sensitive: str, by: Sequence[str] = ()) -> DataFrame:
     """``(by, qis, __s, __n)``: how often each sensitive value occurs in each class of live rows."""
-    return live_rows(df).groupBy(*by, *qis, F.col(sensitive).cast("string").alias("__s")).agg(F.count("*").alias("__n"))
+    return live_rows(df).groupBy(*by, *qis, F.col(sensitive).cast("string").alias("__s")).agg(row_count(df).alias("__n"))
 
 
 def class_grid(df: DataFrame, qis: Sequence[str], sensitive: str, by: Sequence[str] = ()) -> DataFrame:
@@ -152,16 +152,18 @@ def safepub_k(epsilon: float, delta: float, limit: int = 10_000) -> int:
     raise ValueError(f"no k up to {limit} gives delta {delta}")
 
 
+def is_drawn(key: str, epsilon: float, seed: int | str = 0) -> Column:
+    """Whether a row is in the Bernoulli sample of a budget, by 12 hexadecimal digits of a keyed digest."""
+    return F.conv(F.substring(seeded_order(seed, "dp", F.col(key)), 1, 12), 16, 10).cast("double") / float(16**12) < safepub_beta(epsilon)
+
+
 def safepub(df: DataFrame, key: str, qis: Sequence[str], epsilon: float, delta: float, seed: int | str = 0) -> DataFrame:
     """``df`` with ``is_sampled`` and ``is_suppressed``: a seeded Bernoulli sample, then k-anonymity of the sample with the k that the budget asks for.
 
-    Rows outside the sample are suppressed. A row is drawn by 15 hexadecimal digits of a keyed digest.
+    Rows outside the sample are suppressed.
     """
-    from privlens.functions.scalar import seeded_order
-
-    beta, k = safepub_beta(epsilon), safepub_k(epsilon, delta)
-    unit = F.conv(F.substring(seeded_order(seed, "dp", F.col(key)), 1, 12), 16, 10).cast("double") / float(16**12)
-    drawn = df.withColumn("is_sampled", unit < beta)
+    k = safepub_k(epsilon, delta)
+    drawn = df.withColumn("is_sampled", is_drawn(key, epsilon, seed))
     sizes = drawn.where("is_sampled").groupBy(*[F.col(q).alias(f"__k{i}") for i, q in enumerate(qis)]).agg(F.count("*").alias("__n"))
     on = reduce(lambda a, b: a & b, [F.col(q).eqNullSafe(F.col(f"__k{i}")) for i, q in enumerate(qis)])
     out = drawn.join(sizes, on, "left").select(*drawn.columns, "__n")
@@ -266,22 +268,37 @@ def population_uniques(sizes: dict[int, int], population: float, model: str = "P
     return min(found, population)
 
 
-def population_uniqueness(df: DataFrame, qis: Sequence[str], threshold: float, population: float, model: str = "PITMAN") -> DataFrame:
-    """Classes with ``ok``: what stays when classes go smallest first until estimated uniques over the population are at most ``threshold``.
+#: Inhabitants of regions that a configuration may name instead of a population; round figures, to be replaced by ``population`` where it matters.
+REGIONS = {
+    "USA": 319e6, "CANADA": 35.5e6, "EUROPE": 741e6, "EUROPEAN_UNION": 507e6, "GERMANY": 81e6, "FRANCE": 66e6, "UK": 64.5e6,
+    "CHINA": 1367e6, "INDIA": 1267e6, "AUSTRALIA": 23.5e6, "WORLD": 7200e6,
+}
 
-    Only class-size counts leave the executors: one row per distinct size.
+
+def population_cut(hist: DataFrame, threshold: float, population: float, model: str = "PITMAN", by: Sequence[str] = ()) -> DataFrame:
+    """``(by, cut)``: the smallest class size that may stay, from ``hist(by, class_size, n)``, one row per distinct size.
+
+    Classes go smallest first until the estimated uniques over the population are at most ``threshold``; a population
+    smaller than the table (or 0, for none known) counts as the table itself.
     """
-    classes = equivalence_classes(df, qis)
-    hist = {int(r["class_size"]): int(r["n"]) for r in classes.groupBy("class_size").agg(F.count("*").alias("n")).collect()}
-    cut = 1
-    for size in sorted(hist):
-        left = {j: f for j, f in hist.items() if j >= size}
-        cut = size
-        if population_uniques(left, population, model) / population <= threshold:
-            break
-    else:
-        cut = max(hist, default=0) + 1
-    return classes.withColumn("ok", F.col("class_size") >= cut)
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = {int(z): int(n) for z, n in zip(pdf["class_size"], pdf["n"])}
+        whole = max(population, float(sum(z * n for z, n in sizes.items())))
+        cut = next((z for z in sorted(sizes) if population_uniques({j: f for j, f in sizes.items() if j >= z}, whole, model) / whole <= threshold), max(sizes, default=0) + 1)
+        return pd.DataFrame({b: [pdf[b].iloc[0]] for b in by} | {"cut": [cut]})
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in hist.select(*by).schema.fields) + "cut long"
+    return hist.groupBy(*by).applyInPandas(run, schema)
+
+
+def population_uniqueness(df: DataFrame, qis: Sequence[str], threshold: float, population: float, model: str = "PITMAN", by: Sequence[str] = ()) -> DataFrame:
+    """Classes with ``ok``: what stays when classes go smallest first until estimated uniques over the population are at most ``threshold``."""
+    classes = equivalence_classes(df, qis, by)
+    cut = population_cut(classes.groupBy(*by, "class_size").agg(F.count("*").alias("n")), threshold, population, model, by)
+    out = classes.join(cut, list(by)) if by else classes.crossJoin(F.broadcast(cut))  # one row
+    return out.withColumn("ok", F.col("class_size") >= F.col("cut")).drop("cut")
 
 
 # --- models as values ------------------------------------------------------------------------------
@@ -289,7 +306,7 @@ def population_uniqueness(df: DataFrame, qis: Sequence[str], threshold: float, p
 
 @dataclass(frozen=True)
 class Model:
-    """A configured model; ``kind`` is its name in configuration files."""
+    """A configured model; ``kind`` is its name in configuration files and the key of its function in :data:`MODELS`."""
 
     kind: str
     parameter: float
@@ -301,24 +318,34 @@ class Model:
 
     def classes(self, df: DataFrame, qis: Sequence[str], sensitive: Sequence[str], by: Sequence[str] = ()) -> list[DataFrame]:
         """One table of classes with ``ok`` per sensitive attribute (one for models without)."""
-        per = {
-            "DistinctLDiversity": distinct_l_diversity, "EntropyLDiversity": entropy_l_diversity, "EqualDistanceTCloseness": t_closeness_equal,
-            "DDisclosurePrivacy": d_disclosure, "EnhancedBLikeness": enhanced_b_likeness,
-        }
-        names = self.attributes or tuple(sensitive)
-        if self.kind == "k-Anonymity":
-            return [k_anonymity(df, qis, int(self.parameter), by)]
-        if self.kind == "AverageReidentificationRisk":
-            return [average_reidentification_risk(df, qis, self.parameter, by)]
-        if self.kind == "PopulationUniqueness":
-            return [population_uniqueness(df, qis, self.parameter, self.population, self.estimator)]
-        if self.kind == "HierarchicalDistanceTCloseness":
-            return [t_closeness_hierarchical(df, qis, s, self.hierarchy, self.parameter, by) for s in names]
-        if self.kind in per:
-            if not names:
-                raise ValueError(f"{self.kind} needs a sensitive attribute")
-            return [per[self.kind](df, qis, s, self.parameter, by) for s in names]
-        raise ValueError(f"unknown privacy model {self.kind}")
+        if self.kind not in MODELS:
+            raise ValueError(f"unknown privacy model {self.kind}")
+        return MODELS[self.kind](self, df, qis, list(self.attributes or sensitive), by)
+
+
+def _per_attribute(function):
+    def run(m: Model, df: DataFrame, qis: Sequence[str], names: Sequence[str], by: Sequence[str]) -> list[DataFrame]:
+        if not names:
+            raise ValueError(f"{m.kind} needs a sensitive attribute")
+        return [function(df, qis, s, m.parameter, by) for s in names]
+
+    return run
+
+
+#: Functions ``(model, df, qis, attributes, by)`` to tables of classes with ``ok``; add an entry for a model of your own.
+#: Differential privacy asks the k of its budget here; :func:`privlens.operators.recode.release` draws its sample.
+MODELS = {
+    "k-Anonymity": lambda m, df, qis, names, by: [k_anonymity(df, qis, int(m.parameter), by)],
+    "AverageReidentificationRisk": lambda m, df, qis, names, by: [average_reidentification_risk(df, qis, m.parameter, by)],
+    "PopulationUniqueness": lambda m, df, qis, names, by: [population_uniqueness(df, qis, m.parameter, m.population, m.estimator, by)],
+    "EDDifferentialPrivacy": lambda m, df, qis, names, by: [k_anonymity(df, qis, safepub_k(m.parameter, m.delta), by)],
+    "DistinctLDiversity": _per_attribute(distinct_l_diversity),
+    "EntropyLDiversity": _per_attribute(entropy_l_diversity),
+    "EqualDistanceTCloseness": _per_attribute(t_closeness_equal),
+    "HierarchicalDistanceTCloseness": lambda m, df, qis, names, by: [t_closeness_hierarchical(df, qis, s, m.hierarchy, m.parameter, by) for s in names],
+    "DDisclosurePrivacy": _per_attribute(d_disclosure),
+    "EnhancedBLikeness": _per_attribute(enhanced_b_likeness),
+}
 
 
 def satisfied(df: DataFrame, qis: Sequence[str], models: Sequence[Model], sensitive: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from privlens.functions.scalar import STAR
 from privlens.operators.classes import SUPPRESSED
 from privlens.operators.hierarchy import Hierarchy, generalize
-from privlens.operators.privacy import Model, satisfied
+from privlens.operators.privacy import Model, is_drawn, satisfied
+from privlens.sources.shared import shared_dir
 
 
 def suppress(df: DataFrame, qis: Sequence[str], classes: DataFrame, by: Sequence[str] = (), identifying: Sequence[str] = ()) -> DataFrame:
@@ -25,11 +26,23 @@ def suppress(df: DataFrame, qis: Sequence[str], classes: DataFrame, by: Sequence
     return joined.select(*[cells[c].alias(c) if c in cells else F.col(c) for c in df.columns if c != SUPPRESSED], flag)
 
 
-def release(df: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], sensitive: Sequence[str] = (), by: Sequence[str] = (), identifying: Sequence[str] = ()) -> DataFrame:
-    """Generalize to ``levels``, then suppress the classes that violate a model."""
+def release(df: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], sensitive: Sequence[str] = (), by: Sequence[str] = (), identifying: Sequence[str] = (), key: str | None = None, seed: int | str = 0) -> DataFrame:
+    """Generalize to ``levels``, then suppress the classes that violate a model.
+
+    With differential privacy among the models only a sample drawn by ``key`` is released; the rows outside it are
+    suppressed, and all models hold for the sample.
+    """
     general = generalize(df, levels, hierarchies)
     qis = list(levels)
-    return suppress(general, qis, satisfied(general, qis, models, sensitive, by), by, identifying)
+    budget = next((m.parameter for m in models if m.kind == "EDDifferentialPrivacy"), None)
+    if budget is None:
+        return suppress(general, qis, satisfied(general, qis, models, sensitive, by), by, identifying)
+    if key is None:
+        raise ValueError("differential privacy draws rows by a key")
+    drawn = is_drawn(key, budget, seed)
+    inside = suppress(general.where(drawn), qis, satisfied(general.where(drawn), qis, models, sensitive, by), by, identifying)
+    hidden = [F.lit(STAR).alias(c) if c in qis or c in identifying else F.col(c) for c in general.columns if c != SUPPRESSED]
+    return inside.unionByName(general.where(~drawn).select(*hidden, F.lit(True).alias(SUPPRESSED)))
 
 
 def identity_release(df: DataFrame) -> DataFrame:
@@ -73,15 +86,17 @@ def micro_aggregate_expr(name: str, column: str, ignore_missing: bool = True) ->
     return out if ignore_missing else F.when(F.count(v) == F.count(F.lit(1)), out)
 
 
-def micro_aggregate(df: DataFrame, class_columns: Sequence[str], functions: Mapping[str, str], ignore_missing: bool = True, by: Sequence[str] = ()) -> DataFrame:
+def micro_aggregate(df: DataFrame, class_columns: Sequence[str], functions: Mapping[str, str], ignore_missing: bool | Mapping[str, bool] = True, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with each column of ``functions`` replaced by its class's aggregate.
 
     ``class_columns`` define the class: with clustering they include the (generalized) attribute itself,
-    without it they do not. Aggregates are computed per class and joined back.
+    without it they do not. Aggregates are computed per class and joined back. ``ignore_missing`` holds for all
+    columns, or names those that differ.
     """
+    skip = ignore_missing if isinstance(ignore_missing, Mapping) else dict.fromkeys(functions, ignore_missing)
     keys = [*by, *class_columns]
     # a class column may be aggregated too: its value in the class is what it was grouped by
-    agg = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(*[micro_aggregate_expr(f, c, ignore_missing).alias(f"__a_{c}") for c, f in functions.items()])
+    agg = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(*[micro_aggregate_expr(f, c, skip.get(c, True)).alias(f"__a_{c}") for c, f in functions.items()])
     on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(agg[f"__k{i}"]) for i, k in enumerate(keys)])
     joined = df.join(agg, on)
     return joined.select(*[F.col(f"__a_{c}").alias(c) if c in functions else df[c] for c in df.columns])
@@ -94,6 +109,8 @@ def local_recoding(df: DataFrame, key: str, rounds: Sequence[Mapping[str, int]],
     session's checkpoint folder, so that long loops keep a short lineage. What no round releases stays
     suppressed.
     """
+    if checkpoint:
+        shared_dir(df.sparkSession)
     done, rest = None, df
     for i, levels in enumerate(rounds):
         out = release(rest, levels, hierarchies, models, sensitive)
@@ -113,11 +130,12 @@ def local_recoding_search(df: DataFrame, key: str, choose, hierarchies: Mapping[
 
     Stops after ``iterations`` rounds, or when a round releases fewer than ``1 / iterations`` of all rows.
     """
+    shared_dir(df.sparkSession)
     n = df.count()
     least = max(1, -(-n // iterations))
     done, rest = None, df
     for _ in range(iterations):
-        out = release(rest, choose(rest), hierarchies, models, sensitive).checkpoint()
+        out = release(rest, choose(rest), hierarchies, models, sensitive, key=key).checkpoint()
         live = out.where(~F.col(SUPPRESSED))
         done = live if done is None else done.unionByName(live)
         left = rest.join(out.where(F.col(SUPPRESSED)).select(key), key, "left_semi").checkpoint()

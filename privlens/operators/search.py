@@ -6,17 +6,21 @@ batch then read that small table. Only one row per node returns to the driver.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
 import time
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from privlens.functions.scalar import ratio, total
+from privlens.operators.classes import WEIGHT
 from privlens.operators.hierarchy import Hierarchy
+from privlens.operators.privacy import Model, is_drawn, safepub_k, satisfied
 
 #: Nodes evaluated in one job; bounds a job's expansion of the tuple table.
 BATCH = 64
@@ -30,13 +34,31 @@ def loss_weights(gs: float = 0.5) -> tuple[float, float]:
     return (1.0 if gs <= 0.5 else 2.0 * (1.0 - gs)), (1.0 if gs >= 0.5 else 2.0 * gs)
 
 
-def lattice(hierarchies: Mapping[str, Hierarchy], bounds: Mapping[str, tuple[int | None, int | None]] | None = None) -> list[tuple[int, ...]]:
-    """All level vectors within the bounds, by height and then in order."""
+def by_height(hierarchies: Mapping[str, Hierarchy], bounds: Mapping[str, tuple[int | None, int | None]] | None = None):
+    """The level vectors within the bounds one by one, by height and then in order; none is held."""
     ranges = []
     for name, h in hierarchies.items():
         lo, hi = (bounds or {}).get(name, (None, None))
-        ranges.append(range(max(0, lo or 0), min(h.height, h.height if hi is None else hi) + 1))
-    return sorted(itertools.product(*ranges), key=lambda v: (sum(v), v))
+        ranges.append((max(0, lo or 0), min(h.height, h.height if hi is None else hi)))
+
+    def with_sum(i: int, left: int):
+        if i == len(ranges):
+            if not left:
+                yield ()
+            return
+        lo, hi = ranges[i]
+        low, high = (sum(r[e] for r in ranges[i + 1 :]) for e in (0, 1))
+        for x in range(max(lo, left - high), min(hi, left - low) + 1):
+            for rest in with_sum(i + 1, left - x):
+                yield (x, *rest)
+
+    for height in range(sum(lo for lo, _ in ranges), sum(hi for _, hi in ranges) + 1):
+        yield from with_sum(0, height)
+
+
+def lattice(hierarchies: Mapping[str, Hierarchy], bounds: Mapping[str, tuple[int | None, int | None]] | None = None) -> list[tuple[int, ...]]:
+    """All level vectors within the bounds, by height and then in order; for lattices that are small."""
+    return list(by_height(hierarchies, bounds))
 
 
 def lattice_frame(spark, hierarchies: Mapping[str, Hierarchy], bounds=None) -> DataFrame:
@@ -65,12 +87,13 @@ def base_tuples(df: DataFrame, hierarchies: Mapping[str, Hierarchy], sensitive:
     return out
 
 
-def evaluate(base: DataFrame, names: Sequence[str], nodes: Sequence[tuple[int, ...]], k: int, gs: float = 0.5, aggregate: str = "GEOMETRIC_MEAN", by: Sequence[str] = ()) -> DataFrame:
-    """``(by, node, levels, classes, suppressed, loss)`` of each node under k-anonymity with unlimited suppression.
+def evaluate(base: DataFrame, names: Sequence[str], nodes: Sequence[tuple[int, ...]], k: int = 1, gs: float = 0.5, aggregate: str = "GEOMETRIC_MEAN", by: Sequence[str] = (), models: Sequence[Model] = (), sensitive: Sequence[str] = ()) -> DataFrame:
+    """``(by, node, levels, rows, classes, suppressed, loss, losses)`` of each node; classes that violate k-anonymity or a model are suppressed.
 
     A cell of a kept record costs its label's share of the domain, of a suppressed record 1; both are
-    weighted by :func:`loss_weights` and averaged per attribute before the aggregate. ``RANK`` orders
-    nodes by the sorted attribute losses and is reported as their maximum.
+    weighted by :func:`loss_weights` and averaged per attribute (``losses``) before the aggregate. ``RANK``
+    compares the attribute losses, largest first, and reports the largest. Models other than k-anonymity
+    need a base with their sensitive attributes.
     """
     spark = base.sparkSession
     gf, sf = loss_weights(gs)
@@ -78,10 +101,16 @@ def evaluate(base: DataFrame, names: Sequence[str], nodes: Sequence[tuple[int, .
     labels = [F.element_at(f"l_{a}", F.col("levels")[i] + 1).alias(f"k{i}") for i, a in enumerate(names)]
     shares = [(F.element_at(f"g_{a}", F.col("levels")[i] + 1) * F.col("n")).alias(f"s{i}") for i, a in enumerate(names)]
     # each tuple meets each node of the batch; the batch is at most BATCH rows
-    expanded = base.crossJoin(F.broadcast(listed)).select(*by, "node", "levels", "n", *labels, *shares)
+    expanded = base.crossJoin(F.broadcast(listed)).select(*by, "node", "levels", "n", *labels, *shares, *sensitive)
     keys = [f"k{i}" for i in range(len(names))]
     classes = expanded.groupBy(*by, "node", "levels", *keys).agg(F.sum("n").alias("size"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(names))])
     ok = F.col("size") >= k
+    if models:
+        verdict = satisfied(expanded.select(*by, "node", *keys, *sensitive, F.col("n").alias(WEIGHT)), keys, models, sensitive, [*by, "node"])
+        verdict = verdict.select(*[F.col(c).alias(f"__{c}") for c in (*by, "node", *keys)], "ok")
+        on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, "node", *keys)])
+        classes = classes.join(verdict, on, "left")
+        ok = ok & F.coalesce(F.col("ok"), F.lit(False))
     sums = classes.groupBy(*by, "node", "levels").agg(
         F.sum("size").alias("rows"),
         F.sum(F.when(ok, 1).otherwise(0)).alias("classes"),
@@ -99,7 +128,30 @@ def evaluate(base: DataFrame, names: Sequence[str], nodes: Sequence[tuple[int, .
         loss = F.greatest(*per) if len(per) > 1 else per[0]
     else:
         raise ValueError(f"unknown aggregate {aggregate}")
-    return sums.select(*by, "node", "levels", "classes", "suppressed", loss.alias("loss"))
+    return sums.select(*by, "node", "levels", "rows", "classes", "suppressed", loss.alias("loss"), F.array(*per).alias("losses"))
+
+
+def order_key(losses: Sequence[float], aggregate: str) -> tuple[float, ...]:
+    """What nodes are compared by, from their attribute losses; it never falls where a loss rises."""
+    losses = [x or 0.0 for x in losses]
+    if aggregate == "RANK":
+        return tuple(round(x, 9) for x in sorted(losses, reverse=True))
+    if aggregate == "GEOMETRIC_MEAN":
+        return (round(math.exp(sum(math.log(max(x, 1e-300)) for x in losses) / len(losses)), 9),)
+    if aggregate == "MAXIMUM":
+        return (round(max(losses), 9),)
+    return (round(sum(losses) / (len(losses) if aggregate == "ARITHMETIC_MEAN" else 1), 9),)
+
+
+def least_losses(base: DataFrame, hierarchies: Mapping[str, Hierarchy], gs: float = 0.5) -> list[list[float]]:
+    """Per attribute and level, a loss that no node with that level undercuts: every cell at the cheaper of its label's cost and suppression.
+
+    One pass over the tuples gives the bounds of all nodes.
+    """
+    gf, sf = loss_weights(gs)
+    cost = lambda a, i: F.coalesce(F.least(F.element_at(f"g_{a}", i + 1) * gf, F.lit(sf)), F.lit(0.0)) * F.col("n")
+    row = base.agg(F.sum("n").alias("rows"), *[F.sum(cost(a, i)).alias(f"x_{j}_{i}") for j, (a, h) in enumerate(hierarchies.items()) for i in range(h.height + 1)]).first()
+    return [[(row[f"x_{j}_{i}"] or 0.0) / (row["rows"] or 1) for i in range(h.height + 1)] for j, h in enumerate(hierarchies.values())]
 
 
 def best_node(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -112,20 +164,28 @@ def best_node(evaluated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 class Search:
-    """Searches a lattice under k-anonymity by one of three strategies, within a step and a time limit.
+    """Searches a lattice for the node of least loss whose suppression is within ``limit``, by one of three strategies, within a step and a time limit.
 
-    OPTIMAL evaluates every node (with unlimited suppression every node is feasible, so losses are
-    compared and nothing is pruned); BOTTOM_UP expands the best node found so far; GENETIC evolves level
-    vectors with a seed. Spellings ``BEST_EFFORT_*``, ``EXACT`` and ``HEURISTIC`` are accepted.
+    OPTIMAL takes nodes by a lower bound of their loss and stops where the bound exceeds the best loss found, so the
+    lattice is never listed and what cannot win is never evaluated; BOTTOM_UP expands the best node found so far;
+    GENETIC evolves level vectors with a seed. Spellings ``BEST_EFFORT_*``, ``EXACT`` and ``HEURISTIC`` are accepted.
+    All models decide which classes are suppressed. If no node evaluated is within the limit, the one that suppresses
+    least is returned.
     """
 
     NAMES = {"OPTIMAL": "OPTIMAL", "EXACT": "OPTIMAL", "HEURISTIC": "BOTTOM_UP", "BEST_EFFORT_BOTTOM_UP": "BOTTOM_UP", "BOTTOM_UP": "BOTTOM_UP", "BEST_EFFORT_GENETIC": "GENETIC", "GENETIC": "GENETIC"}
 
-    def __init__(self, hierarchies: Mapping[str, Hierarchy], k: int, algorithm: str = "OPTIMAL", steps: int | None = None, millis: int | None = None, gs: float = 0.5, aggregate: str = "GEOMETRIC_MEAN", bounds=None, seed: int = 0):
+    def __init__(self, hierarchies: Mapping[str, Hierarchy], k: int = 1, algorithm: str = "OPTIMAL", steps: int | None = None, millis: int | None = None, gs: float = 0.5, aggregate: str = "GEOMETRIC_MEAN", bounds=None, seed: int = 0, models: Sequence[Model] = (), sensitive: Sequence[str] = (), limit: float = 1.0):
         self.hierarchies, self.k, self.gs, self.aggregate, self.bounds, self.seed = dict(hierarchies), k, gs, aggregate, bounds or {}, seed
         self.algorithm = self.NAMES[algorithm.upper()]
         self.steps, self.millis = steps if steps is not None else 2**31 - 1, millis
         self.names = list(hierarchies)
+        self.models, self.limit = list(models), limit
+        # k-anonymity alone reads class sizes only
+        if {m.kind for m in self.models} == {"k-Anonymity"}:
+            self.k, self.models = max(int(m.parameter) for m in models), []
+        named = [s for m in self.models for s in (m.attributes or sensitive)]
+        self.sensitive = [s for s in dict.fromkeys([*sensitive, *named]) if s not in self.names] if self.models else []
         self.seen: dict[tuple[int, ...], tuple] = {}
 
     def _range(self, i: int) -> tuple[int, int]:
@@ -136,26 +196,44 @@ class Search:
     def _score(self, base: DataFrame, nodes: Sequence[tuple[int, ...]]) -> None:
         new = [n for n in dict.fromkeys(nodes) if n not in self.seen][: max(0, self.steps - len(self.seen))]
         for at in range(0, len(new), BATCH):
-            for r in evaluate(base, self.names, new[at : at + BATCH], self.k, self.gs, self.aggregate).collect():
+            for r in evaluate(base, self.names, new[at : at + BATCH], self.k, self.gs, self.aggregate, models=self.models, sensitive=self.sensitive).collect():
                 v = tuple(r["levels"])
-                self.seen[v] = (round(r["loss"], 9), sum(v), v)
+                fits = r["suppressed"] <= self.limit * r["rows"] + 1e-9
+                self.seen[v] = (not fits, () if fits else (r["suppressed"],), order_key(r["losses"], self.aggregate), sum(v), v)
 
     def _spent(self, began: float) -> bool:
         return len(self.seen) >= self.steps or (self.millis is not None and (time.monotonic() - began) * 1000 >= self.millis)
 
+    def _by_bound(self, base: DataFrame, ranges: Sequence[tuple[int, int]], began: float) -> None:
+        least = least_losses(base, self.hierarchies, self.gs)
+        entry = lambda v: (order_key([x[level] for x, level in zip(least, v)], self.aggregate), sum(v), v)
+        bottom = tuple(lo for lo, _ in ranges)
+        heap, met = [entry(bottom)], {bottom}
+        while heap and not self._spent(began):
+            best = min(self.seen.values(), default=None)
+            reach = None if best is None or best[0] else best[2]
+            batch = []
+            while heap and len(batch) < (BATCH if self.seen else 1) and (reach is None or heap[0][0] <= reach):
+                v = heapq.heappop(heap)[2]
+                batch.append(v)
+                for i, x in enumerate(v):
+                    up = (*v[:i], x + 1, *v[i + 1 :])
+                    if x < ranges[i][1] and up not in met:
+                        met.add(up)
+                        heapq.heappush(heap, entry(up))
+            if not batch:
+                break
+            self._score(base, batch)
+
     def run(self, df: DataFrame) -> dict[str, int]:
         """The level vector of least loss among those evaluated."""
-        base = base_tuples(df, self.hierarchies).persist()
+        base = base_tuples(df, self.hierarchies, self.sensitive).persist()
         began = time.monotonic()
         ranges = [self._range(i) for i in range(len(self.names))]
         bottom = tuple(lo for lo, _ in ranges)
         try:
             if self.algorithm == "OPTIMAL":
-                every = sorted(itertools.product(*[range(lo, hi + 1) for lo, hi in ranges]), key=lambda v: (sum(v), v))
-                for at in range(0, len(every), BATCH):
-                    self._score(base, every[at : at + BATCH])
-                    if self._spent(began):
-                        break
+                self._by_bound(base, ranges, began)
             elif self.algorithm == "BOTTOM_UP":
                 self._score(base, [bottom])
                 expanded: set = set()
@@ -163,7 +241,7 @@ class Search:
                     open_ = sorted((s for v, s in self.seen.items() if v not in expanded))
                     if not open_:
                         break
-                    v = open_[0][2]
+                    v = open_[0][-1]
                     expanded.add(v)
                     self._score(base, [(*v[:i], x + 1, *v[i + 1 :]) for i, x in enumerate(v) if x < ranges[i][1]])
             else:
@@ -174,7 +252,7 @@ class Search:
                 idle = 0
                 while not self._spent(began) and idle < 5:
                     had = len(self.seen)
-                    elite = [s[2] for s in sorted(self.seen.values())[:8]]
+                    elite = [s[-1] for s in sorted(self.seen.values())[:8]]
                     children = []
                     for _ in range(16):
                         a, b = (elite[int(rng.integers(len(elite)))] for _ in range(2))
@@ -187,5 +265,29 @@ class Search:
         finally:
             base.unpersist()
         if not self.seen:
-            self.seen[bottom] = (math.inf, sum(bottom), bottom)
-        return dict(zip(self.names, min(self.seen.values())[2]))
+            self.seen[bottom] = (True, (math.inf,), (), sum(bottom), bottom)
+        return dict(zip(self.names, min(self.seen.values())[-1]))
+
+
+def private_levels(df: DataFrame, key: str, hierarchies: Mapping[str, Hierarchy], epsilon: float, delta: float, budget: float, bounds=None, steps: int = 300, seed: int = 0) -> dict[str, int]:
+    """A level vector for a differentially private release with ``epsilon`` in all, ``budget`` of which the choice spends.
+
+    The sample of the remaining budget is scored under its k: the rows a node keeps, times one minus its mean share of the
+    domain. A row changes a score by ``k`` at most, and a node is drawn with a chance of ``exp(budget * score / 2k)``
+    (exponential mechanism). The first ``steps`` nodes by height are candidates.
+    """
+    rest = epsilon - budget
+    k = safepub_k(rest, delta)
+    base = base_tuples(df.where(is_drawn(key, rest, seed)), hierarchies).persist()
+    nodes = list(itertools.islice(by_height(hierarchies, bounds), steps))
+    scores = []
+    for at in range(0, len(nodes), BATCH):
+        shares = {v: 0.0 for v in nodes[at : at + BATCH]}
+        for r in evaluate(base, list(hierarchies), nodes[at : at + BATCH], k, 0.0, "ARITHMETIC_MEAN").collect():
+            shares[tuple(r["levels"])] = r["rows"] - r["suppressed"]
+        scores += list(shares.values())
+    base.unpersist()
+    flat = [1.0 - sum(x / max(1, h.height) for x, h in zip(v, hierarchies.values())) / len(hierarchies) for v in nodes]
+    weight = np.array(scores) * np.array(flat) * budget / (2.0 * k)
+    chance = np.exp(weight - weight.max())
+    return dict(zip(hierarchies, nodes[int(np.random.default_rng(seed).choice(len(nodes), p=chance / chance.sum()))]))

@@ -367,6 +367,27 @@ def population_uniqueness(spark, sf):
     return privacy.population_uniqueness(df, QIS, 0.0005, 20.0 * max(1, df.count()))
 
 
+@query(f"WITH k AS (SELECT p_brand, p_type, p_size, count(*) AS class_size FROM part GROUP BY ALL), n AS (SELECT CAST(sum(class_size) AS DOUBLE) AS n, sum(CASE WHEN class_size = 1 THEN 1 ELSE 0 END) AS own FROM k) SELECT k.*, class_size >= CASE WHEN own / n <= 0.01 THEN 1 ELSE 2 END AS ok FROM k, n")
+def sample_uniqueness(spark, sf):
+    # the population is the table itself: its uniques are known
+    return privacy.population_uniqueness(part(spark, sf), QIS, 0.01, 0.0)
+
+
+def _zayatz_sql(threshold: float, factor: float) -> str:
+    """Zayatz's estimate for every cut; the first that holds wins. Population is ``factor`` times the table."""
+    return f"""WITH k AS (SELECT p_brand, p_type, p_size, count(*) AS class_size FROM part GROUP BY ALL), h AS (SELECT class_size AS z, CAST(count(*) AS DOUBLE) AS f FROM k GROUP BY 1), p AS (SELECT {factor} * count(*) AS pop FROM part),
+e AS (SELECT a.z AS cut, sum(b.z * b.f) / any_value(pop) AS pi, sum(b.f) AS u, sum(CASE WHEN b.z = 1 THEN b.f ELSE 0 END) AS own, any_value(pop) AS pop FROM h a JOIN h b ON b.z >= a.z, p GROUP BY 1),
+s AS (SELECT cut, any_value(own) AS own, any_value(pi) AS pi, any_value(u) AS u, any_value(pop) AS pop, sum(f / u * z * pi * power(1 - pi, z - 1)) AS seen FROM e JOIN h ON h.z >= e.cut GROUP BY 1),
+c AS (SELECT coalesce(min(CASE WHEN CASE WHEN own = 0 THEN 0 ELSE least(own * (own / u * pi) / seen, pop) END / pop <= {threshold} THEN cut END), max(cut) + 1) AS cut FROM s)
+SELECT k.*, class_size >= cut AS ok FROM k, c"""
+
+
+@query(_zayatz_sql(0.0005, 20.0))
+def population_uniqueness_zayatz(spark, sf):
+    df = part(spark, sf)
+    return privacy.population_uniqueness(df, QIS, 0.0005, 20.0 * max(1, df.count()), "ZAYATZ")
+
+
 # --- quality ---------------------------------------------------------------------------------------
 
 
@@ -505,6 +526,59 @@ def loss_metric(spark, sf):
     return rounded(out.select(F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"), "classes", "suppressed", "loss"))
 
 
+# searches under other models: a made sensitive column of up to seven values, unevenly spread
+_KIND = "CAST((p_partkey * p_partkey) % 11 % 7 AS VARCHAR)"
+
+
+def _searched_sql(ok: str, limit: float) -> str:
+    """The best node by trying all of them: ``ok`` reads a class's size ``z``, its counts ``f0``.. of the sensitive values and their shares ``q0``.. of the table."""
+    def node(b: int, t: int, s: int) -> str:
+        shares = ", ".join(f"(SELECT count(DISTINCT {a}) / CAST((SELECT count(DISTINCT {a}) FROM part) AS DOUBLE) FROM part q WHERE {e.replace(a, 'q.' + a)} = k.k{i}) AS x{i}" for i, (a, e) in enumerate((("p_brand", _B[b]), ("p_type", _T[t]), ("p_size", _S[s]))))
+        cost = " ".join(f", sum(CASE WHEN ok THEN z * x{i} ELSE z END) / CAST(sum(z) AS DOUBLE) AS l{i}" for i in range(3))
+        counts = ", ".join(f"count(*) FILTER (WHERE {_KIND} = '{i}') AS f{i}" for i in range(7))
+        return (
+            f"SELECT '{b},{t},{s}' AS levels, {b + t + s} AS height, CAST(sum(z) AS BIGINT) AS n, CAST(coalesce(sum(CASE WHEN NOT ok THEN z ELSE 0 END), 0) AS BIGINT) AS suppressed{cost} "
+            f"FROM (SELECT k.z, {ok} AS ok, {shares} FROM (SELECT {_B[b]} AS k0, {_T[t]} AS k1, {_S[s]} AS k2, count(*) AS z, {counts} FROM part GROUP BY 1, 2, 3) k, q)"
+        )
+
+    table = "q AS (SELECT " + ", ".join(f"count(*) FILTER (WHERE {_KIND} = '{i}') / CAST(count(*) AS DOUBLE) AS q{i}" for i in range(7)) + " FROM part)"
+    return f"WITH {table}, v AS (" + " UNION ALL ".join(node(*n) for n in _NODES) + f") SELECT levels FROM v ORDER BY suppressed > {limit} * n + 1e-9, CASE WHEN suppressed > {limit} * n + 1e-9 THEN suppressed ELSE 0 END, round(exp((ln(l0) + ln(l1) + ln(l2)) / 3), 9), height, levels LIMIT 1"
+
+
+def _searched(spark, sf, models, limit: float, algorithm: str = "OPTIMAL") -> DataFrame:
+    kind = (F.col("p_partkey") * F.col("p_partkey") % 11 % 7).cast("string")
+    df = part(spark, sf).select(*QIS, kind.alias("kind"))
+    best = search.Search(part_hierarchies(), algorithm=algorithm, models=models, sensitive=["kind"], limit=limit).run(df)
+    return spark.createDataFrame([(",".join(str(best[q]) for q in QIS),)], "levels string")
+
+
+def _search(name: str, ok: str, models, limit: float) -> None:
+    def run(spark, sf):
+        return _searched(spark, sf, models, limit)
+
+    run.__name__ = name
+    query(_searched_sql(ok, limit), name)(run)
+
+
+_EACH = range(7)
+_search("search_suppression_limit", "z >= 5", [Model("k-Anonymity", 5)], 0.01)
+_search("search_l_diversity", " + ".join(f"CAST(f{i} > 0 AS INT)" for i in _EACH) + " >= 5", [Model("DistinctLDiversity", 5)], 0.2)
+_search("search_entropy_l_diversity", "(" + " + ".join(f"CASE WHEN f{i} > 0 THEN -f{i} / CAST(z AS DOUBLE) * ln(f{i} / CAST(z AS DOUBLE)) ELSE 0 END" for i in _EACH) + ") >= ln(4.5) - 1e-9", [Model("EntropyLDiversity", 4.5)], 0.3)
+_search("search_t_closeness", "(" + " + ".join(f"abs(f{i} / CAST(z AS DOUBLE) - q{i})" for i in _EACH) + ") / 2 <= 0.3 + 1e-9", [Model("EqualDistanceTCloseness", 0.3)], 0.4)
+_search("search_d_disclosure", " AND ".join(f"CASE WHEN f{i} > 0 THEN abs(ln(f{i} / CAST(z AS DOUBLE) / q{i})) < 1.5 - 1e-9 ELSE q{i} = 0 END" for i in _EACH), [Model("DDisclosurePrivacy", 1.5)], 0.5)
+_search("search_two_models", "z >= 8 AND (" + " + ".join(f"CAST(f{i} > 0 AS INT)" for i in _EACH) + ") >= 3", [Model("k-Anonymity", 8), Model("DistinctLDiversity", 3)], 0.05)
+
+
+_DP_SQL = f"""WITH {_FINE_SQL}, u AS (SELECT *, CAST('0x' || substr(md5('0:dp:' || CAST(p_partkey AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0 < {privacy.safepub_beta(_EPS)!r} AS inside FROM g),
+k AS (SELECT p_brand, p_type, p_size, count(*) AS n FROM u WHERE inside GROUP BY ALL), r AS (SELECT u.*, inside AND n >= {privacy.safepub_k(_EPS, _DELTA)} AS live FROM u LEFT JOIN k USING (p_brand, p_type, p_size))
+SELECT p_partkey, CASE WHEN live THEN p_brand ELSE '*' END AS p_brand, CASE WHEN live THEN p_type ELSE '*' END AS p_type, CASE WHEN live THEN p_size ELSE '*' END AS p_size, NOT coalesce(live, false) AS is_suppressed FROM r"""
+
+
+@query(_DP_SQL)
+def dp_release(spark, sf):
+    return recode.release(part(spark, sf).select("p_partkey", *QIS), _FINE, part_hierarchies(), [Model("EDDifferentialPrivacy", _EPS, delta=_DELTA)], key="p_partkey")
+
+
 _ROUNDS = [{"p_brand": 1, "p_type": 0, "p_size": 1}, {"p_brand": 1, "p_type": 1, "p_size": 2}]
 
 
