@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privlens.operators import classes as cl
 from privlens.operators import recode, schema, search, targets
+from privlens.operators.privacy import Model
 from privlens.plans import assessment as pa
 from privlens.sources import config as cf
+from privlens.sources import shared
 from privlens.sources import tables as tb
 
 
@@ -37,31 +39,45 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _levels(df: DataFrame, data: cf.DataConfig, anonymization: cf.AnonymizationConfig, hierarchies) -> dict[str, int]:
-    """The level vector a configuration leads to: searched, or the bottom for an identity release."""
+def _levels(df: DataFrame, data: cf.DataConfig, anonymization: cf.AnonymizationConfig, hierarchies, key: str = "row_id") -> dict[str, int]:
+    """The level vector a configuration leads to: searched under all its models and its suppression limit, or drawn within the budget of differential privacy."""
     qis = [q for q in schema.quasi_identifiers(data.specs, df.columns) if q in hierarchies]
     bounds = {s.name: (s.min_level, s.max_level if s.max_level is None or s.max_level >= 0 else None) for s in data.specs if s.name in qis}
     quality = anonymization.qualityModel or cf.QualityModel()
-    k = next((int(m.parameter) for m in anonymization.models() if m.kind == "k-Anonymity"), 1)
-    s = search.Search({q: hierarchies[q] for q in qis}, k, anonymization.algorithm, anonymization.heuristicSearchStepLimit, anonymization.heuristicSearchTimeLimit, quality.gsFactor, quality.aggregateFunction, bounds)
+    own = {q: hierarchies[q] for q in qis}
+    models = anonymization.models(hierarchies)
+    private = next((m for m in models if m.kind == "EDDifferentialPrivacy"), None)
+    if private:
+        return search.private_levels(df, key, own, private.parameter, private.delta, anonymization.differentialPrivacySearchBudget, bounds, anonymization.heuristicSearchStepLimit or 300)
+    s = search.Search(own, 1, anonymization.algorithm, anonymization.heuristicSearchStepLimit, anonymization.heuristicSearchTimeLimit, quality.gsFactor, quality.aggregateFunction, bounds, models=models, sensitive=schema.sensitive_attributes(data.specs), limit=anonymization.suppressionLimit)
     return s.run(df)
 
 
+def _release_models(anonymization: cf.AnonymizationConfig, hierarchies) -> list[Model]:
+    """The models that the release itself must hold: what a search spends of a differential privacy budget is taken off."""
+    spent = anonymization.differentialPrivacySearchBudget
+    return [replace(m, parameter=m.parameter - spent) if m.kind == "EDDifferentialPrivacy" else m for m in anonymization.models(hierarchies)]
+
+
 def anonymize(df: DataFrame, data: cf.DataConfig, anonymization: cf.AnonymizationConfig, key: str = "row_id") -> tuple[DataFrame, dict[str, int]]:
-    """The released table and its levels; with local recoding, rows of later rounds have levels of their own."""
+    """The released table and its levels; with local recoding, rows of later rounds have levels of their own. Micro-aggregation comes last."""
     hierarchies = data.hierarchies()
-    models = anonymization.models(hierarchies)
+    models = _release_models(anonymization, hierarchies)
     sensitive = schema.sensitive_attributes(data.specs)
     identifying = [s.name for s in data.specs if s.role is schema.Role.IDENTIFYING]
-    levels = _levels(df, data, anonymization, hierarchies)
+    levels = _levels(df, data, anonymization, hierarchies, key)
     rounds = anonymization.localGeneralizationIterations
     if anonymization.localGeneralization and rounds > 1:
-        return recode.local_recoding_search(df, key, lambda rest: _levels(rest, data, anonymization, hierarchies), hierarchies, models, rounds, sensitive), levels
-    out = recode.release(df, levels, hierarchies, models, sensitive, identifying=identifying)
-    micro = {s.name: s.micro_aggregation for s in data.specs if s.micro_aggregation}
+        out = recode.local_recoding_search(df, key, lambda rest: _levels(rest, data, anonymization, hierarchies, key), hierarchies, models, rounds, sensitive)
+        for name in identifying:
+            out = out.withColumn(name, F.lit("*"))
+    else:
+        out = recode.release(df, levels, hierarchies, models, sensitive, identifying=identifying, key=key)
+    specs = {s.name: s for s in data.specs}
+    micro = {n: s.micro_aggregation for n, s in specs.items() if s.micro_aggregation}
     if micro:
-        keys = [q for q in levels if q not in micro or next(s for s in data.specs if s.name == q).perform_clustering]
-        out = recode.micro_aggregate(out, keys, micro)
+        keys = [q for q in levels if q not in micro or specs[q].perform_clustering]
+        out = recode.micro_aggregate(out, keys, micro, {n: specs[n].ignore_missing for n in micro})
     return out, levels
 
 
@@ -76,27 +92,37 @@ def report(spark: SparkSession, data: cf.DataConfig, anonymization: cf.Anonymiza
     df = tb.read_table(spark, data)
     hierarchies = data.hierarchies()
     released, levels = anonymize(df, data, anonymization)
-    released = released.persist()
+    released = shared.materialize(released, "released")
     names = [F.lit(anonymization.name).alias("anon_name"), F.lit(data.name).alias("dataset_name")]
     g = cl.granularity(released, df, levels, hierarchies)
     e = cl.nonuniform_entropy(released, df, "row_id", levels, hierarchies)
     dataset = cl.dataset_metrics(released, df, "row_id", list(levels), levels, hierarchies)
     tb.write_report(dataset.select(*names, "*"), g.join(e, "attribute").select(*names, "*"), f"{out}/report")
-    cf.write_config(anonymization, Path(out) / "configs" / f"{anonymization.name}_{data.name}.yaml")
-    released.unpersist()
+    shared.write_text(spark, f"{out}/configs/{anonymization.name}_{data.name}.yaml", cf.config_text(anonymization))
+    tb.write_release(released, f"{out}/released_{anonymization.name}_{data.name}_{datetime.now(UTC):%Y%m%d_%H%M%S}")
+    shared.discard(released)
 
 
-def risk_assessment(spark: SparkSession, risk: cf.RiskAssessmentConfig, data: cf.DataConfig, anonymization: cf.AnonymizationConfig, name: str, out: str) -> list[str]:
-    """One assessment per feature type; returns the names of the results written."""
+def risk_assessment(spark: SparkSession, risk: cf.RiskAssessmentConfig, data: cf.DataConfig, anonymization: cf.AnonymizationConfig, name: str, out: str, progress=None) -> list[str]:
+    """One assessment per feature type; returns the names of the results written.
+
+    The runs of an assessment are batches: after each, ``progress(done, all)`` is told the releases made, and a file
+    ``STOP`` in ``out`` ends the assessment there. With checkpoint data the log of finished batches is kept by a fingerprint
+    of all configurations, and what is found there is not done again.
+    """
     df = tb.read_table(spark, data)
+    specs = schema.enrich(data.specs, df)
+    schema.check_no_empty_cells(df, specs, "row_id")
     n = df.count()
     hierarchies = data.hierarchies()
-    specs = schema.enrich(data.specs, df)
     qis = schema.quasi_identifiers(specs, df.columns)
+    considered = schema.attack_attributes(specs, risk.attributesForAttackType.upper().startswith("ALL_ATTR"))
     imported = tb.read_target_ids(spark, risk.targetFile) if risk.targetFile else None
-    picked = targets.select_targets(df, "row_id", risk.targetType, risk.targetCount, qis, risk.seed, imported)
+    picked = shared.materialize(targets.select_targets(df, "row_id", risk.targetType, risk.targetCount, qis, risk.seed, imported).select("row_id"), "targets")
     levels = _levels(df, data, anonymization, hierarchies)
-    numeric = {s.name: (s.minimum, s.maximum) for s in specs if s.name in qis and s.data_type is not schema.DataType.CATEGORICAL}
+    models, sensitive = _release_models(anonymization, hierarchies), schema.sensitive_attributes(specs)
+    numeric = {s.name: (s.minimum, s.maximum) for s in specs if s.name in considered and s.data_type is not schema.DataType.CATEGORICAL}
+    statistics = cf.read_statistics_config(risk.pathToStatisticsConfig) if risk.pathToStatisticsConfig else cf.StatisticsConfig()
     done = []
     for kind in risk.featureTypes:
         started = datetime.now(UTC)
@@ -107,18 +133,40 @@ def risk_assessment(spark: SparkSession, risk: cf.RiskAssessmentConfig, data: cf
         )
         stamp = started.strftime("%Y%m%d_%H%M")
         title = "_".join(filter(None, [stamp, name, risk.name, data.name, anonymization.name, kind]))
-        guesses = pa.assess(df, "row_id", picked.select("row_id"), levels, hierarchies, anonymization.models(hierarchies), numeric, plan, schema.sensitive_attributes(specs)).persist()
+        root = risk.pathToCheckpointData if risk.useCheckpointData and risk.pathToCheckpointData else f"{shared.shared_dir(spark)}/{title}"
+        store = tb.CheckpointStore(spark, root, cf.fingerprint(replace(risk, featureTypes=[kind]), data, anonymization))
+        jobs = shared.materialize(pa.job_plan(picked, "row_id", plan), "plan")
+        for run in range(plan.runs):
+            if shared.exists(spark, f"{out}/STOP"):
+                break
+            left = store.remaining(jobs.where(F.col("run_id") == run), "log")
+            if not left.isEmpty():
+                guesses, released, batch = pa.assess_fully(df, "row_id", picked, levels, hierarchies, models, numeric, plan, sensitive, left, [run], considered)
+                log = pa.assessment_log(df, "row_id", guesses, released, levels, hierarchies, [a for a in numeric if a in levels], statistics.features, statistics.target)
+                store.save("log", log.withColumn("run_id", F.col("TestRun")).withColumn("target_id", F.col("TargetId")))
+                shared.discard(guesses, released, batch)
+            if progress:
+                progress((run + 1) * jobs.count() // plan.runs, jobs.count())
+        shared.discard(jobs)
+        log = store.load("log")
+        if log is None:
+            continue
+        guesses = log.select(F.col("TargetId").alias("target_id"), F.col("PredictedLabel").alias("predicted"), F.col("TrueLabel").alias("true_label"))
         accuracy = pa.attack_accuracy(guesses, targets.distances(df, "row_id", qis), "row_id", plan.runs, plan.test)
         tb.write_summary(accuracy, f"{out}/{title}_summary")
-        tb.write_csv(guesses, f"{out}/{title}_log", mode="append")
-        cf.write_config(risk, Path(out) / f"{title}_cfgs.yml")
-        guesses.unpersist()
+        tb.write_log(log, f"{out}/{title}_log")
+        shared.write_text(spark, f"{out}/{title}_cfgs.yml", cf.config_text(risk, data, anonymization))
         row = (title, stamp, datetime.now(UTC).strftime("%Y%m%d_%H%M"), risk.name, data.name, anonymization.name, kind, f"{title}_log", f"{title}_summary", f"{title}_cfgs.yml")
         tb.write_series_summary(spark.createDataFrame([row], ", ".join(f"{c} string" for c in tb.SERIES_COLUMNS)), f"{out}/{name or 'series'}")
         done.append(title)
+    shared.discard(picked)
     return done
 
 
+def _say(made: int, all_: int) -> None:
+    print(f"{made} of {all_} releases", file=sys.stderr)
+
+
 def _size(n: int, fraction: float, absolute: float) -> int:
     from privlens.operators.sampling import sample_size
 
@@ -142,13 +190,13 @@ def main(argv: list[str] | None = None) -> int:
     elif args.report:
         report(spark, cf.read_data_config(args.report[0]), cf.read_anonymization_config(args.report[1]), args.out)
     elif args.riskAssessment:
-        risk_assessment(spark, cf.read_risk_config(args.riskAssessmentConfig), cf.read_data_config(args.dataConfig), cf.read_anonymization_config(args.anonymizationConfig), args.name, args.out)
+        risk_assessment(spark, cf.read_risk_config(args.riskAssessmentConfig), cf.read_data_config(args.dataConfig), cf.read_anonymization_config(args.anonymizationConfig), args.name, args.out, _say)
     else:
         for g in series.groups:
             for r in g["risk"]:
                 for d in g["data"]:
                     for a in g["anonymization"]:
-                        risk_assessment(spark, cf.read_risk_config(r), cf.read_data_config(d), cf.read_anonymization_config(a), args.name, args.out)
+                        risk_assessment(spark, cf.read_risk_config(r), cf.read_data_config(d), cf.read_anonymization_config(a), args.name, args.out, _say)
     return 0
 
 

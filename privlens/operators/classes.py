@@ -155,7 +155,7 @@ def location_and_limits(original: DataFrame, released: DataFrame, attributes: Se
     raw = summary_statistics(original, attributes, by)
     after = summary_statistics(live_rows(released).select(*by, *numeric), attributes, by)
     on = [*by, "attribute"]
-    both = raw.alias("r").join(after.alias("a"), on)
+    both = raw.alias("r").join(after.alias("a"), on, "left")
     pair = lambda c: F.concat(F.lit("["), three_decimals(F.col(f"r.{c}")), F.lit(", "), three_decimals(F.col(f"a.{c}")), F.lit("]"))
     return both.select(*on, *[pair(c).alias(c) for c in ("min", "max", "mean", "median")])
 

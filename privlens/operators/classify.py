@@ -245,3 +245,31 @@ def utility_accuracy(df: DataFrame, features: Sequence[str], target: str, folds:
         scores.append(judge.evaluate(spark_logistic().fit(train).transform(test)))
     ready.unpersist()
     return spark.createDataFrame([(target, float(np.mean(scores)) if scores else -1.0)], "target string, accuracy double")
+
+
+def utility_accuracy_of_samples(df: DataFrame, by: Sequence[str], features: Sequence[str], target: str, folds: int = 3, seed: int = 0) -> DataFrame:
+    """``(by, accuracy)`` of many samples: k-fold accuracy of one-against-rest logistic regressions on one-hot ``features``, one sample per grouped task.
+
+    A sample of fewer rows than folds, or with one target value only, scores the share of its most frequent value.
+    """
+    text = df.select(*by, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in dict.fromkeys([*features, target])])
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in text.select(*by).schema.fields) + "accuracy double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*features, target], kind="stable")
+        y = pdf[target].to_numpy()
+        found = sorted(set(y))
+        if len(y) < folds or len(found) == 1:
+            right = np.mean(y == pdf[target].mode().iloc[0])
+        else:
+            x = pd.get_dummies(pdf[list(features)]).to_numpy(float)
+            fold = np.random.default_rng(seed).permutation(len(y)) % folds
+            guess = np.empty(len(y), object)
+            for f in range(folds):
+                on, off = fold != f, fold == f
+                p = np.stack([Logistic().fit(x[on], (y[on] == v).astype(float), None).member(x[off]) for v in found])
+                guess[off] = np.array(found, object)[p.argmax(axis=0)]
+            right = np.mean(guess == y)
+        return pd.DataFrame({b: [pdf[b].iloc[0]] for b in by} | {"accuracy": [float(right)]})
+
+    return text.groupBy(*by).applyInPandas(run, schema)

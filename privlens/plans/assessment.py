@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privlens.functions.scalar import ratio, seeded_order
+from privlens.operators import classes as cl
 from privlens.operators import features as fe
-from privlens.operators.classify import predict_jobs
+from privlens.operators.classify import predict_jobs, utility_accuracy_of_samples
 from privlens.operators.hierarchy import Hierarchy
 from privlens.operators.privacy import Model
 from privlens.operators.recode import release
 from privlens.operators.sampling import overlapping_split
 from privlens.operators.schema import dictionary, distinct_values
 from privlens.sources.shared import discard, materialize
+from privlens.sources.tables import LOG_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,7 @@ def series_expand(spark: SparkSession, groups: Sequence[Mapping[str, Sequence[st
     return spark.createDataFrame(rows, "position int, risk string, data string, anonymization string")
 
 
-def membership(df: DataFrame, key: str, jobs: DataFrame, plan: Assessment, rows: int) -> DataFrame:
+def membership(df: DataFrame, key: str, jobs: DataFrame, plan: Assessment, rows: int, runs: Sequence[int] | None = None) -> DataFrame:
     """``(sample_id, key)``: who is in each sample.
 
     Pools are the cohort (test) or the background (train) of the run, without the job's target. The pair
@@ -88,7 +90,7 @@ def membership(df: DataFrame, key: str, jobs: DataFrame, plan: Assessment, rows:
     written table.
     """
     pools = None
-    for run in range(plan.runs):
+    for run in range(plan.runs) if runs is None else runs:
         split = overlapping_split(df.select(key), key, plan.cohort, plan.background, plan.overlap, f"{plan.seed}:{run}", rows)
         part = split.select(F.lit(run).alias("run_id"), F.col(key), F.explode(F.array_compact(F.array(F.when(F.col("cohort"), F.lit("test")), F.when(F.col("background"), F.lit("train"))))).alias("phase"))
         pools = part if pools is None else pools.unionByName(part)
@@ -125,14 +127,16 @@ def _digest_bar(n: int, pool: int) -> str:
     return "g" if share >= 1 else f"{min(16**6 - 1, math.ceil(share * 16**6)):06x}"
 
 
-def sample_features(df: DataFrame, key: str, members: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sample_features(df: DataFrame, key: str, members: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = (), considered: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The released rows of all samples, their features in one plan, and the dictionary; the first and the last are written tables."""
     by = ["sample_id"]
     rows = members.join(df, key)
-    out = materialize(release(rows, levels, hierarchies, models, sensitive, by), "released")
-    categorical = [a for a in levels if a not in numeric]
-    domain = distinct_values(df, categorical)
-    for a in categorical:
+    out = materialize(release(rows, levels, hierarchies, models, sensitive, by, key=key), "released")
+    considered = list(levels) if considered is None else list(considered)
+    numeric = {a: b for a, b in numeric.items() if a in considered or a not in levels}
+    categorical = [a for a in considered if a not in numeric]
+    domain = distinct_values(df, categorical) if categorical else None
+    for a in (c for c in categorical if c in levels):
         labels = hierarchies[a].table(df.select(a).where(F.col(a).isNotNull()).distinct()).select("attribute", F.col("label").alias("value"))
         domain = domain.unionByName(labels)
     star = df.sparkSession.createDataFrame([(a, "*") for a in categorical], "attribute string, value string")
@@ -156,14 +160,15 @@ def assess(df: DataFrame, key: str, targets: DataFrame, levels: Mapping[str, int
     return guesses.drop("sample_id")
 
 
-def assess_fully(df: DataFrame, key: str, targets: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = (), jobs: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def assess_fully(df: DataFrame, key: str, targets: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = (), jobs: DataFrame | None = None, runs: Sequence[int] | None = None, considered: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The guesses of :func:`assess` with their ``sample_id``, all samples' released rows with their keys, and the jobs, each a written table.
 
-    ``jobs`` may be given to assess only some of :func:`job_plan`'s rows.
+    ``jobs`` may be given to assess only some of :func:`job_plan`'s rows, whose runs are then ``runs``. ``considered`` names
+    the attributes that features are drawn from (default: the quasi-identifiers and all of ``numeric``).
     """
     jobs = materialize(job_plan(targets, key, plan) if jobs is None else jobs, "jobs")
-    members = membership(df, key, jobs, plan, df.count())
-    out, long, codes = sample_features(df, key, members, levels, hierarchies, models, numeric, plan, sensitive)
+    members = membership(df, key, jobs, plan, df.count(), runs)
+    out, long, codes = sample_features(df, key, members, levels, hierarchies, models, numeric, plan, sensitive, considered)
     vectors = jobs.join(fe.dense(long, ["sample_id"]), "sample_id").withColumn("label", F.col("target_in").cast("int"))
     guesses = predict_jobs(vectors, ["run_id", "target_id"], plan.classifier, plan.seed)
     named = guesses.join(jobs.select("sample_id", "k", F.col("target_in").cast("int").alias("true_label")), "sample_id")
@@ -172,6 +177,35 @@ def assess_fully(df: DataFrame, key: str, targets: DataFrame, levels: Mapping[st
     return done, out, jobs
 
 
+def assessment_log(df: DataFrame, key: str, guesses: DataFrame, released: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], numeric: Sequence[str], features: Sequence[str] = (), target: str = "") -> DataFrame:
+    """A row per guess with the quality of its test sample, in the columns of the assessment log.
+
+    ``numeric`` names the attributes of ``LocationAndLimits``; without ``features`` and a ``target`` the classification
+    accuracy is -1. All statistics are grouped by sample: one plan serves every sample.
+    """
+    by = ["sample_id"]
+    own = released.join(guesses.select(*by), by, "left_semi")
+    raw = own.select(*by, key).join(df, key)
+    text = {a: lv for a, lv in levels.items() if a not in numeric}
+    g = cl.granularity(own, df, levels, hierarchies, by)
+    means = g.groupBy(*by).agg(F.avg("granularity").alias("Granularity"), F.avg(F.when(F.col("attribute").isin(list(text)), F.col("granularity"))).alias("GranularityCategoricalAttributes"))
+    entropy = cl.nonuniform_entropy(own, raw, key, levels, hierarchies, by).groupBy(*by).agg(F.avg("entropy").alias("Entropy"))
+    d = cl.discernibility(own, list(levels), by).select(*by, F.col("discernibility").alias("Discernibility"))
+    sizes = cl.class_statistics(own, list(levels), by).select(*by, F.col("max_class_size").alias("MaximalEquivalenceClassSize"), F.col("avg_class_size").alias("AverageEquivalenceClassSize"), F.col("min_class_size").alias("MinimalEquivalenceClassSize"), F.col("suppressed_records").alias("NumberOfSuppressedRecords"))
+    out = guesses.join(means, by).join(entropy, by).join(d, by).join(sizes, by)
+    if numeric:
+        places = cl.location_json(cl.location_and_limits(raw, own, list(numeric), by), by)
+        out = out.join(places.select(*by, F.col("location_and_limits").alias("LocationAndLimits")), by, "left")
+    else:
+        out = out.withColumn("LocationAndLimits", F.lit("{}"))
+    if features and target:
+        out = out.join(utility_accuracy_of_samples(own, by, features, target).select(*by, F.col("accuracy").alias("ClassificationAccuracy")), by, "left")
+    else:
+        out = out.withColumn("ClassificationAccuracy", F.lit(-1.0))
+    named = {"TestRun": "run_id", "TargetId": "target_id", "Iteration": "k", "TrueLabel": "true_label", "PredictedLabel": "predicted", "PredictionProbability": "confidence"}
+    return out.select(*[F.col(named.get(c, c)).alias(c) for c in LOG_COLUMNS])
+
+
 def attack_accuracy(guesses: DataFrame, distances: DataFrame, key: str, runs: int, tests: int) -> DataFrame:
     """``(target_id, distance, accuracy)``: correct guesses over the configured number of guesses."""
     right = guesses.groupBy("target_id").agg(F.sum(F.when(F.col("predicted") == F.col("true_label"), 1).otherwise(0)).alias("right"))

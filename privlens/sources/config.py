@@ -16,7 +16,7 @@ from pathlib import Path
 import yaml
 
 from privlens.operators.hierarchy import Hierarchy
-from privlens.operators.privacy import Model
+from privlens.operators.privacy import REGIONS, Model
 from privlens.operators.schema import AttributeSpec
 
 
@@ -151,7 +151,12 @@ class AnonymizationConfig:
                 raise ValueError(f"{raw.get('type')}: no parameter")
             names = tuple(raw.get("attributes") or ())
             h = (hierarchies or {}).get(names[0]) if names else None
-            out.append(Model(raw["type"], float(value), names, float(raw.get("delta", 0.0)), float(raw.get("population", 0.0)), str(raw.get("model", "PITMAN")), h))
+            region = str(raw.get("region") or "").upper().replace(" ", "_")
+            if region and region != "NONE" and region not in REGIONS and "population" not in raw:
+                raise ValueError(f"{raw['type']}: region {region} is not known; give a population")
+            population = float(raw.get("population", REGIONS.get(region, 0.0)))
+            estimator = str(raw.get("populationUniquenessModel") or raw.get("model") or "PITMAN")
+            out.append(Model(raw["type"], float(value), names, float(raw.get("delta", 0.0)), population, estimator, h))
         return out
 
 
@@ -250,9 +255,16 @@ def missing_paths(series: SeriesConfig) -> list[str]:
     return sorted({p for g in series.groups for kind in ("risk", "data", "anonymization") for p in g[kind] if not os.path.exists(p)})
 
 
+def config_text(*configs) -> str:
+    """Configurations as one YAML text; a single one stands alone, several under the names of their kinds."""
+    made = asdict(configs[0]) if len(configs) == 1 else {type(c).__name__: asdict(c) for c in configs}
+    return yaml.safe_dump(made, sort_keys=False, allow_unicode=True)
+
+
 def write_config(config, path: str | Path) -> None:
+    """To the driver's own file system; :func:`privlens.sources.shared.write_text` writes beside tables."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(yaml.safe_dump(asdict(config), sort_keys=False, allow_unicode=True), encoding="utf-8")
+    Path(path).write_text(config_text(config), encoding="utf-8")
 
 
 def template(path: str, domain: Mapping[str, Sequence[str]]) -> dict:

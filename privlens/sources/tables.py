@@ -12,10 +12,10 @@ from privlens.functions.scalar import three_decimals, with_row_id
 from privlens.operators.schema import AttributeSpec, typed_projection
 from privlens.sources.config import DataConfig
 
-#: Columns of the assessment log, in order.
+#: Columns of the assessment log, in order and in the spelling that readers of such files expect.
 LOG_COLUMNS = (
-    "test_run", "target_id", "iteration", "true_label", "predicted_label", "prediction_probability", "granularity", "granularity_categorical", "entropy",
-    "discernibility", "max_class", "avg_class", "min_class", "suppressed", "location_and_limits", "classification_accuracy",
+    "TestRun", "TargetId", "Iteration", "TrueLabel", "PredictedLabel", "PredictionProbability", "Granularity", "GranularityCategoricalAttributes", "Entropy",
+    "Discernibility", "MaximalEquivalenceClassSize", "AverageEquivalenceClassSize", "MinimalEquivalenceClassSize", "NumberOfSuppressedRecords", "LocationAndLimits", "ClassificationAccuracy",
 )
 
 
