@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from privlens.llm.common import configure, with_fields
+from privlens.llm.common import configure, spare, with_fields
 
 #: Transitions kept before the machine's memory is dropped and filled anew; bounds a worker's memory.
 MAX_TRANSITIONS = 400_000
@@ -291,7 +291,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text", kee
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*keep, out])
 
-    return df.select(*[df[c] for c in keep], df[text].alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text].alias(spare("__text", keep))).mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None, out: str = "text") -> DataFrame:

@@ -6,8 +6,6 @@ tokenising and hashing cost a few array passes and no Python object per word.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,17 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Bytes of text handled by one round of numpy work; bounds the memory of a Python worker.
-SLICE_BYTES = 4 << 20
+from privlens.sources.shared import discard, materialize, shared_dir
 
+__all__ = ["Words", "configure", "discard", "materialize", "shared_dir", "slices", "spare", "utf8", "with_fields", "xxh64"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local default where it is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Bytes of text handled by one round of numpy work; bounds the memory of a Python worker.
+SLICE_BYTES = 4 << 20
 
 
 def configure(spark: SparkSession) -> None:
@@ -34,21 +27,12 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
-def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder (with the writer's ``options``) and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def spare(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def with_fields(df: DataFrame, keep: list[str], ddl: str) -> StructType:

@@ -3,9 +3,10 @@
 A payload of 8-bit samples is cut where a rolling gear hash says so, so that equal stretches of
 different payloads give equal chunks. Chunks are keyed by digest, de-duplicated by a Spark
 aggregation and kept in a table bucketed by digest; each row keeps only its ordered chunk list.
-Reading joins the lists with the store (the store's side needs no shuffle), restores each payload in
-order and verifies chunk and payload digests. The stored media form of a row is a WAV file, 8-bit
-mono, whose samples are the payload; its header follows from the length.
+What is stored for a row is a WAV file, 8-bit mono, whose samples are the payload: its header stands in the
+row's list, its samples are the chunks. Reading joins the lists with the store (the store's side needs no
+shuffle), restores each file in order and verifies the digests of its chunks and of the whole file; payload
+and features are taken from the file that was read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privlens.llm.common import configure, materialize, utf8, with_fields
+from privlens.llm.common import configure, discard, materialize, utf8, with_fields
 
 #: Payloads are padded with zero bytes to a positive multiple of this.
 UNIT = 64
@@ -69,11 +70,20 @@ def padded(data: bytes) -> bytes:
     return data + b"\0" * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
 
 
-def wav(payload: bytes) -> bytes:
-    """The payload as a WAV file: unsigned 8-bit samples, one channel."""
-    n = len(payload)
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n & 0xFFFFFFFF, b"WAVE", b"fmt ", 16, 1, 1, SAMPLE_RATE, SAMPLE_RATE, 1, 8, b"data", n & 0xFFFFFFFF)
-    return head + payload
+#: Bytes of a WAV header.
+HEADER = 44
+
+
+def wav_header(n: int) -> bytes:
+    """The header of a WAV file of ``n`` unsigned 8-bit samples, one channel."""
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n & 0xFFFFFFFF, b"WAVE", b"fmt ", 16, 1, 1, SAMPLE_RATE, SAMPLE_RATE, 1, 8, b"data", n & 0xFFFFFFFF)
+
+
+def wav_samples(file: bytes) -> bytes:
+    """The samples of a WAV file made here; another header raises."""
+    if file[:HEADER] != wav_header(len(file) - HEADER):
+        raise ValueError("not a WAV file of 8-bit samples")
+    return file[HEADER:]
 
 
 def features(payload: bytes) -> str:
@@ -91,28 +101,31 @@ def _payloads(col):
 
 
 def chunk_lists(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``n_bytes``, ``payload_sha256`` and ``chunks``, the ordered list of digests."""
-    schema = with_fields(df, keep, "n_bytes long, payload_sha256 binary, chunks array<binary>")
+    """``keep`` columns with ``n_bytes``, ``media_sha256`` of the whole file, its ``head`` and ``chunks``, the ordered list of its samples' digests."""
+    schema = with_fields(df, keep, "n_bytes long, media_sha256 binary, head binary, chunks array<binary>")
 
     def run(batches):
         for batch in batches:
-            sizes, shas, lists = [], [], []
+            sizes, shas, heads, lists = [], [], [], []
             for n, data in _payloads(batch.column(batch.num_columns - 1)):
                 at, digests = 0, []
                 for end in cut_points(np.frombuffer(data, np.uint8)):
                     digests.append(hashlib.blake2b(data[at:end], digest_size=20).digest())
                     at = end
+                head = wav_header(len(data))
                 sizes.append(n)
-                shas.append(hashlib.sha256(data).digest())
+                heads.append(head)
+                shas.append(hashlib.sha256(head + data).digest())
                 lists.append(digests)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=[*keep, "n_bytes", "payload_sha256", "chunks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(heads, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=[*keep, "n_bytes", "media_sha256", "head", "chunks"])
 
     return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
 
 
 def train_dictionary(df: DataFrame, text: str) -> bytes:
-    """A compression dictionary from a bounded sample; empty where too little text is there. It changes sizes, never contents."""
-    rows = df.select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).where("t <> ''").limit(SAMPLE_ROWS).collect()
+    """A compression dictionary from a bounded sample, the rows of least text digest; empty where too little text is there. It changes sizes, never contents."""
+    whole = df.select(F.col(text).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("o"), F.substring("t", 1, SAMPLE_CHARS).alias("t"))
+    rows = whole.orderBy("o", "t").limit(SAMPLE_ROWS).select("t").collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r["t"].encode() for r in rows], k=64, d=6).as_bytes() if len(rows) >= 8 else b""
     except zstandard.ZstdError:
@@ -157,14 +170,16 @@ class MediaStore:
         self.spark, self.table, self.lists = spark, table, lists
 
     def drop(self) -> None:
+        """Delete the store; what was read from it lazily is gone with it."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        discard(self.lists)
 
 
 def store(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> MediaStore:
     """Store each row's payload; null text is an empty one. Rows get a ``media_key``, unique in the store."""
     spark = df.sparkSession
     configure(spark)
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("n_bytes", "payload_sha256", "chunks", "media_key")]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("n_bytes", "media_sha256", "head", "chunks", "media_key")]
     src = df.select(*[df[c] for c in keep], df[text].alias("__payload"))
     table = f"media_chunks_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -178,14 +193,14 @@ def store(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> M
 
 
 def read_back(media: MediaStore) -> DataFrame:
-    """The stored rows with ``payload`` restored and verified, one row per stored row."""
+    """The stored rows' keys with ``media``, each file restored and verified, one row per stored row."""
     spark = media.spark
     dictionary = bytes(spark.table(media.table).where(F.octet_length("digest") == 0).select("body").first()["body"])
     refs = media.lists.select("media_key", F.posexplode("chunks").alias("at", "digest"))
     parts = refs.join(spark.table(media.table), "digest").select("media_key", "at", "digest", "body")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts.select("media_key", "at", F.lit(None).cast("binary").alias("sha"), "digest", "body", F.lit(0).alias("n"))
-    heads = media.lists.select("media_key", F.lit(-1).alias("at"), F.col("payload_sha256").alias("sha"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("binary").alias("body"), F.size("chunks").alias("n"))
+    heads = media.lists.select("media_key", F.lit(-1).alias("at"), F.col("media_sha256").alias("sha"), F.lit(None).cast("binary").alias("digest"), F.col("head").alias("body"), F.size("chunks").alias("n"))
     sorted_parts = heads.union(parts).repartition(n, "media_key").sortWithinPartitions("media_key", "at")
 
     def run(batches):
@@ -205,7 +220,7 @@ def read_back(media: MediaStore) -> DataFrame:
                     if key is not None:
                         keys.append(key)
                         payloads.append(finish())
-                    key, want, left, parts = k, sha, n, []
+                    key, want, left, parts = k, sha, n, [body]
                     continue
                 data = unpack.decompress(body)
                 if hashlib.blake2b(data, digest_size=20).digest() != digest:
@@ -213,11 +228,11 @@ def read_back(media: MediaStore) -> DataFrame:
                 parts.append(data)
                 left -= 1
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], names=["media_key", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(payloads, pa.binary())], names=["media_key", "media"])
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([finish()], pa.binary())], names=["media_key", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([finish()], pa.binary())], names=["media_key", "media"])
 
-    return sorted_parts.mapInArrow(run, "media_key long, payload binary")
+    return sorted_parts.mapInArrow(run, "media_key long, media binary")
 
 
 def media_features(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,8 +248,8 @@ def media_features(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     def run(batches):
         for batch in batches:
             rows = []
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                file = wav(data)
+            for k, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = wav_samples(file)
                 rows.append((k, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), features(data)))
             types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             cols = zip(*rows) if rows else [[]] * 7
@@ -242,4 +257,8 @@ def media_features(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     described = restored.mapInArrow(run, "media_key long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     names = media.lists.select("media_key", F.col("id").alias(id_col), "n_bytes")
-    return names.join(described, "media_key").select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = names.join(described, "media_key").select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    # what was read is kept, the store is not
+    out = materialize(out, "described")
+    media.drop()
+    return out

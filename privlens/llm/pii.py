@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from privlens.llm.common import configure, with_fields
+from privlens.llm.common import configure, spare, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -96,6 +96,7 @@ _GLYPHS = {a: b for k, v in _LOOKALIKES.items() for a, b in zip(k, v)}
 _GLYPHS |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}  # full-width forms
 _GLYPHS |= {chr(base + i): str(i) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}
 _GLYPHS |= {"。": ".", "․": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "﹫": "@", "﹒": ".", " ": " ", " ": " "}
+_GLYPHS |= dict(zip("⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉", "01234567890123456789"))
 #: Characters that a disguise inserts and that stand for nothing.
 _SILENT = "​‌‍⁠­﻿"
 #: Digits as words, in the four languages of the corpus.
@@ -105,14 +106,14 @@ _DIGIT_WORDS = {
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_OPEN, _CLOSE = r"[\x20]*[\[({<][\x20]*", r"[\x20]*[\])}>][\x20]*"
+_OPEN, _CLOSE = r"[\x20\t\r\n]*[\[({<][\x20\t\r\n]*", r"[\x20\t\r\n]*[\])}>][\x20\t\r\n]*"
 _AT_WORDS, _DOT_WORDS = "at|arroba|arobase", "dot|punkt|punto|point"
 _AT_RE = re.compile(rf"{_OPEN}(?:{_AT_WORDS}|@){_CLOSE}|(?<![\x20])\x20+(?:{_AT_WORDS})\x20+", re.I)
 _DOT_RE = re.compile(rf"{_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}|(?<![\x20])\x20+(?:{_DOT_WORDS})\x20+", re.I)
 #: In every text with a disguised dot or a bracketed ``@``; a bare word for ``@`` counts only beside a disguised dot.
-_SIGN_HINT = re.compile(rf"[\[({{<]\x20*(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)\x20*[\])}}>]|\x20(?:{_DOT_WORDS})\x20", re.I)
+_SIGN_HINT = re.compile(rf"[\[({{<][\x20\t\r\n]*(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)[\x20\t\r\n]*[\])}}>]|\x20(?:{_DOT_WORDS})\x20", re.I)
 #: Any character that may be a look-alike or silent lies here.
-_ODD_RE = re.compile("[\u00a0\u00ad\u00b7\u0370-\U0010ffff]")
+_ODD_RE = re.compile("[\u00a0\u00ad\u00b2\u00b3\u00b7\u00b9\u0370-\U0010ffff]")
 _GLYPH_RE = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + _SILENT + "]")
 _WORD_DIGIT = re.compile(r"(?<!\w)(?:plus|" + "|".join(_DIGIT_WORDS) + r")(?!\w)", re.I)
 #: Six digit words or numbers in a row, two of them words, make a number.
@@ -121,8 +122,9 @@ _RUN = re.compile(rf"(?<!\w){_UNIT}(?:[\x20.()-]+{_UNIT}){{5,}}(?!\w)", re.I)
 _BY_LETTER = "|".join(a + "(?:" + "|".join(w[1:] for w in _DIGIT_WORDS if w[0] == a) + ")" for a in sorted({w[0] for w in _DIGIT_WORDS}))
 #: A run needs two digit words; the second of them shows here.
 _RUN_HINT = re.compile(rf"[\x20.()-](?:{_BY_LETTER})(?!\w)")
-#: Characters on either side of a trigger that are rewritten with it.
+#: Characters on either side of a trigger that are rewritten with it at least; beyond, whatever an identifier may run on over.
 _AROUND = 160
+_NUMERIC = frozenset("0123456789().+-")
 
 
 class Mapped:
@@ -171,14 +173,27 @@ def _neighbourhoods(text: str) -> list[tuple[int, int]]:
         hits += [m.span() for m in _RUN.finditer(text) if len(_WORD_DIGIT.findall(m[0])) > 1]
     out: list[tuple[int, int]] = []
     for a, b in sorted(hits):
-        a, b = max(0, a - _AROUND), min(len(text), b + _AROUND)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        a, b, done = max(0, a - _AROUND), min(len(text), b + _AROUND), out[-1][1] if out else 0
+        # what earlier windows cover is not walked over again
+        while a > done and _joined(text, a):
+            a -= 1
+        while done < b < len(text) and _joined(text, b):
+            b += 1
+        if out and a <= done:
+            out[-1] = (out[-1][0], max(b, done))
         else:
             out.append((a, b))
     return out
 
 
+def _joined(text: str, at: int) -> bool:
+    """Whether an identifier may run on over position ``at``: no white space beside it, or white space between parts of a number."""
+    left, right = text[at - 1], text[at]
+    if left.isspace():
+        return right in _NUMERIC and at > 1 and text[at - 2] in _NUMERIC
+    return not right.isspace() or (left in _NUMERIC and at + 1 < len(text) and text[at + 1] in _NUMERIC)
+
+
 def _sign_view(part: Mapped) -> Mapped:
     """``part`` with disguised dots and ``@``; a bare word for ``@`` counts only before a domain whose dot was disguised too."""
     view = Mapped(part.text)
@@ -252,7 +267,7 @@ def find_pii(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
                 added.append([{"kind": k, "start": s, "end": e} for s, e, k in ordered(disguised_spans(t, b))])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base, kind), pa.array(added, kind)], names=[*keep, "base", "added"])
 
-    return df.select(*[df[c] for c in keep], df[text].alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text].alias(spare("__text", keep))).mapInArrow(run, schema)
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:

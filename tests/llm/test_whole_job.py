@@ -72,6 +72,19 @@ def test_disguised_signs(kind, said):
         assert pii.base_spans(text) == [] and [(k, text[s:e]) for s, e, k in pii.disguised_spans(text, [])] == [(kind, said)]
 
 
+def test_disguises_of_any_length():
+    """An identifier longer than the neighbourhood of its trigger is found whole; a long number is not cut into a card."""
+    local = "a.b" * 100
+    text = f"x {local} (at) example (dot) com"
+    assert [(k, s, e) for s, e, k in pii.disguised_spans(text, [])] == [("email", 2, len(text))]
+    for said, kind, want in (("mail jane (at)\nexample\n[dot]\ncom now", "email", "jane (at)\nexample\n[dot]\ncom"), ("call ip 10.¹.²³.4 now", "ip", "10.¹.²³.4")):
+        assert [(k, said[s:e]) for s, e, k in pii.disguised_spans(said, [])] == [(kind, want)]
+    for n in (19, 60, 400, 2000):
+        digits = "4 1" * n + "１"
+        assert [k for _, _, k in pii.disguised_spans("no " + digits, pii.base_spans("no " + digits)) if k == "card"] == []
+    assert pii.disguised_spans("x" * 200_000 + "１" * 1000 + "x" * 200_000, []) == []
+
+
 def test_signs_that_disguise_nothing():
     for text in ("a point of order", "300 dot 1 dot 2 dot 3", "1 dot 2 dot 3", "see (.) and [at] once", "jane@example.com dot the i", "he was at the point < at > last"):
         assert pii.disguised_spans(text, pii.base_spans(text)) == []
