@@ -27,8 +27,9 @@ from privlens.llm.common import Words, configure, slices, spare, utf8, with_fiel
 
 #: Most labelled examples of each class that the index holds; the sample is drawn by a hash of the id.
 MAX_EXAMPLES = 3000
-#: Most terms of the vocabulary (those of largest chi-squared statistic), least examples a term occurs in, and least chi-squared statistic.
-MAX_TERMS, LEAST_EXAMPLES, LEAST_CHI2 = 4000, 4, 12.0
+#: Most terms of the vocabulary (those of largest chi-squared statistic), least examples a term occurs in, least chi-squared statistic,
+#: and least effect, the statistic a row: with more examples ever weaker terms become significant, which tell nothing and are in every text.
+MAX_TERMS, LEAST_EXAMPLES, LEAST_CHI2, LEAST_EFFECT = 4000, 4, 12.0, 0.004
 NEIGHBOURS = 25
 THRESHOLD = 0.7
 #: Postings in a block.
@@ -240,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     n = float(pos + neg)
     cross = p * (neg - q) - q * (pos - p)
     chi2 = F.try_divide(F.lit(n) * cross * cross, F.lit(float(pos)) * F.lit(float(neg)) * (p + q) * (F.lit(n) - p - q))
-    picked = terms.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).where((F.col("p") + F.col("q") >= LEAST_EXAMPLES) & (F.col("chi2") >= LEAST_CHI2))
+    picked = terms.withColumn("chi2", F.coalesce(chi2, F.lit(0.0))).where((F.col("p") + F.col("q") >= LEAST_EXAMPLES) & (F.col("chi2") >= max(LEAST_CHI2, LEAST_EFFECT * n)))
     hashes = np.sort(np.array([r["hash"] for r in picked.orderBy(F.desc("chi2"), "hash").limit(MAX_TERMS).select("hash").collect()], np.int64).view(np.uint64))
     vocabulary = Vocabulary(hashes, np.ones(len(hashes)))
     counted = docs.select(docs[text].alias("text")).mapInArrow(_frequencies(vocabulary), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
