@@ -125,7 +125,9 @@ def chunk_lists(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def train_dictionary(df: DataFrame, text: str) -> bytes:
     """A compression dictionary from a bounded sample, the rows of least text digest; empty where too little text is there. It changes sizes, never contents."""
     whole = df.select(F.col(text).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("o"), F.substring("t", 1, SAMPLE_CHARS).alias("t"))
-    rows = whole.orderBy("o", "t").limit(SAMPLE_ROWS).select("t").collect()
+    # digests alone find the sample; its texts are all that reaches the driver
+    last = whole.select("o").distinct().orderBy("o").limit(SAMPLE_ROWS).agg(F.max("o")).first()[0]
+    rows = whole.where(F.col("o") <= last).dropDuplicates(["o"]).orderBy("o").collect() if last is not None else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r["t"].encode() for r in rows], k=64, d=6).as_bytes() if len(rows) >= 8 else b""
     except zstandard.ZstdError:
