@@ -29,6 +29,10 @@ WINDOW = 35
 GRAM = 8
 #: Most contexts of one anchor that one automaton takes in.
 MAX_CONTEXTS = 256
+#: A key that holds more than this share of a table's rows is heavy: its rows are joined where they lie, not shuffled to one task.
+HEAVY_SHARE = 0.001
+#: Share of the rows that is looked at to find heavy keys.
+LOOKED_AT = 0.05
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -309,23 +313,44 @@ def _by_digest(contexts: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int32()))], names=["anchor", "digest", "rid", "a"])
 
     windows = materialize(contexts.select("anchor", "n", "rid", "pos", "left", "words").mapInArrow(run, "anchor long, digest binary, rid long, a int"), "windows")
-    twice = windows.groupBy("anchor", "digest").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "digest")
-    return windows.where("rid is not null").join(twice, ["anchor", "digest"], "left_semi").select("rid", "a", F.col("a").alias("b"))
+    keys = ["anchor", "digest"]
+    twice = windows.groupBy(keys).agg(F.count("*").alias("c")).where("c > 1").select(keys)
+    return _semi_join(windows.where("rid is not null"), twice, keys, _heavy(windows, keys)).select("rid", "a", F.col("a").alias("b"))
+
+
+def _heavy(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that hold more than ``HEAVY_SHARE`` of the rows, by a sample: at most ``1 / HEAVY_SHARE`` of them, each with two rows at least.
+
+    They only decide where rows are joined: a key that the sample misses takes the shuffled way, with the same result.
+    """
+    seen = df.select(keys).sample(LOOKED_AT, 1).groupBy(keys).agg(F.count("*").alias("c"))
+    most = seen.where(F.col("c") >= max(2, HEAVY_SHARE * LOOKED_AT * df.count())).orderBy(F.desc("c"), *keys).limit(round(1 / HEAVY_SHARE))
+    return df.sparkSession.createDataFrame(most.select(keys).collect(), df.select(keys).schema)
+
+
+def _semi_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """``left``'s rows whose keys are in ``right``; those of the few ``heavy`` keys, known to be in it, are not shuffled."""
+    few = F.broadcast(heavy)
+    return left.join(few, keys, "left_semi").unionAll(left.join(few, keys, "left_anti").join(right, keys, "left_semi"))
 
 
 def repeated_windows(packed: DataFrame, window: int = WINDOW, gram: int = GRAM, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """``(rid, a, b)``: closed ranges of window starts whose words also start a window elsewhere; ranges may overlap."""
     rows = materialize(_anchor_rows(packed, window, gram), "anchors")
     twice = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    left = materialize(rows.join(twice, "anchor", "left_semi"), "repeated")
+    left = materialize(_semi_join(rows, twice, ["anchor"], _heavy(rows, ["anchor"])), "repeated")
     discard(rows)
-    folded = left.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("at"))
-    folded = materialize(folded.select("anchor", "context", "n", "at.rid", "at.pos"), "contexts")
-    # a context that occurs twice: all its windows do
-    whole = left.join(folded.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    # one of a context's places: the hash aggregation of two numbers needs no sort, that of a struct would
+    folded = left.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min_by("pos", "rid").alias("pos"))
+    folded = materialize(folded, "contexts")
+    # a context that occurs twice: all its windows do; fewer than 1 / HEAVY_SHARE contexts hold more than that share of the rows
+    keys, bound = ["anchor", "context"], max(1, HEAVY_SHARE * left.count())
+    whole = _semi_join(left, folded.where("n > 1").select(keys), keys, folded.where(F.col("n") > bound).select(keys))
     whole = whole.select("rid", F.greatest(F.col("pos") - (window - gram), F.lit(0)).alias("a"), F.col("pos").alias("b"))
     several = folded.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1")
-    requests = folded.join(several, "anchor").select("anchor", "n", "rid", "pos", (F.col("contexts") > max_contexts).alias("hot"))
+    crowded = F.broadcast(_heavy(folded, ["anchor"]))
+    counted = folded.join(crowded, "anchor", "left_semi").join(F.broadcast(several.join(crowded, "anchor", "left_semi")), "anchor")
+    requests = counted.unionAll(folded.join(crowded, "anchor", "left_anti").join(several, "anchor")).select("anchor", "n", "rid", "pos", (F.col("contexts") > max_contexts).alias("hot"))
     contexts = materialize(_context_rows(requests, packed, window, gram), "words")
     return whole.unionAll(_by_automaton(contexts.where("not hot"), window)).unionAll(_by_digest(contexts.where("hot"), window))
 

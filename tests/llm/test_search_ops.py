@@ -40,8 +40,10 @@ def passages():
     return texts
 
 
-@pytest.mark.parametrize("max_contexts", [256, 3])
-def test_repeats_equal_brute_force(spark, passages, max_contexts):
+@pytest.mark.parametrize("max_contexts, looked_at", [(256, 0.05), (3, 0.5), (3, 1.0)])
+def test_repeats_equal_brute_force(spark, passages, monkeypatch, max_contexts, looked_at):
+    # the larger the sample, the more keys count as heavy here: some in the second case, all that repeat in the third
+    monkeypatch.setattr(substrings, "LOOKED_AT", looked_at)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(passages)], "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(df, max_contexts=max_contexts).collect()}
     want = brute_repeats(passages, 35)
