@@ -142,13 +142,13 @@ class SuffixAutomaton:
         for word in sequence:
             last = self._extend(last, word)
 
-    def mark(self, key: int, sequence) -> None:
-        """Note that ``sequence``, already added, reaches its states; a state that two keys reach is shared."""
+    def mark(self, key: int, sequence, least: int) -> None:
+        """Note that ``sequence``, already added, reaches its states of at least ``least`` words; a state that two keys reach is shared."""
         state = 0
         for word in sequence:
             state = self.next[state][word]
             s = state
-            while s > 0 and self.last_seen[s] != key:
+            while self.length[s] >= least and self.last_seen[s] != key:
                 if self.last_seen[s] >= 0:
                     self.shared[s] = True
                 self.last_seen[s] = key
@@ -177,17 +177,53 @@ class SuffixAutomaton:
 _MARK = ""
 
 
+def _reach(sequences: list[list[str]]) -> list[int]:
+    """For each sequence: words at its beginning that another one begins with too, at most."""
+    out = [0] * len(sequences)
+    order = sorted(range(len(sequences)), key=sequences.__getitem__)
+    for i, j in zip(order, order[1:]):
+        n = 0
+        for x, y in zip(sequences[i], sequences[j]):
+            if x != y:
+                break
+            n += 1
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
 def shared_windows(contexts: list[tuple[int, list[str]]], window: int = WINDOW) -> list[list[int]]:
-    """For each context ``(words before the anchor, words)``: starts of its windows around the anchor that another context holds too."""
-    sequences = [[*words[:left], _MARK, *words[left:]] for left, words in contexts]
+    """For each context ``(words before the anchor, words)``: starts of its windows around the anchor that another context holds too.
+
+    A shared window lies within the words that agree with any other context, going out from the anchor; the rest is cut
+    off first. Contexts that are equal then share all their windows, the others are settled by the automaton of all.
+    """
+    before = _reach([words[:left][::-1] for left, words in contexts])
+    after = _reach([words[left:] for left, words in contexts])
+    holders: dict[tuple, list[int]] = {}
+    for k, (left, words) in enumerate(contexts):
+        if before[k] + after[k] >= window:
+            holders.setdefault((before[k], *words[left - before[k] : left + after[k]]), []).append(k)
+    found = {}
+    if len(holders) > 1 and any(len(ks) == 1 for ks in holders.values()):
+        found = dict(zip(holders, _settled([[*c[1 : c[0] + 1], _MARK, *c[c[0] + 1 :]] for c in holders], window)))
+    out: list[list[int]] = [[] for _ in contexts]
+    for cut, ks in holders.items():
+        starts = range(max(0, cut[0] - window + 1), min(cut[0], len(cut) - 1 - window) + 1) if len(ks) > 1 else found.get(cut, [])
+        for k in ks:
+            out[k] = [contexts[k][0] - cut[0] + s for s in starts]
+    return out
+
+
+def _settled(sequences: list[list[str]], window: int) -> list[list[int]]:
+    """Starts of the windows around the mark of each sequence that another sequence holds too."""
     automaton = SuffixAutomaton()
     for s in sequences:
         automaton.add(s)
     for k, s in enumerate(sequences):
-        automaton.mark(k, s)
+        automaton.mark(k, s, window + 1)
     out = []
-    for (left, _), s in zip(contexts, sequences):
-        ends = automaton.shared_ends(s, window + 1)
+    for s in sequences:
+        left, ends = s.index(_MARK), automaton.shared_ends(s, window + 1)
         # a window with the mark: it starts at or before it and ends after the anchor's first word
         out.append([e - window - 1 for e in ends if e - window - 1 <= left < e - 1])
     return out
