@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privlens.llm import bpe, embeddings, media, packing, pii, simhash, substrings, toxicity, urlfilter, warc
+from privlens.llm import bpe, embeddings, exact, media, packing, pii, simhash, substrings, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_urlfilter": op2_urlfilter,
@@ -88,7 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op13_exact": op13_exact,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_embeddings": embeddings.SQL, "op2_urlfilter": urlfilter.SQL, "op8_substrings": substrings.SQL, "op10_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embeddings": embeddings.SQL, "op2_urlfilter": urlfilter.SQL, "op8_substrings": substrings.SQL, "op10_warc": warc.SQL, "op13_exact": exact.SQL}
 
