@@ -38,7 +38,7 @@ def frequent(digests: DataFrame) -> DataFrame:
     """``digest`` of every value that may hold :data:`HEAVY` of the rows of ``digests(digest)``: a Misra-Gries summary, so at most :data:`MOST_HEAVY` rows."""
     keyed = digests.select(F.hex("digest").alias("item"), F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("merger"))
     parts = keyed.groupBy("merger").agg(F.expr(f"approx_top_k_accumulate(item, {COUNTERS})").alias("summary"))
-    whole = parts.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(summary, {COUNTERS})").alias("summary"))
+    whole = parts.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(summary, {COUNTERS})").alias("summary"))
     found = whole.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {MOST_HEAVY})")).alias("one"))
     return found.select(F.unhex("one.item").alias("digest"))
 
