@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from privlens.llm import bpe, embeddings, exact, media, packing, pii, simhash, substrings, toxicity, urlfilter, warc
+from privlens.llm import bpe, embeddings, exact, media, merkle, packing, pii, simhash, substrings, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = merkle.manifest(docs, merkle.one_more(docs))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -92,8 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op12_merkle": op12_merkle,
     "op13_exact": op13_exact,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_embeddings": embeddings.SQL, "op2_urlfilter": urlfilter.SQL, "op8_substrings": substrings.SQL, "op10_warc": warc.SQL, "op13_exact": exact.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embeddings": embeddings.SQL, "op2_urlfilter": urlfilter.SQL, "op8_substrings": substrings.SQL, "op10_warc": warc.SQL, "op12_merkle": merkle.SQL, "op13_exact": exact.SQL}
 
