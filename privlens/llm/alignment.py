@@ -2,7 +2,7 @@
 
 A text is cut before runs of white space, wherever neither vocabulary has a token that reaches across
 such a place: what stands between two cuts is then tokenised as it would be in the text. Documents are
-read in chunks of a few MB; a chunk keeps its distinct segments once and every document as numbers of
+read in chunks; a chunk keeps its distinct segments once and every document as numbers of
 them. Each distinct segment of the corpus is tokenised and aligned once, the alignments are joined back
 to the chunks' segments, and a chunk's documents are composed from them.
 """
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from privlens.llm.common import configure, discard, materialize, with_fields
 
-#: Bytes of text a chunk.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text a chunk: the more, the fewer of its segments stand in other chunks too.
+CHUNK_BYTES = 32 << 20
+#: Words of a chunk's documents whose links are counted at once; bounds a worker's memory.
+WORDS_AT_ONCE = 400_000
 #: White space before which a text may be cut, if the vocabularies allow it.
 SPACES = " \n\t\v\f\r"
 #: Appended to a serialized piece model, this sets its ``add_dummy_prefix`` to false: repeated fields of a message are merged.
@@ -231,13 +233,19 @@ def document_counts(documents: pa.Table, segments: pa.Table) -> pa.Table:
     first = np.cumsum(counts) - counts
     bad = ~np.asarray(links.is_valid())
     keep = _whole(at, owner, bad[codes])[owner] if len(codes) else np.zeros(0, bool)
-    # distinct segments of each document, then distinct links of each document
-    held = np.unique(owner[keep] * max(1, len(counts)) + codes[keep])
-    doc, code = np.divmod(held, max(1, len(counts)))
-    n = counts[code]
-    spread = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    pairs = np.unique(np.repeat(doc, n) * max(1, len(values)) + which[spread]) % max(1, len(values))
-    found = np.bincount(pairs, minlength=len(values))
+    found = np.zeros(len(values), np.int64)
+    first_document = 0
+    while first_document < len(at) - 1:
+        # whole documents: what they hold is counted once each
+        after = max(first_document + 1, int(np.searchsorted(at, at[first_document] + WORDS_AT_ONCE, "right")) - 1)
+        part = slice(int(at[first_document]), int(at[after]))
+        own, on = owner[part][keep[part]], codes[part][keep[part]]
+        doc, code = np.divmod(np.unique(own * max(1, len(counts)) + on), max(1, len(counts)))
+        n = counts[code]
+        spread = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pairs = np.unique(np.repeat(doc, n) * max(1, len(values)) + which[spread]) % max(1, len(values))
+        found += np.bincount(pairs, minlength=len(values))
+        first_document = after
     return pa.table({"link": pa.array(values[found > 0], pa.int64()), "docs": pa.array(found[found > 0], pa.int64())})
 
 
