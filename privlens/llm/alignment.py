@@ -4,7 +4,8 @@ A text is cut before runs of white space, wherever neither vocabulary has a toke
 such a place: what stands between two cuts is then tokenised as it would be in the text. Documents are
 read in chunks; a chunk keeps its distinct segments once and every document as numbers of
 them. Each distinct segment of the corpus is tokenised and aligned once, the alignments are joined back
-to the chunks' segments, and a chunk's documents are composed from them.
+to the chunks' segments, and a chunk's documents are composed from them. A document then has the pairs
+of ids that it links and how often; how many documents hold a pair is joined back to the chunks, too.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ from privlens.llm.common import configure, discard, materialize, with_fields
 CHUNK_BYTES = 32 << 20
 #: Words of a chunk's documents whose links are counted at once; bounds a worker's memory.
 WORDS_AT_ONCE = 400_000
+#: Alignments that travel to a chunk as one compressed row, at most; bounds a worker's memory.
+BUNDLE_ROWS = 100_000
+#: A chunk is numbered by its task and its place there, a segment by its chunk and its place there, in one number.
+CHUNK_BITS, CODE_BITS = 16, 27
 #: White space before which a text may be cut, if the vocabularies allow it.
 SPACES = " \n\t\v\f\r"
 #: Appended to a serialized piece model, this sets its ``add_dummy_prefix`` to false: repeated fields of a message are merged.
@@ -155,27 +161,27 @@ class Numbers(dict):
 
 
 def chunked(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of two kinds: ``chunk, id, codes`` of each document, and ``chunk, code, segment`` of each distinct segment of a chunk.
+    """Rows of two kinds: ``chunk, id, codes`` of each document, and ``place, segment`` of each distinct segment of a chunk.
 
-    A text gets a space before it; null and empty texts have no segments.
+    ``place`` is the chunk's number followed by the segment's. A text gets a space before it; null and empty texts have
+    no segments.
     """
     src = df.select(df[id_col].alias("id"), df[text].alias("text"))
-    schema = with_fields(src, ["id"], "chunk long, codes array<int>, code int, segment string")
+    schema = with_fields(src, ["id"], "chunk long, codes array<int>, place long, segment string")
 
     def run(batches):
-        split, task, chunk, size, numbers = aligner(path_a, path_b).split, TaskContext.get().partitionId(), 0, 0, Numbers()
+        split, chunk, size, numbers = aligner(path_a, path_b).split, TaskContext.get().partitionId() << CHUNK_BITS, 0, Numbers()
 
         def documents(ids: pa.Array, codes: list[list[int]]):
-            offsets = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
-            flat = pa.array(np.concatenate([np.asarray(c, np.int32) for c in codes])) if len(codes) else pa.array([], pa.int32())
-            n = len(codes)
-            return pa.RecordBatch.from_arrays([ids, pa.array([(task << 32) + chunk] * n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names)
+            n, offsets = len(codes), np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
+            flat = pa.array(np.concatenate([np.asarray(c, np.int32) for c in codes]))
+            return pa.RecordBatch.from_arrays([ids, pa.array([chunk] * n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=names)
 
         def segments():
-            n = len(numbers)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array([(task << 32) + chunk] * n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(range(n), pa.int32()), pa.array(list(numbers), pa.string())], names=names)
+            n, first = len(numbers), chunk << CODE_BITS
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(range(first, first + n), pa.int64()), pa.array(list(numbers), pa.string())], names=names)
 
-        names, kind = ["id", "chunk", "codes", "code", "segment"], None
+        names, kind = ["id", "chunk", "codes", "place", "segment"], None
         for batch in batches:
             kind, first, codes = batch.column(0).type, 0, []
             for at, t in enumerate(batch.column(1).to_pylist()):
@@ -194,97 +200,123 @@ def chunked(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
 
 def align_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """``segments(segment)`` with their alignment; all of it is null where a tokenizer's bytes are not the segment's."""
+    """``segment, reply`` of ``segments(segment)``: its alignment as text, ``n_a``, ``n_b``, ``n_groups``, the groups and the links set apart by tabs; empty where a tokenizer's bytes are not the segment's."""
 
     def run(batches):
         made = aligner(path_a, path_b)
         for batch in batches:
-            found = list(made.align(batch.column(0).to_pylist()))
-            columns = list(zip(*[f or (None,) * 5 for f in found]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["segment", "n_a", "n_b", "n_groups", "groups", "links"])
-
-    return segments.mapInArrow(run, "segment string, n_a long, n_b long, n_groups long, groups string, links array<long>")
-
-
-def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All codes of a chunk's documents, each document's first place among them and one more, and the document of each code."""
-    codes = table.column("codes").combine_chunks()
-    at = np.concatenate(([0], np.cumsum(codes.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-    return codes.flatten().to_numpy(zero_copy_only=False), at, np.repeat(np.arange(len(at) - 1), np.diff(at))
-
-
-def _by_code(table: pa.Table) -> pa.Table:
-    return table.sort_by("code").combine_chunks()
-
-
-def _whole(at: np.ndarray, owner: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Which documents have no bad segment."""
-    return np.bincount(owner[bad], minlength=len(at) - 1) == 0
-
-
-def document_counts(documents: pa.Table, segments: pa.Table) -> pa.Table:
-    """How many of a chunk's documents hold each link."""
-    codes, at, owner = _documents(documents)
-    segments = _by_code(segments)
-    links = segments.column("links").combine_chunks()
-    counts = links.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    values, which = np.unique(links.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    first = np.cumsum(counts) - counts
-    bad = ~np.asarray(links.is_valid())
-    keep = _whole(at, owner, bad[codes])[owner] if len(codes) else np.zeros(0, bool)
-    found = np.zeros(len(values), np.int64)
-    first_document = 0
-    while first_document < len(at) - 1:
-        # whole documents: what they hold is counted once each
-        after = max(first_document + 1, int(np.searchsorted(at, at[first_document] + WORDS_AT_ONCE, "right")) - 1)
-        part = slice(int(at[first_document]), int(at[after]))
-        own, on = owner[part][keep[part]], codes[part][keep[part]]
-        doc, code = np.divmod(np.unique(own * max(1, len(counts)) + on), max(1, len(counts)))
-        n = counts[code]
-        spread = np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pairs = np.unique(np.repeat(doc, n) * max(1, len(values)) + which[spread]) % max(1, len(values))
-        found += np.bincount(pairs, minlength=len(values))
-        first_document = after
-    return pa.table({"link": pa.array(values[found > 0], pa.int64()), "docs": pa.array(found[found > 0], pa.int64())})
-
-
-FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
-
-def compose(documents: pa.Table, segments: pa.Table) -> pa.Table:
-    """A chunk's documents from its segments' alignments."""
-    codes, at, owner = _documents(documents)
-    segments = _by_code(segments)
-    bad = ~np.asarray(segments.column("groups").combine_chunks().is_valid())
-    whole = _whole(at, owner, bad[codes]) if len(codes) else np.ones(len(at) - 1, bool)
-    out = {"id": documents.column("id")}
-    for name in FIGURES:
-        of_segment = segments.column(name).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
-        sums = np.concatenate(([0], np.cumsum(of_segment[codes] if len(codes) else [])))
-        out[name] = pa.array(np.where(whole, sums[at[1:]] - sums[at[:-1]], 0).astype(np.int64))
-    text, flat, digests = segments.column("groups").to_pylist().__getitem__, codes.tolist(), []
-    for a, b, good in zip(at[:-1].tolist(), at[1:].tolist(), whole.tolist()):
-        digests.append(hashlib.sha256(";".join(map(text, flat[a:b])).encode()).hexdigest() if good and b > a else "")
-    return pa.table(out | {"groups_sha256": pa.array(digests, pa.string())})
+            replies = ["\t".join((*map(str, found[:3]), found[3], " ".join(map(str, found[4])))) if found else "" for found in made.align(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string())], names=["segment", "reply"])
+
+    return segments.mapInArrow(run, "segment string, reply string")
+
 
+def bundled(replies: DataFrame) -> DataFrame:
+    """``chunk, bundle`` of ``replies(place, reply)``: what a task has for a chunk as one compressed row, a line for each segment."""
 
-def link_counts(encoded: DataFrame, alignments: DataFrame) -> DataFrame:
-    """``link, docs``: how many documents hold each linked pair of ids."""
-    documents = encoded.where("codes is not null").select(F.col("chunk").alias("of"), "codes")
-    segments = encoded.where("segment is not null").select("chunk", "code", "segment").join(alignments.select("segment", "links"), "segment").select("chunk", "code", "links")
-    per_chunk = documents.groupBy("of").cogroup(segments.groupBy("chunk")).applyInArrow(document_counts, "link long, docs long")
-    return per_chunk.groupBy("link").agg(F.sum("docs").alias("docs"))
+    def run(batches):
+        places, lines, packer = [], [], zstandard.ZstdCompressor()
 
+        def bundles():
+            at = np.concatenate(places)
+            order = np.argsort(at, kind="stable")
+            chunks, codes = at[order] >> CODE_BITS, (at[order] & ((1 << CODE_BITS) - 1)).tolist()
+            starts = np.flatnonzero(np.concatenate(([True], chunks[1:] != chunks[:-1])))
+            said = list(map(lines.__getitem__, order.tolist()))
+            packed = [packer.compress("\n".join(f"{c}\t{r}" for c, r in zip(codes[a:b], said[a:b])).encode()) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)])]
+            return pa.RecordBatch.from_arrays([pa.array(chunks[starts], pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "bundle"])
 
-def segment_sums(alignments: DataFrame, counts: DataFrame, width: int) -> DataFrame:
-    """Of each segment with links: ``n_links``, ``n_best`` (links whose count is the highest of their id of A) and ``count_sum``."""
-    of_a = F.expr(f"link div {width}")
-    best = counts.groupBy(of_a.alias("a")).agg(F.max("docs").alias("most"))
-    judged = counts.withColumn("a", of_a).join(best, "a").select("link", "docs", (F.col("docs") == F.col("most")).cast("long").alias("is_best"))
-    judged = materialize(judged, "links")
-    links = alignments.select("segment", F.explode("links").alias("link")).join(judged, "link")
-    return links.groupBy("segment").agg(F.count("*").alias("n_links"), F.sum("is_best").alias("n_best"), F.sum("docs").alias("count_sum"))
+        for batch in batches:
+            places.append(batch.column(0).to_numpy(zero_copy_only=False))
+            lines += batch.column(1).to_pylist()
+            if len(lines) >= BUNDLE_ROWS:
+                yield bundles()
+                places, lines = [], []
+        if lines:
+            yield bundles()
+
+    return replies.mapInArrow(run, "chunk long, bundle binary")
+
+
+class Replies:
+    """A chunk's alignments, by its segments' numbers."""
+
+    def __init__(self, bundles: list[bytes]):
+        unpacker = zstandard.ZstdDecompressor()
+        rows = [line.split("\t") for b in bundles for line in unpacker.decompress(b).decode().split("\n")]
+        rows.sort(key=lambda r: int(r[0]))
+        # a segment that a tokenizer changes has no alignment
+        self.bad = np.array([len(r) == 2 for r in rows], bool)
+        self.figures = np.array([[int(x) for x in r[1:4]] if len(r) > 2 else [0, 0, 0] for r in rows], np.int64).reshape(-1, 3)
+        self.groups = [r[4] if len(r) > 2 else "" for r in rows]
+        listed = [r[5].split(" ") if len(r) > 2 else [] for r in rows]
+        self.n_links = np.array([len(x) for x in listed], np.int64)
+        self.first = np.cumsum(self.n_links) - self.n_links
+        # links by their place among the chunk's distinct ones
+        self.values, self.which = np.unique(np.array([int(x) for r in listed for x in r], np.int64), return_inverse=True)
+
+
+FIGURES = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def compose(documents: pa.Table, bundles: pa.Table) -> pa.Table:
+    """A chunk's documents from its segments' alignments: their figures, the digest of their groups, and their distinct links with how often each occurs."""
+    lists = documents.column("codes").combine_chunks()
+    at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    codes, n = lists.flatten().to_numpy(zero_copy_only=False), len(at) - 1
+    replies = Replies(bundles.column("bundle").to_pylist())
+    owner = np.repeat(np.arange(n), np.diff(at))
+    whole = np.bincount(owner[replies.bad[codes]], minlength=n) == 0
+    out = {"chunk": documents.column("of"), "id": documents.column("id")}
+    for name, of_segment in zip(FIGURES, (*replies.figures.T, replies.n_links)):
+        sums = np.concatenate(([0], np.cumsum(of_segment[codes])))
+        out[name] = pa.array(np.where(whole, sums[at[1:]] - sums[at[:-1]], 0).astype(np.int64))
+    text, flat = replies.groups.__getitem__, codes.tolist()
+    digests = [hashlib.sha256(";".join(map(text, flat[a:b])).encode()).hexdigest() if good and b > a else "" for a, b, good in zip(at[:-1].tolist(), at[1:].tolist(), whole.tolist())]
+    keep, width, held, links, times = whole[owner], max(1, len(replies.values)), [], [], []
+    first = 0
+    while first < n:
+        # whole documents, as many as WORDS_AT_ONCE bounds: distinct segments of each, then distinct links
+        after = max(first + 1, int(np.searchsorted(at, at[first] + WORDS_AT_ONCE, "right")) - 1)
+        part = slice(int(at[first]), int(at[after]))
+        pairs, often = np.unique(owner[part][keep[part]] * max(1, len(replies.bad)) + codes[part][keep[part]], return_counts=True)
+        doc, code = np.divmod(pairs, max(1, len(replies.bad)))
+        m = replies.n_links[code]
+        spread = np.repeat(replies.first[code] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        found, back = np.unique(np.repeat(doc, m) * width + replies.which[spread], return_inverse=True)
+        held.append(found // width)
+        links.append(replies.values[found % width])
+        times.append(np.bincount(back, np.repeat(often, m), len(found)).astype(np.int64))
+        first = after
+    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64), minlength=n)))).astype(np.int32))
+    listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)))
+    return pa.table(out | {"groups_sha256": pa.array(digests, pa.string()), "links": listed(links), "times": listed(times)})
+
+
+def link_counts(composed: DataFrame, width: int) -> DataFrame:
+    """``link, docs, is_best``: how many documents hold each linked pair of ids, and whether that is the most of its id of A."""
+    counts = materialize(composed.select(F.explode("links").alias("link")).groupBy("link").agg(F.count("*").alias("docs")), "counts")
+    best = counts.groupBy(F.expr(f"link div {width}").alias("a")).agg(F.max("docs").alias("most"))
+    judged = counts.join(best, F.expr(f"link div {width}") == F.col("a"))
+    return judged.select("link", "docs", (F.col("docs") == F.col("most")).cast("long").alias("is_best"))
+
+
+RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+
+def summed(documents: pa.Table, counts: pa.Table) -> pa.Table:
+    """A chunk's documents with ``n_best`` and ``count_sum`` from the counts of the chunk's links."""
+    counts = counts.sort_by("link").combine_chunks()
+    known, docs, best = (counts.column(c).to_numpy() for c in ("link", "docs", "is_best"))
+    lists = documents.column("links").combine_chunks()
+    at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    where = np.searchsorted(known, lists.flatten().to_numpy(zero_copy_only=False))
+    times = documents.column("times").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    out = {c: documents.column(c) for c in ("id", *FIGURES)}
+    for name, of_link in (("n_best", best), ("count_sum", docs)):
+        sums = np.concatenate(([0], np.cumsum(of_link[where] * times)))
+        out[name] = pa.array((sums[at[1:]] - sums[at[:-1]]).astype(np.int64))
+    return pa.table(out | {"groups_sha256": documents.column("groups_sha256")})
 
 
 def align_documents(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,12 +328,15 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_
     """
     configure(df.sparkSession)
     encoded = materialize(chunked(df, path_a, path_b, id_col, text), "chunks")
-    segments = encoded.where("segment is not null").select("segment")
-    alignments = materialize(align_segments(segments.distinct(), path_a, path_b), "alignments")
-    counts = materialize(link_counts(encoded, alignments), "counts")
-    sums = materialize(segment_sums(alignments, counts, len(Pieces(path_b).bytes)), "sums")
-    found = alignments.drop("links").join(sums, "segment", "left")
-    joined = encoded.where("segment is not null").select("chunk", "code", "segment").join(found, "segment").select("chunk", "code", "groups", *FIGURES)
+    asked = encoded.where("segment is not null").select("place", "segment")
+    alignments = materialize(align_segments(asked.select("segment").distinct(), path_a, path_b), "alignments")
+    replies = bundled(asked.join(alignments, "segment").select("place", "reply"))
     documents = encoded.where("codes is not null").select(F.col("chunk").alias("of"), "id", "codes")
-    schema = with_fields(documents, ["id"], ", ".join(f"{f} long" for f in FIGURES) + ", groups_sha256 string")
-    return documents.groupBy("of").cogroup(joined.groupBy("chunk")).applyInArrow(compose, schema).withColumnRenamed("id", id_col)
+    schema = with_fields(documents.select(F.col("of").alias("chunk"), "id"), ["chunk", "id"], ", ".join(f"{f} long" for f in FIGURES) + ", groups_sha256 string, links array<long>, times array<long>")
+    composed = materialize(documents.groupBy("of").cogroup(replies.groupBy("chunk")).applyInArrow(compose, schema), "composed")
+    discard(encoded, alignments)
+    # every chunk gets the counts of its own links
+    wanted = composed.select("chunk", F.explode("links").alias("link")).distinct()
+    counts = wanted.join(link_counts(composed, len(Pieces(path_b).bytes)), "link").select(F.col("chunk").alias("of"), "link", "docs", "is_best")
+    schema = with_fields(composed, ["id"], ", ".join(f"{f} long" for f in RESULTS) + ", groups_sha256 string")
+    return composed.groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(summed, schema).withColumnRenamed("id", id_col)

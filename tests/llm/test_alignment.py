@@ -73,6 +73,7 @@ def test_odd_texts_equal_brute_force(spark, monkeypatch, size):
     """``size``: with small chunks, documents of one text fall into several chunks, and a chunk into several batches."""
     monkeypatch.setattr(alignment, "CHUNK_BYTES", size)
     monkeypatch.setattr(alignment, "WORDS_AT_ONCE", size)
+    monkeypatch.setattr(alignment, "BUNDLE_ROWS", min(size, 50))
     rows = list(enumerate(TEXTS)) + [(3, "a repeated id"), (3, "a repeated id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("chunk", F.lit("clash")).withColumn("id", F.lit("clash")).withColumn("segment", F.lit(1))
     assert run(df) == brute(rows)
