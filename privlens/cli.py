@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from privlens.operators import classes as cl
-from privlens.operators import recode, schema, search, targets
-from privlens.operators.privacy import Model
+from privlens.operators import schema, search, targets
+from privlens.operators.anonymizer import Anonymizer
+from privlens.operators.hierarchy import LEVELS
 from privlens.plans import assessment as pa
 from privlens.sources import config as cf
-from privlens.sources import shared
+from privlens.sources import shared, watch
 from privlens.sources import tables as tb
 
 
@@ -39,46 +40,38 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _levels(df: DataFrame, data: cf.DataConfig, anonymization: cf.AnonymizationConfig, hierarchies, key: str = "row_id") -> dict[str, int]:
-    """The level vector a configuration leads to: searched under all its models and its suppression limit, or drawn within the budget of differential privacy."""
-    qis = [q for q in schema.quasi_identifiers(data.specs, df.columns) if q in hierarchies]
-    bounds = {s.name: (s.min_level, s.max_level if s.max_level is None or s.max_level >= 0 else None) for s in data.specs if s.name in qis}
+def method_of(columns: list[str], data: cf.DataConfig, anonymization: cf.AnonymizationConfig, key: str = "row_id") -> Anonymizer:
+    """The anonymization that a configuration describes: a search under all its models and its suppression limit, or a draw within the budget of differential privacy.
+
+    Every quasi-identifier makes the class, one without a hierarchy by its values; only those that are
+    micro-aggregated without clustering do not.
+    """
+    hierarchies = data.hierarchies()
+    specs = {s.name: s for s in data.specs}
+    quasi = schema.quasi_identifiers(data.specs, columns)
+    micro = {n: s.micro_aggregation for n, s in specs.items() if s.micro_aggregation and n in columns}
+    # those whose labels are kept come first: the metrics count on their places in a level vector
+    own = {q: hierarchies[q] for q in sorted(quasi, key=lambda q: q in micro) if q not in micro or specs[q].perform_clustering}
+    bounds = {q: (specs[q].min_level, specs[q].max_level if specs[q].max_level is None or specs[q].max_level >= 0 else None) for q in own}
     quality = anonymization.qualityModel or cf.QualityModel()
-    own = {q: hierarchies[q] for q in qis}
-    models = anonymization.models(hierarchies)
+    models, sensitive = anonymization.models(hierarchies), schema.sensitive_attributes(data.specs)
     private = next((m for m in models if m.kind == "EDDifferentialPrivacy"), None)
+    budget = anonymization.differentialPrivacySearchBudget
     if private:
-        return search.private_levels(df, key, own, private.parameter, private.delta, anonymization.differentialPrivacySearchBudget, bounds, anonymization.heuristicSearchStepLimit or 300)
-    s = search.Search(own, 1, anonymization.algorithm, anonymization.heuristicSearchStepLimit, anonymization.heuristicSearchTimeLimit, quality.gsFactor, quality.aggregateFunction, bounds, models=models, sensitive=schema.sensitive_attributes(data.specs), limit=anonymization.suppressionLimit)
-    return s.run(df)
-
-
-def _release_models(anonymization: cf.AnonymizationConfig, hierarchies) -> list[Model]:
-    """The models that the release itself must hold: what a search spends of a differential privacy budget is taken off."""
-    spent = anonymization.differentialPrivacySearchBudget
-    return [replace(m, parameter=m.parameter - spent) if m.kind == "EDDifferentialPrivacy" else m for m in anonymization.models(hierarchies)]
+        found = search.PrivateSearch(own, key, private.parameter, private.delta, budget, bounds)
+        # what the search spends of the budget is taken off what the release may spend
+        models = [replace(m, parameter=m.parameter - budget) if m is private else m for m in models]
+    else:
+        found = search.Search(own, 1, anonymization.algorithm, anonymization.heuristicSearchStepLimit, anonymization.heuristicSearchTimeLimit, quality.gsFactor, quality.aggregateFunction, bounds, models=models, sensitive=sensitive, limit=anonymization.suppressionLimit)
+    rounds = anonymization.localGeneralizationIterations if anonymization.localGeneralization else 0
+    identifying = [s.name for s in data.specs if s.role is schema.Role.IDENTIFYING and s.name in columns]
+    return Anonymizer(found, models, key, sensitive, identifying, rounds, micro, {n: specs[n].ignore_missing for n in micro})
 
 
-def anonymize(df: DataFrame, data: cf.DataConfig, anonymization: cf.AnonymizationConfig, key: str = "row_id") -> tuple[DataFrame, dict[str, int]]:
-    """The released table and its levels; with local recoding, rows of later rounds have levels of their own. Micro-aggregation comes last."""
-    hierarchies = data.hierarchies()
-    models = _release_models(anonymization, hierarchies)
-    sensitive = schema.sensitive_attributes(data.specs)
-    identifying = [s.name for s in data.specs if s.role is schema.Role.IDENTIFYING]
-    levels = _levels(df, data, anonymization, hierarchies, key)
-    rounds = anonymization.localGeneralizationIterations
-    if anonymization.localGeneralization and rounds > 1:
-        out = recode.local_recoding_search(df, key, lambda rest: _levels(rest, data, anonymization, hierarchies, key), hierarchies, models, rounds, sensitive)
-        for name in identifying:
-            out = out.withColumn(name, F.lit("*"))
-    else:
-        out = recode.release(df, levels, hierarchies, models, sensitive, identifying=identifying, key=key)
-    specs = {s.name: s for s in data.specs}
-    micro = {n: s.micro_aggregation for n, s in specs.items() if s.micro_aggregation}
-    if micro:
-        keys = [q for q in levels if q not in micro or specs[q].perform_clustering]
-        out = recode.micro_aggregate(out, keys, micro, {n: specs[n].ignore_missing for n in micro})
-    return out, levels
+def anonymize(df: DataFrame, data: cf.DataConfig, anonymization: cf.AnonymizationConfig, key: str = "row_id") -> tuple[DataFrame, Anonymizer]:
+    """The released table, its rows with their level vectors, and the method that released it."""
+    method = method_of(df.columns, data, anonymization, key)
+    return method.release(df), method
 
 
 def target_selection(spark: SparkSession, data: cf.DataConfig, out: str) -> DataFrame:
@@ -91,24 +84,26 @@ def target_selection(spark: SparkSession, data: cf.DataConfig, out: str) -> Data
 def report(spark: SparkSession, data: cf.DataConfig, anonymization: cf.AnonymizationConfig, out: str) -> None:
     df = tb.read_table(spark, data)
     hierarchies = data.hierarchies()
-    released, levels = anonymize(df, data, anonymization)
+    released, method = anonymize(df, data, anonymization)
     released = shared.materialize(released, "released")
+    levels = {n: 0 for n in method.names if n not in method.micro}
     names = [F.lit(anonymization.name).alias("anon_name"), F.lit(data.name).alias("dataset_name")]
     g = cl.granularity(released, df, levels, hierarchies)
     e = cl.nonuniform_entropy(released, df, "row_id", levels, hierarchies)
-    dataset = cl.dataset_metrics(released, df, "row_id", list(levels), levels, hierarchies)
+    dataset = cl.dataset_metrics(released, df, "row_id", method.names, levels, hierarchies)
     tb.write_report(dataset.select(*names, "*"), g.join(e, "attribute").select(*names, "*"), f"{out}/report")
     shared.write_text(spark, f"{out}/configs/{anonymization.name}_{data.name}.yaml", cf.config_text(anonymization))
-    tb.write_release(released, f"{out}/released_{anonymization.name}_{data.name}_{datetime.now(UTC):%Y%m%d_%H%M%S}")
+    tb.write_release(released.drop(LEVELS), f"{out}/released_{anonymization.name}_{data.name}_{datetime.now(UTC):%Y%m%d_%H%M%S}")
     shared.discard(released)
 
 
 def risk_assessment(spark: SparkSession, risk: cf.RiskAssessmentConfig, data: cf.DataConfig, anonymization: cf.AnonymizationConfig, name: str, out: str, progress=None) -> list[str]:
     """One assessment per feature type; returns the names of the results written.
 
-    The runs of an assessment are batches: after each, ``progress(done, all)`` is told the releases made, and a file
-    ``STOP`` in ``out`` ends the assessment there. With checkpoint data the log of finished batches is kept by a fingerprint
-    of all configurations, and what is found there is not done again.
+    Samples, releases and log rows are artifacts of a store, kept by a fingerprint of all configurations; with checkpoint
+    data the store outlives the assessment, and what is found there is not made again. Releases are made for some jobs at
+    a time; after each such batch ``progress(done, all)`` is told the releases made. A file ``STOP`` in ``out`` ends the
+    assessment within seconds; what was stored by then is kept, and finished runs are reported.
     """
     df = tb.read_table(spark, data)
     specs = schema.enrich(data.specs, df)
@@ -119,8 +114,8 @@ def risk_assessment(spark: SparkSession, risk: cf.RiskAssessmentConfig, data: cf
     considered = schema.attack_attributes(specs, risk.attributesForAttackType.upper().startswith("ALL_ATTR"))
     imported = tb.read_target_ids(spark, risk.targetFile) if risk.targetFile else None
     picked = shared.materialize(targets.select_targets(df, "row_id", risk.targetType, risk.targetCount, qis, risk.seed, imported).select("row_id"), "targets")
-    levels = _levels(df, data, anonymization, hierarchies)
-    models, sensitive = _release_models(anonymization, hierarchies), schema.sensitive_attributes(specs)
+    method = method_of(df.columns, data, anonymization)
+    levels = {n: 0 for n in method.names if n not in method.micro}
     numeric = {s.name: (s.minimum, s.maximum) for s in specs if s.name in considered and s.data_type is not schema.DataType.CATEGORICAL}
     statistics = cf.read_statistics_config(risk.pathToStatisticsConfig) if risk.pathToStatisticsConfig else cf.StatisticsConfig()
     done = []
@@ -136,17 +131,16 @@ def risk_assessment(spark: SparkSession, risk: cf.RiskAssessmentConfig, data: cf
         root = risk.pathToCheckpointData if risk.useCheckpointData and risk.pathToCheckpointData else f"{shared.shared_dir(spark)}/{title}"
         store = tb.CheckpointStore(spark, root, cf.fingerprint(replace(risk, featureTypes=[kind]), data, anonymization))
         jobs = shared.materialize(pa.job_plan(picked, "row_id", plan), "plan")
-        for run in range(plan.runs):
-            if shared.exists(spark, f"{out}/STOP"):
-                break
-            left = store.remaining(jobs.where(F.col("run_id") == run), "log")
-            if not left.isEmpty():
-                guesses, released, batch = pa.assess_fully(df, "row_id", picked, levels, hierarchies, models, numeric, plan, sensitive, left, [run], considered)
-                log = pa.assessment_log(df, "row_id", guesses, released, levels, hierarchies, [a for a in numeric if a in levels], statistics.features, statistics.target)
-                store.save("log", log.withColumn("run_id", F.col("TestRun")).withColumn("target_id", F.col("TargetId")))
-                shared.discard(guesses, released, batch)
-            if progress:
-                progress((run + 1) * jobs.count() // plan.runs, jobs.count())
+        total = jobs.count()
+        with watch.Watch(spark, f"{out}/STOP") as watched:
+            for run in range(plan.runs):
+                if watched.asked():
+                    break
+                left = store.remaining(jobs.where(F.col("run_id") == run), "log")
+                if not left.isEmpty():
+                    _run(store, df, n, left, run, method, numeric, plan, considered, levels, hierarchies, statistics, lambda made, run=run: progress and progress(run * total // plan.runs + made, total))
+                elif progress:
+                    progress((run + 1) * total // plan.runs, total)
         shared.discard(jobs)
         log = store.load("log")
         if log is None:
@@ -163,6 +157,36 @@ def risk_assessment(spark: SparkSession, risk: cf.RiskAssessmentConfig, data: cf
     return done
 
 
+#: Releases made in one batch, at least one job's; a stop or a failure costs no more than that.
+RELEASES_AT_ONCE = 2000
+
+
+def _run(store: tb.CheckpointStore, df: DataFrame, n: int, jobs: DataFrame, run: int, method, numeric, plan: pa.Assessment, considered, levels, hierarchies, statistics, tell) -> None:
+    """One run's jobs: samples, then releases batch by batch, then guesses and their log rows, each stored; what is stored is used."""
+    named = jobs.select("sample_id", *store.KEYS)
+    absent = store.remaining(jobs, "samples")
+    if not absent.isEmpty():
+        absent = shared.materialize(absent, "absent")
+        members = pa.membership(df, "row_id", absent, plan, n, [run])
+        store.save("samples", members.join(named, "sample_id"))
+        shared.discard(members, absent)
+    waiting = [r["target_id"] for r in store.remaining(jobs, "releases").select("target_id").distinct().orderBy("target_id").collect()]  # a row per target
+    made, size = plan.per_job * (jobs.select("target_id").distinct().count() - len(waiting)), max(1, RELEASES_AT_ONCE // plan.per_job)
+    for at in range(0, len(waiting), size):
+        batch = jobs.where(F.col("target_id").isin(waiting[at : at + size]))
+        out = pa.release_samples(df, "row_id", store.of("samples", batch).select("sample_id", "row_id"), method)
+        store.save("releases", out.join(named, "sample_id"))
+        made += plan.per_job * len(waiting[at : at + size])
+        tell(made)
+    if not waiting:
+        tell(made)
+    released = store.of("releases", jobs).drop(*store.KEYS)
+    guesses = pa.judged(df, released, jobs, method, numeric, plan, considered)
+    log = pa.assessment_log(df, "row_id", guesses, released, levels, hierarchies, [a for a in numeric if a in levels], statistics.features, statistics.target)
+    store.save("log", log.withColumn("run_id", F.col("TestRun")).withColumn("target_id", F.col("TargetId")))
+    shared.discard(guesses)
+
+
 def _say(made: int, all_: int) -> None:
     print(f"{made} of {all_} releases", file=sys.stderr)
 

@@ -7,13 +7,14 @@ table or thousands of samples.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privlens.functions.scalar import STAR, ratio, three_decimals
-from privlens.operators.hierarchy import Hierarchy, attach_many
+from privlens.operators.hierarchy import LEVELS, Hierarchy, attach_many
 
 SUPPRESSED = "is_suppressed"
 
@@ -70,10 +71,15 @@ def reidentification_risk(classes: DataFrame, by: Sequence[str] = ()) -> DataFra
     )
 
 
-def _cells(df: DataFrame, attributes: Sequence[str], keep: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
-    """``(keep, __a, __v0, __v1, ...)``: a row per cell with its attribute's number and its value, typed as it was, in its own column."""
+def _cells(df: DataFrame, attributes: Sequence[str], keep: Sequence[str], levels: Mapping[str, int] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``(keep, __a, __l, __v0, __v1, ...)``: a row per cell with its attribute's number, its level and its value, typed as it was, in its own column.
+
+    A cell's level is its row's own where the table has :data:`LEVELS`, else the one in ``levels`` (0 without).
+    """
     columns = {a: f"__v{i}" for i, a in enumerate(attributes)}
-    structs = [F.struct(F.lit(i).alias("__a"), *[(F.col(a) if a == b else F.lit(None).cast(df.schema[b].dataType)).alias(c) for b, c in columns.items()]) for i, a in enumerate(attributes)]
+    own = levels is not None and LEVELS in df.columns
+    level = lambda i, a: F.col(LEVELS)[i] if own else F.lit((levels or {}).get(a, 0))
+    structs = [F.struct(F.lit(i).alias("__a"), level(i, a).alias("__l"), *[(F.col(a) if a == b else F.lit(None).cast(df.schema[b].dataType)).alias(c) for b, c in columns.items()]) for i, a in enumerate(attributes)]
     return df.select(*keep, F.explode(F.array(*structs)).alias("__c")).select(*keep, "__c.*"), columns
 
 
@@ -81,36 +87,49 @@ def _named(out: DataFrame, attributes: Sequence[str], by: Sequence[str], value:
     return out.select(*by, F.element_at(F.array(*map(F.lit, attributes)), F.col("__a") + 1).alias("attribute"), value)
 
 
-def _leaf_counts(original: DataFrame, hierarchies: Mapping[str, Hierarchy], levels: Mapping[str, int]) -> DataFrame:
-    """``(__a, label, n_leaves, domain)`` of every attribute's level: leaves under each label, and leaves in all."""
-    observed = [a for a in levels if hierarchies[a].rows is None]
+def _used_levels(df: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy]) -> dict[str, list[int]]:
+    """The levels that cells may have: all where rows have their own."""
+    return {a: list(range(hierarchies[a].height + 1)) if LEVELS in df.columns else [x] for a, x in levels.items()}
+
+
+def _at_levels(values: DataFrame, levels: Mapping[str, Sequence[int]], hierarchies: Mapping[str, Hierarchy], columns: Mapping[str, str]) -> DataFrame:
+    """``values`` once for each level of its attribute, with the ``label`` there."""
+    numbers = F.coalesce(*[F.when(F.col("__a") == i, F.array(*map(F.lit, x))) for i, x in enumerate(levels.values())])
+    return attach_many(values.drop("__l").withColumn("__l", F.explode(numbers)), levels, hierarchies, columns, "__a", "__l", "label")
+
+
+def _leaf_counts(original: DataFrame, hierarchies: Mapping[str, Hierarchy], levels: Mapping[str, Sequence[int]]) -> DataFrame:
+    """``(__a, __l, label, n_leaves, domain)`` of every attribute's levels: leaves under each label, and leaves in all."""
+    observed = {a: x for a, x in levels.items() if hierarchies[a].rows is None}
     numbers = {a: i for i, a in enumerate(levels)}
     spark, parts = original.sparkSession, []
     if observed:
-        cells, columns = _cells(original, observed, [])
+        cells, columns = _cells(original, list(observed), [])
         leaves = cells.where(F.coalesce(*[F.col(c).cast("string") for c in columns.values()]).isNotNull()).distinct()
         renumbered = F.element_at(F.array(*[F.lit(numbers[a]) for a in observed]), F.col("__a") + 1)
-        parts.append(attach_many(leaves, {a: levels[a] for a in observed}, hierarchies, columns, "__a", "label").groupBy(renumbered.alias("__a"), "label").agg(F.count("*").alias("n_leaves")))
-    listed = [(numbers[a], r[levels[a]]) for a in levels if hierarchies[a].rows is not None for r in {r[0]: r for r in hierarchies[a].rows}.values()]
+        parts.append(_at_levels(leaves, observed, hierarchies, columns).groupBy(renumbered.alias("__a"), "__l", "label").agg(F.count("*").alias("n_leaves")))
+    listed = [(numbers[a], x, r[x]) for a, wanted in levels.items() if hierarchies[a].rows is not None for r in {r[0]: r for r in hierarchies[a].rows}.values() for x in wanted]
     if listed:
-        parts.append(spark.createDataFrame(listed, "__a int, label string").groupBy("__a", "label").agg(F.count("*").alias("n_leaves")))
+        parts.append(spark.createDataFrame(listed, "__a int, __l int, label string").groupBy("__a", "__l", "label").agg(F.count("*").alias("n_leaves")))
     counts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return counts.withColumn("domain", F.sum("n_leaves").over(Window.partitionBy("__a")))
+    return counts.join(F.broadcast(counts.groupBy("__a", "__l").agg(F.sum("n_leaves").alias("domain"))), ["__a", "__l"])  # a row per attribute and level
 
 
 def granularity(released: DataFrame, original: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], by: Sequence[str] = ()) -> DataFrame:
     """``(by, attribute, granularity)``: 1 minus the mean share of the domain that a cell leaves open.
 
     A cell costs ``(leaves - 1) / (domain - 1)``; a suppressed cell costs 1, and a domain of one value costs
-    nothing unless suppressed. All attributes are counted by label in one pass over the release.
+    nothing unless suppressed. All attributes are counted by label in one pass over the release. Where rows have
+    level vectors of their own (:data:`LEVELS`, in the order of ``levels``), those count.
     """
     flag = F.col(SUPPRESSED) if SUPPRESSED in released.columns else F.lit(False)
-    text = released.select(*by, flag.alias("__s"), *[F.col(a).cast("string").alias(a) for a in levels])
-    cells, columns = _cells(text, list(levels), [*by, "__s"])
-    labels = cells.groupBy(*by, "__s", "__a", F.coalesce(*columns.values()).alias("label")).agg(F.count("*").alias("n"))
-    leaves = _leaf_counts(original, hierarchies, levels)
+    own = [LEVELS] if LEVELS in released.columns else []
+    text = released.select(*by, *own, flag.alias("__s"), *[F.col(a).cast("string").alias(a) for a in levels])
+    cells, columns = _cells(text, list(levels), [*by, "__s"], levels)
+    labels = cells.groupBy(*by, "__s", "__a", "__l", F.coalesce(*columns.values()).alias("label")).agg(F.count("*").alias("n"))
+    leaves = _leaf_counts(original, hierarchies, _used_levels(released, levels, hierarchies))
     cost = F.when(F.col("__s") | F.col("n_leaves").isNull(), F.lit(1.0)).otherwise(F.coalesce(ratio(F.col("n_leaves") - 1, F.col("domain") - 1), F.lit(0.0)))
-    sums = labels.join(leaves, ["__a", "label"], "left").groupBy(*by, "__a").agg((1.0 - ratio(F.sum(cost * F.col("n")), F.sum("n"))).alias("granularity"))
+    sums = labels.join(leaves, ["__a", "__l", "label"], "left").groupBy(*by, "__a").agg((1.0 - ratio(F.sum(cost * F.col("n")), F.sum("n"))).alias("granularity"))
     return _named(sums, list(levels), by, "granularity")
 
 
@@ -119,19 +138,33 @@ def nonuniform_entropy(released: DataFrame, original: DataFrame, key: str, level
 
     A cell loses ``-log2(f(value) / f(label))``, where ``f(label)`` counts the original records that the label
     covers; a suppressed cell's label covers all. The original holds ``-sum log2(f(value) / n)``; where that is
-    zero the score is 1. Release and original are joined once; only counts per value go through the hierarchies.
+    zero the score is 1. Release and original are joined once; only counts per value go through the hierarchies,
+    and counts of labels and tables are joined to them, so that no task holds an attribute's values.
+    Where rows have level vectors of their own (:data:`LEVELS`), those count.
     """
     flag = F.col(SUPPRESSED) if SUPPRESSED in released.columns else F.lit(False)
-    both = released.select(*by, key, flag.alias("__s")).join(original.select(key, *levels), key)
-    cells, columns = _cells(both, list(levels), [*by, "__s"])
-    values = cells.groupBy(*by, "__a", *columns.values()).agg(F.count("*").alias("fv"), F.sum(F.col("__s").cast("long")).alias("gone"))
-    values = attach_many(values, levels, hierarchies, columns, "__a", "label")
-    fl = F.sum("fv").over(Window.partitionBy(*by, "__a", "label"))
-    n = F.sum("fv").over(Window.partitionBy(*by, "__a"))
-    counted = values.select(*by, "__a", "fv", "gone", fl.alias("fl")).withColumn("n", n)
-    fv, lose = F.col("fv"), lambda under: -F.log2(F.col("fv") / under)
-    lost = (fv - F.col("gone")) * lose(F.col("fl")) + F.col("gone") * lose(F.col("n"))
-    sums = counted.groupBy(*by, "__a").agg(F.sum(lost).alias("lost"), F.sum(fv * lose(F.col("n"))).alias("had"))
+    own = [LEVELS] if LEVELS in released.columns else []
+    both = released.select(*by, *own, key, flag.alias("__s")).join(original.select(key, *levels), key)
+    cells, columns = _cells(both, list(levels), [*by, "__s"], levels)
+    typed = list(columns.values())
+    counted = cells.groupBy(*by, "__a", "__l", *typed).agg(F.count("*").alias("cells"), F.sum(F.col("__s").cast("long")).alias("gone"))
+    used = _used_levels(released, levels, hierarchies)
+    labelled = attach_many(counted, used, hierarchies, columns, "__a", "__l", "label")
+    per_value = counted.groupBy(*by, "__a", *typed).agg(F.sum("cells").alias("fv"))
+    under = _at_levels(per_value, used, hierarchies, columns).groupBy(*by, "__a", "__l", "label").agg(F.sum("fv").alias("fl"))
+    rows = per_value.groupBy(*by, "__a").agg(F.sum("fv").alias("n"))
+
+    def looked_up(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+        side = right.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(on)])
+        return left.join(side, same).drop(*[f"__r{i}" for i in range(len(on))])
+
+    # with one level for all rows a value is counted once
+    values = looked_up(labelled, per_value, [*by, "__a", *typed]) if own else labelled.withColumn("fv", F.col("cells"))
+    found = looked_up(looked_up(values, under, [*by, "__a", "__l", "label"]), rows, [*by, "__a"])
+    lose = lambda of: -F.log2(F.col("fv") / F.col(of))
+    lost = (F.col("cells") - F.col("gone")) * lose("fl") + F.col("gone") * lose("n")
+    sums = found.groupBy(*by, "__a").agg(F.sum(lost).alias("lost"), F.sum(F.col("cells") * lose("n")).alias("had"))
     out = sums.select(*by, "__a", (1.0 - F.coalesce(ratio(F.col("lost"), F.col("had")), F.lit(0.0))).alias("entropy"))
     return _named(out, list(levels), by, "entropy")
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from privlens.sources.shared import materialize
+
 K = 5
 TREES = 100
 
@@ -30,13 +32,17 @@ def knn_predict(train: DataFrame, test: DataFrame, by: Sequence[str] = (), key:
     cut into blocks of about ``KNN_BLOCK``; each test block meets each training block of its job in a task, and only
     the ``k`` nearest of a block move on. Keys and labels are integers; vectors of a job have one length.
     """
-    n_test, n_train = test.count(), train.count()
-    cuts = [max(1, -(-n // KNN_BLOCK)) for n in (n_test, n_train)]
     keys = [*by, "__i", "__j"]
-    other = lambda cut: F.explode(F.sequence(F.lit(0), F.lit(cut - 1)))
-    block = lambda name, cut: F.pmod(F.xxhash64(F.col(name)), F.lit(cut)).cast("int")
-    a = test.select(*by, F.col(key).cast("long").alias("__q"), F.col(features).cast("array<double>").alias("__x")).withColumn("__i", block("__q", cuts[0])).withColumn("__j", other(cuts[1]))
-    b = train.select(*by, F.col(key).cast("long").alias("__t"), F.col(features).cast("array<double>").alias("__y"), F.col(label).cast("long").alias("__l")).withColumn("__j", block("__t", cuts[1])).withColumn("__i", other(cuts[0]))
+    blocks = lambda df: df.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / KNN_BLOCK)).cast("int").alias("__n"))
+    cuts = blocks(test).withColumnRenamed("__n", "__m")
+    cuts = cuts.join(blocks(train), list(by)) if by else cuts.crossJoin(F.broadcast(blocks(train)))  # one row
+    cuts = materialize(cuts, "cuts")  # a row per job: its own numbers of blocks, however many jobs there are
+    cut = lambda df: df.join(cuts, list(by)) if by else df.crossJoin(F.broadcast(cuts))
+    own = lambda name, n: F.pmod(F.xxhash64(F.col(name)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = cut(test.select(*by, F.col(key).cast("long").alias("__q"), F.col(features).cast("array<double>").alias("__x"))).withColumn("__i", own("__q", "__m")).withColumn("__j", each("__n")).drop("__m", "__n")
+    b = cut(train.select(*by, F.col(key).cast("long").alias("__t"), F.col(features).cast("array<double>").alias("__y"), F.col(label).cast("long").alias("__l"))).withColumn("__j", own("__t", "__n")).withColumn("__i", each("__m")).drop("__m", "__n")
+    b = b.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], "__i", "__j", "__t", "__y", "__l")
 
     def near(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         found = {"__q": [], "__t": [], "__l": [], "__d": []}
@@ -57,11 +63,11 @@ def knn_predict(train: DataFrame, test: DataFrame, by: Sequence[str] = (), key:
                     found[name].append(v)
         out = pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in found.items()})
         for i, c in enumerate(by):
-            out.insert(i, c, (asks if len(asks) else known)[c].iloc[0])
+            out.insert(i, c, asks[c].iloc[0] if len(asks) else None)
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.select(*by).schema.fields) + ", " * bool(by) + "__q long, __t long, __l long, __d double"
-    met = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(near, schema)
+    met = a.groupBy(*keys).cogroup(b.groupBy(*[f"__b{i}" for i in range(len(by))], "__i", "__j")).applyInPandas(near, schema)
     w = Window.partitionBy(*by, "__q").orderBy("__d", "__t")
     votes = met.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).groupBy(*by, "__q", "__l").agg(F.count("*").alias("__n"))
     order = F.struct(F.col("__n"), -F.col("__l"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from privlens.functions.scalar import STAR
 
+#: A row's own level vector, where rows of one table have different ones: an array in the order of the attributes.
+LEVELS = "__levels"
+
 #: Leaves up to which a lookup is a literal map; larger hierarchies are joined.
 MAP_LIMIT = 64
 
@@ -39,6 +42,11 @@ class Hierarchy:
         """The two-level hierarchy of cell suppression: the value, then ``*``."""
         return cls(attribute, rules=[lambda c: F.lit(STAR)])
 
+    @classmethod
+    def identity(cls, attribute: str) -> Hierarchy:
+        """The hierarchy of an attribute that has none: the values alone, so that it is part of its class and never generalized."""
+        return cls(attribute, rules=[])
+
     @classmethod
     def nested(cls, attribute: str, tree: Mapping | Sequence) -> Hierarchy:
         """From an inline tree: map keys are outer labels, list entries leaves. Uneven branches repeat their last label."""
@@ -90,6 +98,18 @@ class Hierarchy:
         joined = df.join(side, self._key(df[column]) == F.col("__leaf"), "left")
         return joined.withColumn(out, F.coalesce("__label", F.lit(STAR))).drop("__leaf", "__label")
 
+    def attach_at(self, df: DataFrame, level: Column, out: str, column: str | None = None) -> DataFrame:
+        """``df`` with the label at each row's own ``level`` in ``out``."""
+        column = column or self.attribute
+        if self.rules is not None or len(self.rows) <= MAP_LIMIT:
+            return df.withColumn(out, F.coalesce(*[F.when(level == i, self.label(df[column], i)) for i in range(self.height + 1)]))
+        leaf = F.col("__leaf").try_cast("double") if self.numeric else F.col("__leaf")
+        side = df.sparkSession.createDataFrame([(r[0], list(r)) for r in self.rows], "__leaf string, __labels array<string>").dropDuplicates(["__leaf"])
+        side = side.select(leaf.alias("__leaf"), "__labels")
+        joined = df.join(side, self._key(df[column]) == F.col("__leaf"), "left")
+        made = F.when(level == 0, df[column].cast("string")).otherwise(F.coalesce(F.element_at("__labels", level + 1), F.lit(STAR)))
+        return joined.withColumn(out, made).drop("__leaf", "__labels")
+
     def table(self, domain: DataFrame) -> DataFrame:
         """``(attribute, leaf, level, label)`` over a one-column ``domain`` of leaves (or over the rows' own leaves)."""
         if self.rows is not None:
@@ -113,29 +133,28 @@ def all_labels(spark: SparkSession, hierarchies: Sequence[Hierarchy], domains: M
     return out.distinct() if out is not None else spark.createDataFrame([], "attribute string, label string")
 
 
-def attach_many(values: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], typed: Mapping[str, str], number: str, out: str) -> DataFrame:
-    """``values`` with ``out``, the label of the attribute whose position in ``levels`` stands in ``number`` and whose value in column ``typed[attribute]``.
+def attach_many(values: DataFrame, levels: Mapping[str, Sequence[int]], hierarchies: Mapping[str, Hierarchy], typed: Mapping[str, str], number: str, level: str, out: str) -> DataFrame:
+    """``values`` with ``out``, the label at the row's ``level`` of the attribute whose position in ``levels`` stands in ``number`` and whose value in column ``typed[attribute]``.
 
-    Large listed hierarchies share one join; all others are computed in place.
+    ``levels`` names the levels that rows may have. Large listed hierarchies share one join; all others are computed in place.
     """
-    exprs, listed = [], []
-    for i, (name, level) in enumerate(levels.items()):
+    exprs, listed, keys = [], [], []
+    for i, (name, wanted) in enumerate(levels.items()):
         h = hierarchies[name]
-        if level and h.rows is not None and len(h.rows) > MAP_LIMIT:
+        if h.rows is not None and len(h.rows) > MAP_LIMIT and any(wanted):
             first = {r[0]: r for r in reversed(h.rows)}
-            listed += [(i, str(float(leaf)) if h.numeric else leaf, r[level]) for leaf, r in first.items()]
-            exprs.append((i, None, F.col(typed[name]).try_cast("double").cast("string") if h.numeric else F.col(typed[name]).cast("string")))
-        else:
-            exprs.append((i, h.label(F.col(typed[name]), level), None))
-    computed = F.coalesce(*[F.when(F.col(number) == i, e) for i, e, _ in exprs if e is not None], F.lit(None).cast("string"))
+            listed += [(i, x, str(float(leaf)) if h.numeric else leaf, r[x]) for leaf, r in first.items() for x in wanted if x]
+            keys.append((i, F.col(typed[name]).try_cast("double").cast("string") if h.numeric else F.col(typed[name]).cast("string")))
+            wanted = [x for x in wanted if not x]
+        exprs += [F.when((F.col(number) == i) & (F.col(level) == x), h.label(F.col(typed[name]), x)) for x in wanted]
+    computed = F.coalesce(*exprs, F.lit(None).cast("string"))
     if not listed:
         return values.withColumn(out, computed)
-    side = values.sparkSession.createDataFrame(listed, "__i int, __leaf string, __label string")
-    leaf = F.coalesce(*[F.when(F.col(number) == i, k) for i, _, k in exprs if k is not None], F.lit(None).cast("string"))
-    marked = values.withColumn("__key", leaf)
-    joined = marked.join(side, (marked[number] == side["__i"]) & (marked["__key"] == side["__leaf"]), "left")
-    large = F.col(number).isin([i for i, e, _ in exprs if e is None])
-    return joined.withColumn(out, F.when(large, F.coalesce("__label", F.lit(STAR))).otherwise(computed)).drop("__key", "__i", "__leaf", "__label")
+    side = values.sparkSession.createDataFrame(listed, "__i int, __x int, __leaf string, __label string")
+    marked = values.withColumn("__key", F.coalesce(*[F.when(F.col(number) == i, k) for i, k in keys], F.lit(None).cast("string")))
+    joined = marked.join(side, (marked[number] == side["__i"]) & (marked[level] == side["__x"]) & (marked["__key"] == side["__leaf"]), "left")
+    large = F.col(number).isin([i for i, _ in keys]) & (F.col(level) > 0)
+    return joined.withColumn(out, F.when(large, F.coalesce("__label", F.lit(STAR))).otherwise(computed)).drop("__key", "__i", "__x", "__leaf", "__label")
 
 
 def generalize(df: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy]) -> DataFrame:
@@ -143,3 +162,10 @@ def generalize(df: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[st
     for name, level in levels.items():
         df = hierarchies[name].attach(df, level, name)
     return df
+
+
+def generalize_each(df: DataFrame, names: Sequence[str], hierarchies: Mapping[str, Hierarchy]) -> DataFrame:
+    """``df`` with each attribute of ``names`` replaced by its label at the row's own level, the entry of :data:`LEVELS` at the attribute's position."""
+    for i, name in enumerate(names):
+        df = hierarchies[name].attach_at(df, F.col(LEVELS)[i], name)
+    return df

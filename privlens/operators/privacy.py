@@ -8,8 +8,8 @@ class-by-value size before anything is joined.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from privlens.functions.scalar import ratio, seeded_order
-from privlens.operators.classes import SUPPRESSED, equivalence_classes, live_rows, row_count
+from privlens.operators.classes import SUPPRESSED, WEIGHT, equivalence_classes, live_rows, row_count
 from privlens.operators.hierarchy import Hierarchy
 
 #: Slack of comparisons with a threshold, for sums in another order.
@@ -70,22 +70,62 @@ def t_closeness_equal(df: DataFrame, qis: Sequence[str], sensitive: str, t: floa
 
 
 def t_closeness_hierarchical(df: DataFrame, qis: Sequence[str], sensitive: str, hierarchy: Hierarchy, t: float, by: Sequence[str] = ()) -> DataFrame:
-    """Hierarchical ground distance: over inner nodes, ``height / H * min(positive extras, negative extras)`` of the children."""
-    keys = [*by, *qis]
-    g = class_grid(df, qis, sensitive, by).withColumn("__extra", F.col("__p") - F.col("__q"))
-    height = hierarchy.height
-    # a node is its label together with all labels above it, since labels recur across levels
-    path = lambda level: F.concat_ws("\u001f", *[hierarchy.label(F.col("__s"), i) for i in range(level, height + 1)])
-    cost = None
-    for level in range(1, height + 1):
-        child, node = path(level - 1), path(level)
-        children = g.groupBy(*keys, child.alias("__c"), node.alias("__v")).agg(F.sum("__extra").alias("__x"))
-        nodes = children.groupBy(*keys, "__v").agg(F.sum(F.greatest("__x", F.lit(0.0))).alias("__pos"), F.sum(F.greatest(-F.col("__x"), F.lit(0.0))).alias("__neg"))
-        part = nodes.groupBy(*keys).agg((F.sum(F.least("__pos", "__neg")) * (level / height)).alias("cost"))
-        cost = part if cost is None else cost.unionByName(part)
-    sizes = g.groupBy(*keys).agg(F.first("__size").alias("class_size"))
-    out = cost.groupBy(*keys).agg(F.sum("cost").alias("emd"))
-    return sizes.join(out, keys).withColumn("ok", F.col("emd") <= t + EPS)
+    """Hierarchical ground distance of one attribute; see :func:`t_closeness_trees`."""
+    return t_closeness_trees(df, qis, {sensitive: hierarchy}, t, by)
+
+
+def _tree_steps(values: DataFrame, names: Sequence[str], trees: Mapping[str, Hierarchy]) -> DataFrame:
+    """``(__a, __s, __steps)``: for each value of each attribute its steps up the attribute's tree, ``(level, weight, child, node)``.
+
+    A node is its label together with all labels above it, since labels recur across levels.
+    """
+    out = None
+    for i, name in enumerate(names):
+        tree = trees[name]
+        part = values.where(F.col("__a") == i).select("__a", "__s")
+        for level in range(tree.height + 1):
+            part = tree.attach(part, level, f"__l{level}", "__s")
+        path = lambda level, top=tree.height: F.concat_ws("\u001f", *[F.coalesce(F.col(f"__l{x}"), F.lit("\u0000")) for x in range(level, top + 1)])
+        steps = [F.struct(F.lit(x).alias("level"), F.lit(x / tree.height).alias("weight"), path(x - 1).alias("child"), path(x).alias("node")) for x in range(1, tree.height + 1)]
+        part = part.select("__a", "__s", F.array(*steps).cast("array<struct<level: int, weight: double, child: string, node: string>>").alias("__steps"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def t_closeness_trees(df: DataFrame, qis: Sequence[str], trees: Mapping[str, Hierarchy], t: float, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, qis, class_size, emd, ok)``: hierarchical ground distance of every attribute of ``trees``, each over its own tree; ``emd`` is the largest.
+
+    An inner node costs ``level / height * min(positive extras, negative extras)`` of its children, an extra being the
+    class's share of a child minus the table's. The extras of a node's children sum up to its own, so the
+    negative ones follow from the positive ones, and only children that occur in a class are looked at: the roll-up
+    goes over counts, never over classes times the domain. A null is a class's value like any other, in
+    quasi-identifiers and sensitive columns.
+    """
+    keys, names = [*by, *qis], list(trees)
+    flat = [n for n in names if not trees[n].height]
+    if flat:
+        raise ValueError(f"no levels above the values of {flat}")
+    live = live_rows(df)
+    cells = live.select(*keys, *[c for c in (WEIGHT,) if c in df.columns], F.posexplode(F.array(*[F.col(n).cast("string") for n in names])).alias("__a", "__s"))
+    counts = cells.groupBy(*keys, "__a", "__s").agg(row_count(df).alias("__n"))
+    counts = counts.withColumn("__size", F.sum("__n").over(Window.partitionBy(*keys, "__a")))
+    domain = counts.groupBy(*by, "__a", "__s").agg(F.sum("__n").alias("__m"))
+    steps = _tree_steps(domain.select("__a", "__s").distinct(), names, trees).select(F.col("__a").alias("__b"), F.col("__s").alias("__v"), "__steps")
+    climbed = lambda rows: rows.join(steps, (F.col("__a") == F.col("__b")) & F.col("__s").eqNullSafe(F.col("__v"))).withColumn("__x", F.explode("__steps"))
+    # the table's share of every node and child
+    rows = domain.groupBy(*by, "__a").agg(F.sum("__m").alias("__rows"))
+    child = climbed(domain).groupBy(*by, "__a", F.col("__x.level").alias("__level"), F.col("__x.node").alias("__node"), F.col("__x.child").alias("__child")).agg(F.sum("__m").alias("__m"))
+    child = child.join(rows, [*by, "__a"]).select(*by, "__a", "__level", "__node", "__child", ratio(F.col("__m"), F.col("__rows")).alias("__q"))
+    node = child.groupBy(*by, "__a", "__level", "__node").agg(F.sum("__q").alias("__q_node"))
+    shares = child.join(node, [*by, "__a", "__level", "__node"]).drop("__node")
+    held = climbed(counts).groupBy(*keys, "__a", "__size", F.col("__x.level").alias("__level"), F.col("__x.weight").alias("__weight"), F.col("__x.node").alias("__node"), F.col("__x.child").alias("__child")).agg(F.sum("__n").alias("__n"))
+    p = ratio(F.col("__n"), F.col("__size"))
+    nodes = held.join(shares, [*by, "__a", "__level", "__child"]).groupBy(*keys, "__a", "__size", "__level", "__weight", "__node")
+    nodes = nodes.agg(F.sum(F.greatest(p - F.col("__q"), F.lit(0.0))).alias("__pos"), (F.sum(p) - F.first("__q_node")).alias("__extra"))
+    cost = F.col("__weight") * F.greatest(F.least(F.col("__pos"), F.col("__pos") - F.col("__extra")), F.lit(0.0))
+    each = nodes.groupBy(*keys, "__a", "__size").agg(F.sum(cost).alias("emd"))
+    out = each.groupBy(*keys).agg(F.first("__size").alias("class_size"), F.max("emd").alias("emd"))
+    return out.withColumn("ok", F.col("emd") <= t + EPS)
 
 
 def d_disclosure(df: DataFrame, qis: Sequence[str], sensitive: str, d: float, by: Sequence[str] = ()) -> DataFrame:
@@ -152,9 +192,10 @@ def safepub_k(epsilon: float, delta: float, limit: int = 10_000) -> int:
     raise ValueError(f"no k up to {limit} gives delta {delta}")
 
 
-def is_drawn(key: str, epsilon: float, seed: int | str = 0) -> Column:
-    """Whether a row is in the Bernoulli sample of a budget, by 12 hexadecimal digits of a keyed digest."""
-    return F.conv(F.substring(seeded_order(seed, "dp", F.col(key)), 1, 12), 16, 10).cast("double") / float(16**12) < safepub_beta(epsilon)
+def is_drawn(key: str, epsilon: float, seed: int | str = 0, by: Sequence[str] = ()) -> Column:
+    """Whether a row is in the Bernoulli sample of a budget, by 12 hexadecimal digits of a keyed digest; every group of ``by`` has a sample of its own."""
+    named = F.concat_ws(":", *by, F.col(key).cast("string")) if by else F.col(key)
+    return F.conv(F.substring(seeded_order(seed, "dp", named), 1, 12), 16, 10).cast("double") / float(16**12) < safepub_beta(epsilon)
 
 
 def safepub(df: DataFrame, key: str, qis: Sequence[str], epsilon: float, delta: float, seed: int | str = 0) -> DataFrame:
@@ -315,6 +356,14 @@ class Model:
     population: float = 0.0
     estimator: str = "PITMAN"
     hierarchy: Hierarchy | None = None
+    #: Trees of the sensitive attributes; ``hierarchy`` stands for those that are not in it.
+    trees: Mapping[str, Hierarchy] = field(default_factory=dict)
+
+    def tree(self, name: str) -> Hierarchy:
+        found = self.trees.get(name) or self.hierarchy
+        if found is None or not found.height:
+            raise ValueError(f"{self.kind} needs a hierarchy of {name}")
+        return found
 
     def classes(self, df: DataFrame, qis: Sequence[str], sensitive: Sequence[str], by: Sequence[str] = ()) -> list[DataFrame]:
         """One table of classes with ``ok`` per sensitive attribute (one for models without)."""
@@ -332,6 +381,12 @@ def _per_attribute(function):
     return run
 
 
+def _hierarchical_closeness(m: Model, df: DataFrame, qis: Sequence[str], names: Sequence[str], by: Sequence[str]) -> list[DataFrame]:
+    if not names:
+        raise ValueError(f"{m.kind} needs a sensitive attribute")
+    return [t_closeness_trees(df, qis, {s: m.tree(s) for s in names}, m.parameter, by)]
+
+
 #: Functions ``(model, df, qis, attributes, by)`` to tables of classes with ``ok``; add an entry for a model of your own.
 #: Differential privacy asks the k of its budget here; :func:`privlens.operators.recode.release` draws its sample.
 MODELS = {
@@ -342,7 +397,7 @@ MODELS = {
     "DistinctLDiversity": _per_attribute(distinct_l_diversity),
     "EntropyLDiversity": _per_attribute(entropy_l_diversity),
     "EqualDistanceTCloseness": _per_attribute(t_closeness_equal),
-    "HierarchicalDistanceTCloseness": lambda m, df, qis, names, by: [t_closeness_hierarchical(df, qis, s, m.hierarchy, m.parameter, by) for s in names],
+    "HierarchicalDistanceTCloseness": _hierarchical_closeness,
     "DDisclosurePrivacy": _per_attribute(d_disclosure),
     "EnhancedBLikeness": _per_attribute(enhanced_b_likeness),
 }

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from privlens.functions.scalar import STAR
 from privlens.operators.classes import SUPPRESSED
-from privlens.operators.hierarchy import Hierarchy, generalize
+from privlens.operators.hierarchy import LEVELS, Hierarchy, generalize, generalize_each
 from privlens.operators.privacy import Model, is_drawn, satisfied
-from privlens.sources.shared import shared_dir
+from privlens.sources.shared import discard, materialize, shared_dir
 
 
 def suppress(df: DataFrame, qis: Sequence[str], classes: DataFrame, by: Sequence[str] = (), identifying: Sequence[str] = ()) -> DataFrame:
@@ -32,14 +32,22 @@ def release(df: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str,
     With differential privacy among the models only a sample drawn by ``key`` is released; the rows outside it are
     suppressed, and all models hold for the sample.
     """
-    general = generalize(df, levels, hierarchies)
-    qis = list(levels)
+    return _violations_suppressed(generalize(df, levels, hierarchies), list(levels), models, sensitive, by, identifying, key, seed)
+
+
+def release_each(df: DataFrame, levels: DataFrame, names: Sequence[str], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], by: Sequence[str], sensitive: Sequence[str] = (), identifying: Sequence[str] = (), key: str | None = None, seed: int | str = 0) -> DataFrame:
+    """:func:`release` of every group of ``by`` at its own level vector, from ``levels(by, levels)`` in the order of ``names``; the rows keep it in :data:`LEVELS`."""
+    own = df.join(levels.select(*by, F.col("levels").alias(LEVELS)), list(by))
+    return _violations_suppressed(generalize_each(own, names, hierarchies), list(names), models, sensitive, by, identifying, key, seed)
+
+
+def _violations_suppressed(general: DataFrame, qis: Sequence[str], models: Sequence[Model], sensitive: Sequence[str], by: Sequence[str], identifying: Sequence[str], key: str | None, seed: int | str) -> DataFrame:
     budget = next((m.parameter for m in models if m.kind == "EDDifferentialPrivacy"), None)
     if budget is None:
         return suppress(general, qis, satisfied(general, qis, models, sensitive, by), by, identifying)
     if key is None:
         raise ValueError("differential privacy draws rows by a key")
-    drawn = is_drawn(key, budget, seed)
+    drawn = is_drawn(key, budget, seed, by)
     inside = suppress(general.where(drawn), qis, satisfied(general.where(drawn), qis, models, sensitive, by), by, identifying)
     hidden = [F.lit(STAR).alias(c) if c in qis or c in identifying else F.col(c) for c in general.columns if c != SUPPRESSED]
     return inside.unionByName(general.where(~drawn).select(*hidden, F.lit(True).alias(SUPPRESSED)))
@@ -125,22 +133,32 @@ def local_recoding(df: DataFrame, key: str, rounds: Sequence[Mapping[str, int]],
     return done
 
 
-def local_recoding_search(df: DataFrame, key: str, choose, hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], iterations: int, sensitive: Sequence[str] = ()) -> DataFrame:
-    """Local recoding with a search per round: ``choose(rest)`` gives the level vector for the rows still suppressed.
+def local_recoding_each(df: DataFrame, key: str, by: Sequence[str], find, names: Sequence[str], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], iterations: int, sensitive: Sequence[str] = (), identifying: Sequence[str] = (), seed: int | str = 0) -> DataFrame:
+    """Local recoding with a search per round, for every group of ``by`` at once; a written table whose rows keep their level vectors in :data:`LEVELS`.
 
-    Stops after ``iterations`` rounds, or when a round releases fewer than ``1 / iterations`` of all rows.
+    The remainder, what a round suppressed, is one table of all groups' rows. ``find(rest)`` gives ``(by, levels)`` for the groups that are still
+    in it. A group leaves after a round that released fewer than ``1 / iterations`` of its rows, or all.
     """
-    shared_dir(df.sparkSession)
-    n = df.count()
-    least = max(1, -(-n // iterations))
-    done, rest = None, df
-    for _ in range(iterations):
-        out = release(rest, choose(rest), hierarchies, models, sensitive, key=key).checkpoint()
-        live = out.where(~F.col(SUPPRESSED))
-        done = live if done is None else done.unionByName(live)
-        left = rest.join(out.where(F.col(SUPPRESSED)).select(key), key, "left_semi").checkpoint()
-        gone = out.where(F.col(SUPPRESSED))
-        if live.count() < least or left.isEmpty():
-            return done.unionByName(gone)
-        rest = left
-    return done.unionByName(gone)
+    by = list(by)
+    least = materialize(df.groupBy(*by).agg(F.ceil(F.count("*") / iterations).alias("__least")), "least")
+    rest, parts, spent = df, [], []
+    for turn in range(iterations):
+        levels = find(rest)
+        out = materialize(release_each(rest, levels, names, hierarchies, models, by, sensitive, identifying, key, seed), "round")
+        spent.append(out)
+        counts = out.groupBy(*by).agg(F.count_if(~F.col(SUPPRESSED)).alias("__live"), F.count_if(F.col(SUPPRESSED)).alias("__gone"))
+        going = counts.join(least, by).where("__live >= __least and __gone > 0").select(*by)
+        if turn + 1 == iterations:
+            going = going.where("false")
+        left = out.where(F.col(SUPPRESSED)).select(*by, key).join(going, by, "left_semi")
+        after = materialize(rest.join(left, [*by, key], "left_semi"), "remainder")
+        # what a group that leaves still suppresses stays in its release
+        ends = out.where(F.col(SUPPRESSED)).join(after.select(*by).distinct(), by, "left_anti")
+        parts.append(out.where(~F.col(SUPPRESSED)).unionByName(ends.select(*out.columns)))
+        spent += [levels, after]
+        rest = after
+        if rest.isEmpty():
+            break
+    whole = materialize(reduce(lambda a, b: a.unionByName(b), parts), "recoded")
+    discard(least, *spent)
+    return whole

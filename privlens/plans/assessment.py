@@ -19,9 +19,8 @@ from privlens.functions.scalar import ratio, seeded_order
 from privlens.operators import classes as cl
 from privlens.operators import features as fe
 from privlens.operators.classify import predict_jobs, utility_accuracy_of_samples
+from privlens.operators.anonymizer import Method
 from privlens.operators.hierarchy import Hierarchy
-from privlens.operators.privacy import Model
-from privlens.operators.recode import release
 from privlens.operators.sampling import overlapping_split
 from privlens.operators.schema import dictionary, distinct_values
 from privlens.sources.shared import discard, materialize
@@ -70,16 +69,26 @@ def job_plan(targets: DataFrame, key: str, plan: Assessment) -> DataFrame:
     return runs.crossJoin(numbered).crossJoin(F.broadcast(n)).crossJoin(each).select(base.cast("long").alias("sample_id"), "run_id", "target_id", "phase", "k", "target_in")
 
 
+def series_product(entries: DataFrame) -> DataFrame:
+    """``(position, risk, data, anonymization)``: in each group of ``entries(grp, kind, at, path)`` the product of its lists of the three kinds, in order of ``grp`` and ``at``.
+
+    Positions are computed from the lists' lengths, so that the product is never gathered to be numbered.
+    """
+    kinds = ("risk", "data", "anonymization")
+    own = Window.partitionBy("grp", "kind")  # a configuration list
+    listed = entries.withColumns({"i": F.row_number().over(own.orderBy("at")) - 1, "n": F.count("*").over(own)})
+    sides = [listed.where(F.col("kind") == k).select("grp", F.col("path").alias(k), F.col("i").alias(f"i_{k}"), F.col("n").alias(f"n_{k}")) for k in kinds]
+    product = sides[0].join(sides[1], "grp").join(sides[2], "grp")
+    lengths = product.groupBy("grp").agg(F.count("*").alias("length"))
+    before = lengths.select("grp", (F.sum("length").over(Window.orderBy("grp")) - F.col("length")).alias("before"))  # a row per group of a series
+    place = (F.col("i_risk") * F.col("n_data") + F.col("i_data")) * F.col("n_anonymization") + F.col("i_anonymization")
+    return product.join(before, "grp").select((F.col("before") + place).cast("int").alias("position"), *kinds)
+
+
 def series_expand(spark: SparkSession, groups: Sequence[Mapping[str, Sequence[str]]]) -> DataFrame:
-    """``(position, risk, data, anonymization)``: the product of each group's configuration lists, in order."""
-    rows, at = [], 0
-    for g in groups:
-        for risk in g["risk"]:
-            for data in g["data"]:
-                for anonymization in g["anonymization"]:
-                    rows.append((at, risk, data, anonymization))
-                    at += 1
-    return spark.createDataFrame(rows, "position int, risk string, data string, anonymization string")
+    """:func:`series_product` of a series configuration's groups."""
+    rows = [(g, kind, i, path) for g, lists in enumerate(groups) for kind, paths in lists.items() for i, path in enumerate(paths)]
+    return series_product(spark.createDataFrame(rows, "grp int, kind string, at int, path string"))
 
 
 def membership(df: DataFrame, key: str, jobs: DataFrame, plan: Assessment, rows: int, runs: Sequence[int] | None = None) -> DataFrame:
@@ -127,61 +136,82 @@ def _digest_bar(n: int, pool: int) -> str:
     return "g" if share >= 1 else f"{min(16**6 - 1, math.ceil(share * 16**6)):06x}"
 
 
-def sample_features(df: DataFrame, key: str, members: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = (), considered: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The released rows of all samples, their features in one plan, and the dictionary; the first and the last are written tables."""
+#: Feature types: functions ``(released, numeric, categorical, codes, by)`` to rows of ``(by, idx, value)``;
+#: ``numeric`` maps attributes to their bounds. Add an entry for a type of your own.
+FEATURES = {
+    "NAIVE": lambda out, numeric, categorical, codes, by: fe.naive(out, list(numeric), categorical, codes, by),
+    "HISTOGRAM": lambda out, numeric, categorical, codes, by: fe.histogram(out, numeric, codes, categorical, by),
+    "CORRELATION": lambda out, numeric, categorical, codes, by: fe.correlation(out, list(numeric), categorical, codes, by),
+}
+
+
+def sample_features(df: DataFrame, out: DataFrame, method: Method, numeric: Mapping[str, tuple[float, float]], plan: Assessment, considered: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The features of all samples of the releases ``out`` in one plan, and the dictionary, a written table."""
     by = ["sample_id"]
-    rows = members.join(df, key)
-    out = materialize(release(rows, levels, hierarchies, models, sensitive, by, key=key), "released")
-    considered = list(levels) if considered is None else list(considered)
-    numeric = {a: b for a, b in numeric.items() if a in considered or a not in levels}
+    names, hierarchies = list(method.names), method.hierarchies
+    considered = names if considered is None else list(considered)
+    numeric = {a: b for a, b in numeric.items() if a in considered or a not in names}
     categorical = [a for a in considered if a not in numeric]
     domain = distinct_values(df, categorical) if categorical else None
-    for a in (c for c in categorical if c in levels):
+    for a in (c for c in categorical if c in names):
         labels = hierarchies[a].table(df.select(a).where(F.col(a).isNotNull()).distinct()).select("attribute", F.col("label").alias("value"))
         domain = domain.unionByName(labels)
+    if made := [a for a in categorical if a in getattr(method, "micro", ())]:
+        domain = domain.unionByName(distinct_values(out, made))  # aggregates are values of their own
     star = df.sparkSession.createDataFrame([(a, "*") for a in categorical], "attribute string, value string")
     codes = materialize(dictionary(domain.unionByName(star)) if categorical else star.withColumn("code", F.lit(0)), "codes")
-    sizes = {r["attribute"]: r["n"] for r in codes.groupBy("attribute").agg(F.count("*").alias("n")).collect()}
-    kinds = {
-        "NAIVE": lambda: fe.naive(out, list(numeric), categorical, codes, by),
-        "HISTOGRAM": lambda: fe.histogram(out, numeric, codes, categorical, by),
-        "CORRELATION": lambda: fe.correlation(out, list(numeric), categorical, codes, by),
-    }
     if plan.features == "ENSEMBLE":
-        lengths = {k: fe.feature_count(k, len(numeric), [sizes[a] for a in categorical]) for k in kinds}
-        return out, fe.ensemble([(make(), lengths[k]) for k, make in kinds.items()], by), codes
-    return out, kinds[plan.features](), codes
+        sizes = {r["attribute"]: r["n"] for r in codes.groupBy("attribute").agg(F.count("*").alias("n")).collect()}
+        kinds = ("NAIVE", "HISTOGRAM", "CORRELATION")
+        lengths = [fe.feature_count(k, len(numeric), [sizes[a] for a in categorical]) for k in kinds]
+        return fe.ensemble([(FEATURES[k](out, numeric, categorical, codes, by), n) for k, n in zip(kinds, lengths)], by), codes
+    return FEATURES[plan.features](out, numeric, categorical, codes, by), codes
 
 
-def assess(df: DataFrame, key: str, targets: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = ()) -> DataFrame:
+def assess(df: DataFrame, key: str, targets: DataFrame, method: Method, numeric: Mapping[str, tuple[float, float]], plan: Assessment) -> DataFrame:
     """``(run_id, target_id, k, true_label, predicted, confidence, p_member)`` of every test sample."""
-    guesses, released, jobs = assess_fully(df, key, targets, levels, hierarchies, models, numeric, plan, sensitive)
+    guesses, released, jobs = assess_fully(df, key, targets, method, numeric, plan)
     discard(released, jobs)
     return guesses.drop("sample_id")
 
 
-def assess_fully(df: DataFrame, key: str, targets: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], models: Sequence[Model], numeric: Mapping[str, tuple[float, float]], plan: Assessment, sensitive: Sequence[str] = (), jobs: DataFrame | None = None, runs: Sequence[int] | None = None, considered: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def assess_fully(df: DataFrame, key: str, targets: DataFrame, method: Method, numeric: Mapping[str, tuple[float, float]], plan: Assessment, jobs: DataFrame | None = None, runs: Sequence[int] | None = None, considered: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The guesses of :func:`assess` with their ``sample_id``, all samples' released rows with their keys, and the jobs, each a written table.
 
-    ``jobs`` may be given to assess only some of :func:`job_plan`'s rows, whose runs are then ``runs``. ``considered`` names
-    the attributes that features are drawn from (default: the quasi-identifiers and all of ``numeric``).
+    ``method`` releases each sample by itself: a search, local recoding or micro-aggregation is the sample's own. ``jobs``
+    may be given to assess only some of :func:`job_plan`'s rows, whose runs are then ``runs``. ``considered`` names the
+    attributes that features are drawn from (default: those of the class and all of ``numeric``).
     """
     jobs = materialize(job_plan(targets, key, plan) if jobs is None else jobs, "jobs")
     members = membership(df, key, jobs, plan, df.count(), runs)
-    out, long, codes = sample_features(df, key, members, levels, hierarchies, models, numeric, plan, sensitive, considered)
+    out = materialize(release_samples(df, key, members, method), "released")
+    done = judged(df, out, jobs, method, numeric, plan, considered)
+    discard(members)
+    return done, out, jobs
+
+
+def release_samples(df: DataFrame, key: str, members: DataFrame, method: Method) -> DataFrame:
+    """The released rows of every sample of ``members``, with their ``sample_id``."""
+    return method.release_each(members.join(df, key), ["sample_id"], df)
+
+
+def judged(df: DataFrame, released: DataFrame, jobs: DataFrame, method: Method, numeric: Mapping[str, tuple[float, float]], plan: Assessment, considered: Sequence[str] | None = None) -> DataFrame:
+    """The guesses for the test samples of ``jobs`` from all their releases, a written table."""
+    long, codes = sample_features(df, released, method, numeric, plan, considered)
     vectors = jobs.join(fe.dense(long, ["sample_id"]), "sample_id").withColumn("label", F.col("target_in").cast("int"))
     guesses = predict_jobs(vectors, ["run_id", "target_id"], plan.classifier, plan.seed)
     named = guesses.join(jobs.select("sample_id", "k", F.col("target_in").cast("int").alias("true_label")), "sample_id")
     done = materialize(named.select("sample_id", "run_id", "target_id", "k", "true_label", "predicted", "confidence", "p_member"), "guesses")
-    discard(members, codes)
-    return done, out, jobs
+    discard(codes)
+    return done
 
 
 def assessment_log(df: DataFrame, key: str, guesses: DataFrame, released: DataFrame, levels: Mapping[str, int], hierarchies: Mapping[str, Hierarchy], numeric: Sequence[str], features: Sequence[str] = (), target: str = "") -> DataFrame:
     """A row per guess with the quality of its test sample, in the columns of the assessment log.
 
     ``numeric`` names the attributes of ``LocationAndLimits``; without ``features`` and a ``target`` the classification
-    accuracy is -1. All statistics are grouped by sample: one plan serves every sample.
+    accuracy is -1. All statistics are grouped by sample: one plan serves every sample. Rows with level vectors of their
+    own count at those, in the order of ``levels``.
     """
     by = ["sample_id"]
     own = released.join(guesses.select(*by), by, "left_semi")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from privlens.functions.scalar import r6
 from privlens.operators import classes as cl
 from privlens.operators import classify, features, hierarchy, privacy, recode, sampling, schema, search, targets
+from privlens.operators.anonymizer import Anonymizer, FixedLevels
 from privlens.operators.hierarchy import Hierarchy
 from privlens.operators.privacy import Model
 from privlens.operators.schema import AttributeSpec
@@ -322,6 +323,43 @@ def t_closeness_hier(spark, sf):
     return rounded(privacy.t_closeness_hierarchical(_nations(spark, sf), ["c_nationkey"], "c_mktsegment", Hierarchy.nested("c_mktsegment", SEGMENTS), 0.08))
 
 
+def _tree_sql(name: str, value: str, groups: list[str]) -> str:
+    """The distance of ``value`` over a tree whose inner labels are ``groups``, coarser ones last, for classes of a key with nulls."""
+    levels = [value, *groups, "'*'"]
+    height = len(levels) - 1
+    steps = [
+        f"{name}{i} AS (SELECT k, {' || '.join(f'p{j}' for j in range(i, height + 1))} AS node, greatest(least(sum(greatest(x, 0)), sum(greatest(-x, 0))), 0) * {i} / {height} AS c "
+        f"FROM (SELECT k, {', '.join(f'p{j}' for j in range(i, height + 1))}, sum(x) AS x FROM {name}x GROUP BY k, {', '.join(f'p{j}' for j in range(i - 1, height + 1))}) GROUP BY ALL)"
+        for i in range(1, height + 1)
+    ]
+    return (
+        f"{name}v AS (SELECT nullif(c_nationkey, 3) AS k, {', '.join(f'{e} AS p{i}' for i, e in enumerate(levels))} FROM customer), "
+        f"{name}x AS (SELECT z.k, d.*, coalesce(n, 0) / CAST(z.size AS DOUBLE) - d.m / CAST((SELECT count(*) FROM customer) AS DOUBLE) AS x FROM (SELECT k, count(*) AS size FROM {name}v GROUP BY 1) z "
+        f"CROSS JOIN (SELECT {', '.join(f'p{i}' for i in range(height + 1))}, count(*) AS m FROM {name}v GROUP BY ALL) d LEFT JOIN (SELECT k, p0, count(*) AS n FROM {name}v GROUP BY ALL) c ON c.k IS NOT DISTINCT FROM z.k AND c.p0 = d.p0), "
+        + ", ".join(steps)
+        + f", {name} AS (SELECT k, sum(c) AS emd FROM ({' UNION ALL '.join(f'SELECT k, c FROM {name}{i}' for i in range(1, height + 1))}) GROUP BY 1)"
+    )
+
+
+_INDUSTRY = "CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN 'INDUSTRY' ELSE 'HOME' END"
+_BALANCE = "CAST(CAST(floor(c_acctbal / 1000) AS INT) AS VARCHAR)"
+
+
+@query(
+    f"WITH {_tree_sql('s', 'c_mktsegment', [_INDUSTRY])}, "
+    f"{_tree_sql('b', _BALANCE, ['CAST(CAST(floor(c_acctbal / 3000) AS INT) AS VARCHAR)', 'CAST(CAST(floor(c_acctbal / 6000) AS INT) AS VARCHAR)'])}, "
+    "size AS (SELECT nullif(c_nationkey, 3) AS k, count(*) AS class_size FROM customer GROUP BY 1) "
+    "SELECT size.k AS nation, class_size, round(greatest(s.emd, b.emd), 6) AS emd, greatest(s.emd, b.emd) <= 0.08 + 1e-9 AS ok FROM size JOIN s ON s.k IS NOT DISTINCT FROM size.k JOIN b ON b.k IS NOT DISTINCT FROM size.k"
+)
+def t_closeness_trees(spark, sf):
+    """Two sensitive columns, each with its own tree, and a class whose quasi-identifier is null."""
+    balance = F.floor(F.col("c_acctbal") / 1000).cast("int")
+    df = customers(spark, sf).select(F.nullif(F.col("c_nationkey"), F.lit(3)).alias("nation"), "c_mktsegment", balance.alias("balance"))
+    coarser = lambda of: lambda c: F.floor(c.cast("int") / of).cast("int").cast("string")
+    trees = {"c_mktsegment": Hierarchy.nested("c_mktsegment", SEGMENTS), "balance": Hierarchy("balance", rules=[coarser(3), coarser(6), lambda c: F.lit("*")])}
+    return rounded(privacy.t_closeness_trees(df, ["nation"], trees, 0.08))
+
+
 @query(_GRID + " SELECT c_nationkey, class_size, bool_and(CASE WHEN p > 0 THEN abs(ln(p / q)) < 0.5 - 1e-9 ELSE false END) AS ok FROM grid GROUP BY 1, 2")
 def d_disclosure(spark, sf):
     return privacy.d_disclosure(_nations(spark, sf), ["c_nationkey"], "c_mktsegment", 0.5)
@@ -497,17 +535,21 @@ def _node_sql(b: int, t: int, s: int) -> str:
 _EVALUATED = "WITH v AS (" + " UNION ALL ".join(_node_sql(*n) for n in _NODES) + ")"
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY b + t + s, b, t, s) - 1 AS INT) AS node, CAST(b + t + s AS INT) AS height, CAST(b AS INT) AS level_p_brand, CAST(t AS INT) AS level_p_type, CAST(s AS INT) AS level_p_size FROM range(3) x(b), range(3) y(t), range(4) z(s)")
-def lattice_nodes(spark, sf):
-    return search.lattice_frame(spark, part_hierarchies())
-
-
 def _evaluated(spark, sf) -> DataFrame:
     h = part_hierarchies()
     base = search.base_tuples(part(spark, sf), h)
     return search.evaluate(base, QIS, search.lattice(h), 5)
 
 
+@query("WITH v AS (" + " UNION ALL ".join(_node_sql(*n) for n in _NODES if n[0] >= 1 and n[1] <= 1 and 1 <= n[2] <= 2) + ") SELECT levels, CAST(height AS INT) AS height, classes, suppressed FROM v")
+def lattice_nodes(spark, sf):
+    """The nodes within level bounds, by what each leaves of the table."""
+    h = part_hierarchies()
+    nodes = search.lattice(h, {"p_brand": (1, None), "p_type": (None, 1), "p_size": (1, 2)})
+    out = search.evaluate(search.base_tuples(part(spark, sf), h), QIS, nodes, 5)
+    return out.select(F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"), F.aggregate("levels", F.lit(0), lambda x, y: x + y).alias("height"), "classes", "suppressed")
+
+
 @query(_EVALUATED + " SELECT levels, classes, suppressed, round(exp((ln(l0) + ln(l1) + ln(l2)) / 3), 6) AS loss FROM v")
 def lattice_evaluate(spark, sf):
     return rounded(_evaluated(spark, sf).select(F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"), "classes", "suppressed", "loss"))
@@ -569,6 +611,44 @@ _search("search_d_disclosure", " AND ".join(f"CASE WHEN f{i} > 0 THEN abs(ln(f{i
 _search("search_two_models", "z >= 8 AND (" + " + ".join(f"CAST(f{i} > 0 AS INT)" for i in _EACH) + ") >= 3", [Model("k-Anonymity", 8), Model("DistinctLDiversity", 3)], 0.05)
 
 
+_OF = 6
+
+
+def _each_sample_sql(k: int, limit: float) -> str:
+    """Every node of every sample, samples being rows of equal ``p_partkey % 6``; the best one of each."""
+    def node(b: int, t: int, s: int) -> str:
+        shares = ", ".join(f"(SELECT count(DISTINCT {a}) / CAST((SELECT count(DISTINCT {a}) FROM part) AS DOUBLE) FROM part q WHERE {e.replace(a, 'q.' + a)} = k.k{i}) AS x{i}" for i, (a, e) in enumerate((("p_brand", _B[b]), ("p_type", _T[t]), ("p_size", _S[s]))))
+        cost = " ".join(f", sum(CASE WHEN z >= {k} THEN z * x{i} ELSE z END) / CAST(sum(z) AS DOUBLE) AS l{i}" for i in range(3))
+        return (
+            f"SELECT sample_id, '{b},{t},{s}' AS levels, {b + t + s} AS height, CAST(sum(z) AS BIGINT) AS n, CAST(coalesce(sum(CASE WHEN z < {k} THEN z ELSE 0 END), 0) AS BIGINT) AS suppressed{cost} "
+            f"FROM (SELECT k.sample_id, k.z, {shares} FROM (SELECT p_partkey % {_OF} AS sample_id, {_B[b]} AS k0, {_T[t]} AS k1, {_S[s]} AS k2, count(*) AS z FROM part GROUP BY 1, 2, 3, 4) k) GROUP BY 1"
+        )
+
+    over = f"suppressed > {limit} * n + 1e-9"
+    order = f"{over}, CASE WHEN {over} THEN suppressed ELSE 0 END, round(exp((ln(l0) + ln(l1) + ln(l2)) / 3), 9), height, levels"
+    return "WITH v AS (" + " UNION ALL ".join(node(*n) for n in _NODES) + f") SELECT sample_id, levels FROM v QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY {order}) = 1"
+
+
+@query(_each_sample_sql(4, 0.1))
+def search_each_sample(spark, sf):
+    """Samples are searched side by side; each has the level vector that is best for it alone."""
+    df = part(spark, sf)
+    samples = df.select((F.col("p_partkey") % _OF).alias("sample_id"), *QIS)
+    found = search.Search(part_hierarchies(), models=[Model("k-Anonymity", 4)], limit=0.1).run_each(samples, ["sample_id"], df)
+    return found.select("sample_id", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"))
+
+
+@query(
+    f"WITH g AS (SELECT p_partkey, {_B[1]} AS p_brand, p_size % 5 AS bin FROM part), k AS (SELECT p_brand, bin, count(*) AS n FROM g GROUP BY ALL) "
+    "SELECT p_partkey, CASE WHEN n >= 12 THEN p_brand ELSE '*' END AS p_brand, CASE WHEN n >= 12 THEN CAST(bin AS VARCHAR) ELSE '*' END AS bin, n < 12 AS is_suppressed FROM g JOIN k USING (p_brand, bin)"
+)
+def release_without_hierarchy(spark, sf):
+    """A quasi-identifier without a hierarchy is part of the class by its values."""
+    df = part(spark, sf).select("p_partkey", "p_brand", (F.col("p_size") % 5).alias("bin"))
+    h = {"p_brand": part_hierarchies()["p_brand"], "bin": Hierarchy.identity("bin")}
+    return recode.release(df, {"p_brand": 1, "bin": 0}, h, [Model("k-Anonymity", 12)])
+
+
 _DP_SQL = f"""WITH {_FINE_SQL}, u AS (SELECT *, CAST('0x' || substr(md5('0:dp:' || CAST(p_partkey AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0 < {privacy.safepub_beta(_EPS)!r} AS inside FROM g),
 k AS (SELECT p_brand, p_type, p_size, count(*) AS n FROM u WHERE inside GROUP BY ALL), r AS (SELECT u.*, inside AND n >= {privacy.safepub_k(_EPS, _DELTA)} AS live FROM u LEFT JOIN k USING (p_brand, p_type, p_size))
 SELECT p_partkey, CASE WHEN live THEN p_brand ELSE '*' END AS p_brand, CASE WHEN live THEN p_type ELSE '*' END AS p_type, CASE WHEN live THEN p_size ELSE '*' END AS p_size, NOT coalesce(live, false) AS is_suppressed FROM r"""
@@ -685,9 +765,16 @@ def job_plan(spark, sf):
     return pa.job_plan(customers(spark, sf).where("c_custkey < 6"), "c_custkey", _PLAN)
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY r, d, a) - 1 AS INT) AS position, r AS risk, d AS data, a AS anonymization FROM (VALUES ('risk-1'), ('risk-2')) x(r), (VALUES ('data-1')) y(d), (VALUES ('anon-1'), ('anon-2'), ('anon-3')) z(a)")
+_ENTRIES = "SELECT n_regionkey AS grp, CASE n_nationkey % 3 WHEN 0 THEN 'risk' WHEN 1 THEN 'data' ELSE 'anonymization' END AS kind, n_nationkey AS at, n_name AS path FROM nation"
+
+
+@query(
+    f"WITH e AS ({_ENTRIES}) SELECT CAST(row_number() OVER (ORDER BY r.grp, r.at, d.at, a.at) - 1 AS INT) AS position, r.path AS risk, d.path AS data, a.path AS anonymization "
+    "FROM e r JOIN e d USING (grp) JOIN e a USING (grp) WHERE r.kind = 'risk' AND d.kind = 'data' AND a.kind = 'anonymization'"
+)
 def series_expand(spark, sf):
-    return pa.series_expand(spark, [{"risk": ["risk-1", "risk-2"], "data": ["data-1"], "anonymization": ["anon-1", "anon-2", "anon-3"]}])
+    kind = F.element_at(F.array(*map(F.lit, ("risk", "data", "anonymization"))), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return pa.series_product(table(spark, sf, "nation").select(F.col("n_regionkey").alias("grp"), kind.alias("kind"), F.col("n_nationkey").alias("at"), F.col("n_name").alias("path")))
 
 
 @query(_DIST + ", g AS (SELECT c_custkey AS target_id, k % 2 AS t, (c_custkey + k // 2) % 2 AS p FROM customer, range(4) r(k) WHERE c_custkey < 20) SELECT target_id, round(distance_normalised, 6) AS distance, round(sum(CASE WHEN t = p THEN 1 ELSE 0 END) / 4.0, 6) AS accuracy FROM g JOIN e ON e.c_custkey = target_id GROUP BY 1, 2")
@@ -702,7 +789,12 @@ def _attack(spark, sf, classifier: str) -> DataFrame:
     df = part(spark, sf).select("p_partkey", *QIS, "p_retailprice")
     picked = targets.select_targets(df, "p_partkey", "OUTLIER", 4, [*QIS, "p_retailprice"])
     plan = pa.Assessment(runs=1, train=8, test=4, cohort=80, background=80, sample=30, classifier=classifier, seed=3)
-    return rounded(pa.assess(df, "p_partkey", picked.select("p_partkey"), _FINE, part_hierarchies(), [Model("k-Anonymity", 2)], {"p_retailprice": (900.0, 1000.0)}, plan))
+    models = [Model("k-Anonymity", 2)]
+    if classifier == "RF":  # a search for every sample
+        method = Anonymizer(search.Search(part_hierarchies(), models=models, limit=0.2), models, "p_partkey")
+    else:
+        method = FixedLevels(_FINE, part_hierarchies(), models)
+    return rounded(pa.assess(df, "p_partkey", picked.select("p_partkey"), method, {"p_retailprice": (900.0, 1000.0)}, plan))
 
 
 @query()

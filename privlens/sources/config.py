@@ -17,7 +17,7 @@ import yaml
 
 from privlens.operators.hierarchy import Hierarchy
 from privlens.operators.privacy import REGIONS, Model
-from privlens.operators.schema import AttributeSpec
+from privlens.operators.schema import AttributeSpec, Role
 
 
 def _load(path: str | Path) -> dict:
@@ -119,7 +119,10 @@ class DataConfig:
         return [a.spec() for a in self.attributes]
 
     def hierarchies(self) -> dict[str, Hierarchy]:
-        return {a.name: h for a in self.attributes if (h := a.read_hierarchy()) is not None}
+        """The hierarchy of each attribute that has one, and of each other quasi-identifier the one that leaves its values alone."""
+        found = {a.name: a.read_hierarchy() for a in self.attributes}
+        quasi = {s.name for s in self.specs if s.role is Role.QUASI}
+        return {n: h if h is not None else Hierarchy.identity(n) for n, h in found.items() if h is not None or n in quasi}
 
 
 @dataclass
@@ -150,13 +153,12 @@ class AnonymizationConfig:
             if value is None:
                 raise ValueError(f"{raw.get('type')}: no parameter")
             names = tuple(raw.get("attributes") or ())
-            h = (hierarchies or {}).get(names[0]) if names else None
             region = str(raw.get("region") or "").upper().replace(" ", "_")
             if region and region != "NONE" and region not in REGIONS and "population" not in raw:
                 raise ValueError(f"{raw['type']}: region {region} is not known; give a population")
             population = float(raw.get("population", REGIONS.get(region, 0.0)))
             estimator = str(raw.get("populationUniquenessModel") or raw.get("model") or "PITMAN")
-            out.append(Model(raw["type"], float(value), names, float(raw.get("delta", 0.0)), population, estimator, h))
+            out.append(Model(raw["type"], float(value), names, float(raw.get("delta", 0.0)), population, estimator, trees=dict(hierarchies or {})))
         return out
 
 

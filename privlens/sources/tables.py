@@ -87,12 +87,14 @@ def write_report(dataset: DataFrame, attributes: DataFrame, path: str) -> None:
 
 
 class CheckpointStore:
-    """Samples, releases and statistics of finished jobs, by configuration fingerprint.
+    """Samples, releases and statistics by configuration fingerprint, each an artifact of its own.
 
-    Tables are Parquet, partitioned by ``run_id`` and ``target_id``; what exists is found by reading the
-    partition columns, and the jobs still to do are an anti-join.
+    Tables are Parquet, partitioned by ``run_id`` and ``target_id``. A partition that is written again replaces the
+    one before, so work may be repeated after a failure. What is still to do is an anti-join by artifact.
     """
 
+    KEYS = ("run_id", "target_id")
+
     def __init__(self, spark: SparkSession, root: str, fingerprint: str):
         self.spark, self.path = spark, f"{root.rstrip('/')}/{fingerprint}"
 
@@ -100,19 +102,25 @@ class CheckpointStore:
         return f"{self.path}/{kind}"
 
     def exists(self, kind: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._table(kind)}/_SUCCESS")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        """Whether a partition of that kind was committed."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._table(kind)}/*=*")
+        return bool(p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
 
-    def save(self, kind: str, df: DataFrame, partition: Sequence[str] = ("run_id", "target_id")) -> None:
-        df.write.mode("append").partitionBy(*partition).parquet(self._table(kind))
+    def save(self, kind: str, df: DataFrame, partition: Sequence[str] = KEYS) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(self._table(kind))
 
     def load(self, kind: str) -> DataFrame | None:
         return self.spark.read.parquet(self._table(kind)) if self.exists(kind) else None
 
-    def remaining(self, jobs: DataFrame, kind: str, on: Sequence[str] = ("run_id", "target_id")) -> DataFrame:
+    def remaining(self, jobs: DataFrame, kind: str, on: Sequence[str] = KEYS) -> DataFrame:
+        """The rows of ``jobs`` for which there is no artifact of that kind yet."""
         done = self.load(kind)
         return jobs if done is None else jobs.join(done.select(*on).distinct(), list(on), "left_anti")
 
+    def of(self, kind: str, jobs: DataFrame, on: Sequence[str] = KEYS) -> DataFrame:
+        """The artifacts of that kind that belong to ``jobs``."""
+        return self.load(kind).join(jobs.select(*on).distinct(), list(on), "left_semi")
+
 
 #: Columns of the series summary, in order and in the spelling that readers of such files expect.
 SERIES_COLUMNS = ("ExperimentName", "StartTime", "EndTime", "SMConfig", "DataConfig", "AnonymizationConfig", "FeartureType", "LogFile", "SummaryFile", "CgfsFile")

@@ -1,6 +1,8 @@
 """The plans that avoid all-pairs work or one-task gathering, against plain versions; runs of the command line with all its settings."""
 
 import itertools
+import threading
+import time
 from pathlib import Path
 
 import numpy as np
@@ -37,7 +39,7 @@ def test_nearest_neighbours_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(classify, "KNN_BLOCK", 60)
     rng = np.random.default_rng(4)
     x = rng.integers(0, 4, (400, 3)).astype(float)  # many ties
-    rows = [(i, int(i % 3), int(v.sum()) % 2, [float(c) for c in v]) for i, v in enumerate(x)]
+    rows = [(i, int(i % 7 > 1) + int(i % 7 > 5), int(v.sum()) % 2, [float(c) for c in v]) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "id long, g int, label int, features array<double>")
     for by in ([], ["g"]):
         got = {r["id"]: r["predicted"] for r in classify.knn_predict(df.where("id % 2 = 0"), df.where("id % 2 = 1"), by).collect()}
@@ -128,13 +130,73 @@ def test_run_with_statistics_checkpoints_and_stop(spark, tmp_path):
     assert cli.risk_assessment(spark, risk, data, anonymization, "stopped", out) == []
 
 
+def small_assessment(spark, tmp_path, **risk):
+    people(spark).drop("row_id").coalesce(1).write.option("header", True).option("sep", ";").csv(str(tmp_path / "t"))
+    ages = {str(d): [str(a) for a in range(d, d + 10)] for d in range(20, 60, 10)}
+    data = cf.DataConfig(f"{tmp_path}/t", [cf.AttributeConfig("age", levels={"*": ages}), cf.AttributeConfig("sex", levels={"*": ["f", "m"]})], "t")
+    anonymization = cf.AnonymizationConfig("a", privacyModels=[{"type": "k-Anonymity", "k": 3}], suppressionLimit=0.2)
+    made = {"targetCount": 3, "cohortSize": 60, "backgroundSize": 60, "sampleSize": 20, "runTrainingCount": 2, "runTestCount": 1, "classifierType": "KNN", "useCheckpointData": True, "pathToCheckpointData": f"{tmp_path}/kept"}
+    return cf.RiskAssessmentConfig("r", **(made | risk)), data, anonymization, f"{tmp_path}/out"
+
+
+def test_a_killed_run_resumes_at_the_missing_samples(spark, tmp_path, monkeypatch):
+    risk, data, anonymization, out = small_assessment(spark, tmp_path)
+    monkeypatch.setattr(cli, "RELEASES_AT_ONCE", 6)  # a job's releases at a time
+    released, release = [], pa.release_samples
+
+    def dying(df, key, members, method):
+        if len(released) == 2:
+            raise KeyboardInterrupt
+        released.append({r["sample_id"] for r in members.select("sample_id").distinct().collect()})
+        return release(df, key, members, method)
+
+    monkeypatch.setattr(pa, "release_samples", dying)
+    with pytest.raises(KeyboardInterrupt):
+        cli.risk_assessment(spark, risk, data, anonymization, "x", out)
+    first, released[:] = list(released), []
+    monkeypatch.setattr(pa, "membership", lambda *a: pytest.fail("the samples are stored"))
+    told = []
+    (title,) = cli.risk_assessment(spark, risk, data, anonymization, "x", out, lambda *x: told.append(x))
+    assert len(first) == 2 and len(released) == 1 and told == [(18, 18)]
+    assert sorted(x for s in (*first, *released) for x in s) == list(range(18))
+    log = spark.read.option("header", True).option("sep", ";").csv(f"{out}/{title}_log")
+    assert log.count() == 6
+    monkeypatch.undo()
+    (whole,) = cli.risk_assessment(spark, risk, data, anonymization, "y", f"{out}2")  # from the stored log
+    risk.pathToCheckpointData = f"{tmp_path}/other"
+    (fresh,) = cli.risk_assessment(spark, risk, data, anonymization, "z", f"{out}3")
+    cell = lambda x: round(float(x), 9) if x.lstrip("-").replace(".", "", 1).isdigit() else x
+    rows = lambda where, name: sorted(tuple(map(cell, r)) for r in spark.read.option("header", True).option("sep", ";").csv(f"{where}/{name}_log").collect())
+    assert rows(out, title) == rows(f"{out}2", whole) == rows(f"{out}3", fresh)
+
+
+def test_a_stop_ends_a_run_that_is_under_way(spark, tmp_path, monkeypatch):
+    risk, data, anonymization, out = small_assessment(spark, tmp_path, runCount=2)
+    release, began = pa.release_samples, []
+
+    def slow(df, key, members, method):
+        if not began:
+            began.append(None)
+            return release(df, key, members, method)
+        began.append(time.monotonic())
+        threading.Timer(1.0, lambda: (Path(out).mkdir(exist_ok=True), (Path(out) / "STOP").write_text(""))).start()
+        wait = F.udf(lambda x: time.sleep(120) or x, "long")
+        return release(df, key, members, method).withColumn("row_id", wait("row_id"))
+
+    monkeypatch.setattr(pa, "release_samples", slow)
+    (title,) = cli.risk_assessment(spark, risk, data, anonymization, "x", out)
+    assert time.monotonic() - began[-1] < 60 and len(began) == 2
+    assert spark.read.option("header", True).option("sep", ";").csv(f"{out}/{title}_log").select("TestRun").distinct().count() == 1
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None and spark.range(10).count() == 10
+
+
 def test_differential_privacy_and_population_from_a_configuration(spark):
     df = people(spark)
     data = cf.DataConfig("", [cf.AttributeConfig("age", levels={"*": {str(d): [str(a) for a in range(d, d + 10)] for d in range(20, 60, 10)}}), cf.AttributeConfig("sex", levels={"*": ["f", "m"]})])
     private = cf.AnonymizationConfig(privacyModels=[{"type": "EDDifferentialPrivacy", "epsilon": 2.0, "delta": 1e-2}], differentialPrivacySearchBudget=0.5)
-    out, levels = cli.anonymize(df, data, private)
+    out, made = cli.anonymize(df, data, private)
     live = out.where("not is_suppressed")
-    assert set(levels) == {"age", "sex"} and out.count() == 300 and live.groupBy("age", "sex").count().agg(F.min("count")).first()[0] >= 2
+    assert set(made.names) == {"age", "sex"} and out.count() == 300 and live.groupBy("age", "sex").count().agg(F.min("count")).first()[0] >= 2
     region = cf.AnonymizationConfig(privacyModels=[{"type": "PopulationUniqueness", "riskThreshold": 0.01, "region": "Germany", "populationUniquenessModel": "ZAYATZ"}])
     assert region.models()[0].population == REGIONS["GERMANY"] and cli.anonymize(df, data, region)[0].count() == 300
     with pytest.raises(ValueError, match="region"):
