@@ -115,16 +115,18 @@ class Aligner:
         self.size_a, self.size_b = [list(map(len, x.bytes)) for x in (self.a, self.b)]
 
     def groups(self, a: list[int], b: list[int]):
-        """``(ids of A, ids of B)`` between byte offsets where tokens of both end, and all links ``a * |B| + b`` of overlapping tokens."""
+        """``(ids of A, ids of B)`` between byte offsets where tokens of both end, and the overlapping pairs of groups that have several of both."""
         if len(a) == 1 or len(b) == 1:
-            return [(a, b)], [x * len(self.size_b) + y for x in a for y in b]
-        found, links, width, i, j, first_i, first_j = [], [], len(self.size_b), 0, 0, 0, 0
+            return [(a, b)], []
+        found, links, own, i, j, first_i, first_j = [], [], [], 0, 0, 0, 0
         end_a, end_b = self.size_a[a[0]], self.size_b[b[0]]
         while True:
-            links.append(a[i] * width + b[j])
+            own.append((a[i], b[j]))
             if end_a == end_b:
                 found.append((a[first_i : i + 1], b[first_j : j + 1]))
-                i, j = i + 1, j + 1
+                if i > first_i and j > first_j:
+                    links += own
+                i, j, own = i + 1, j + 1, []
                 if i == len(a):
                     return found, links
                 first_i, first_j, end_a, end_b = i, j, end_a + self.size_a[a[i]], end_b + self.size_b[b[j]]
@@ -136,14 +138,43 @@ class Aligner:
                 end_b += self.size_b[b[j]]
 
     def align(self, segments: list[str]):
-        """Of each segment ``(n_a, n_b, n_groups, groups, links)``; ``None`` where a tokenizer's bytes are not the segment's."""
+        """Each segment's alignment as text; empty where a tokenizer's bytes are not the segment's."""
         for text, a, b in zip(segments, self.a.encode(segments), self.b.encode(segments)):
             raw = text.encode()
             if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
-                yield None
+                yield ""
                 continue
             groups, links = self.groups(a, b)
-            yield len(a), len(b), len(groups), ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups), links
+            said = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+            yield f"{said}\t{' '.join(f'{x},{y}' for x, y in links)}" if links else said
+
+
+def read_alignment(groups: str, several: str, width: int) -> tuple[int, int, int, list[int]]:
+    """``n_a, n_b, n_groups`` and all links ``a * width + b`` of an alignment's text: in a group with one token on a side all pairs overlap."""
+    n_a = n_b = n = 0
+    links = [int(x) * width + int(y) for x, y in (p.split(",") for p in several.split(" "))] if several else []
+    for group in groups.split(";"):
+        a, b = group.split("|")
+        n += 1
+        if "," not in a:
+            n_a += 1
+            if "," not in b:
+                n_b += 1
+                links.append(int(a) * width + int(b))
+                continue
+            first, y = int(a) * width, b.split(",")
+            n_b += len(y)
+            links += [first + int(q) for q in y]
+        else:
+            x = a.split(",")
+            n_a += len(x)
+            if "," in b:
+                n_b += b.count(",") + 1
+            else:
+                n_b += 1
+                y = int(b)
+                links += [int(p) * width + y for p in x]
+    return n_a, n_b, n, links
 
 
 @functools.lru_cache(maxsize=1)
@@ -160,6 +191,15 @@ class Numbers(dict):
         return made
 
 
+def packed(codes: list[int], packer: zstandard.ZstdCompressor) -> bytes:
+    """Segment numbers as bytes: 32 bits each, all low bytes first, compressed; nothing for none."""
+    return packer.compress(np.asarray(codes, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes()) if codes else b""
+
+
+def unpacked(data: bytes, unpacker: zstandard.ZstdDecompressor) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(unpacker.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<i4") if data else np.zeros(0, np.int32)
+
+
 def chunked(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of two kinds: ``chunk, id, codes`` of each document, and ``place, segment`` of each distinct segment of a chunk.
 
@@ -167,25 +207,25 @@ def chunked(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     no segments.
     """
     src = df.select(df[id_col].alias("id"), df[text].alias("text"))
-    schema = with_fields(src, ["id"], "chunk long, codes array<int>, place long, segment string")
+    schema = with_fields(src, ["id"], "chunk long, codes binary, place long, segment string")
 
     def run(batches):
-        split, chunk, size, numbers = aligner(path_a, path_b).split, TaskContext.get().partitionId() << CHUNK_BITS, 0, Numbers()
+        split, packer = aligner(path_a, path_b).split, zstandard.ZstdCompressor()
+        chunk, size, numbers = TaskContext.get().partitionId() << CHUNK_BITS, 0, Numbers()
 
-        def documents(ids: pa.Array, codes: list[list[int]]):
-            n, offsets = len(codes), np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
-            flat = pa.array(np.concatenate([np.asarray(c, np.int32) for c in codes]))
-            return pa.RecordBatch.from_arrays([ids, pa.array([chunk] * n, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=names)
+        def documents(ids: pa.Array, codes: list[bytes]):
+            n = len(codes)
+            return pa.RecordBatch.from_arrays([ids, pa.array([chunk] * n, pa.int64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=names)
 
         def segments():
             n, first = len(numbers), chunk << CODE_BITS
-            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(range(first, first + n), pa.int64()), pa.array(list(numbers), pa.string())], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(first, first + n), pa.int64()), pa.array(list(numbers), pa.string())], names=names)
 
         names, kind = ["id", "chunk", "codes", "place", "segment"], None
         for batch in batches:
             kind, first, codes = batch.column(0).type, 0, []
             for at, t in enumerate(batch.column(1).to_pylist()):
-                codes.append(list(map(numbers.__getitem__, split(" " + t))) if t else [])
+                codes.append(packed(list(map(numbers.__getitem__, split(" " + t))), packer) if t else b"")
                 size += len(t or "")
                 if size >= CHUNK_BYTES:
                     yield documents(batch.column(0)[first : at + 1], codes)
@@ -200,12 +240,12 @@ def chunked(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
 
 def align_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """``segment, reply`` of ``segments(segment)``: its alignment as text, ``n_a``, ``n_b``, ``n_groups``, the groups and the links set apart by tabs; empty where a tokenizer's bytes are not the segment's."""
+    """``segment, reply`` of ``segments(segment)``: its alignment as text, the groups and, behind a tab, the links of groups of several tokens on both sides; empty where a tokenizer's bytes are not the segment's."""
 
     def run(batches):
         made = aligner(path_a, path_b)
         for batch in batches:
-            replies = ["\t".join((*map(str, found[:3]), found[3], " ".join(map(str, found[4])))) if found else "" for found in made.align(batch.column(0).to_pylist())]
+            replies = list(made.align(batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string())], names=["segment", "reply"])
 
     return segments.mapInArrow(run, "segment string, reply string")
@@ -241,30 +281,40 @@ def bundled(replies: DataFrame) -> DataFrame:
 class Replies:
     """A chunk's alignments, by its segments' numbers."""
 
-    def __init__(self, bundles: list[bytes]):
+    def __init__(self, bundles: list[bytes], width: int):
         unpacker = zstandard.ZstdDecompressor()
         rows = [line.split("\t") for b in bundles for line in unpacker.decompress(b).decode().split("\n")]
         rows.sort(key=lambda r: int(r[0]))
+        self.groups = [r[1] for r in rows]
         # a segment that a tokenizer changes has no alignment
-        self.bad = np.array([len(r) == 2 for r in rows], bool)
-        self.figures = np.array([[int(x) for x in r[1:4]] if len(r) > 2 else [0, 0, 0] for r in rows], np.int64).reshape(-1, 3)
-        self.groups = [r[4] if len(r) > 2 else "" for r in rows]
-        listed = [r[5].split(" ") if len(r) > 2 else [] for r in rows]
-        self.n_links = np.array([len(x) for x in listed], np.int64)
+        read = [read_alignment(r[1], r[2] if len(r) > 2 else "", width) if r[1] else (0, 0, 0, []) for r in rows]
+        self.bad = np.array([not r[1] for r in rows], bool)
+        self.figures = np.array([r[:3] for r in read], np.int64).reshape(-1, 3)
+        self.n_links = np.array([len(r[3]) for r in read], np.int64)
         self.first = np.cumsum(self.n_links) - self.n_links
         # links by their place among the chunk's distinct ones
-        self.values, self.which = np.unique(np.array([int(x) for r in listed for x in r], np.int64), return_inverse=True)
+        self.values, self.which = np.unique(np.array([x for r in read for x in r[3]], np.int64), return_inverse=True)
 
 
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def compose(documents: pa.Table, bundles: pa.Table) -> pa.Table:
+def composer(width: int):
+    """:func:`compose` for a vocabulary B of ``width`` pieces."""
+
+    def run(documents: pa.Table, bundles: pa.Table) -> pa.Table:
+        return compose(documents, bundles, width)
+
+    return run
+
+
+def compose(documents: pa.Table, bundles: pa.Table, width: int) -> pa.Table:
     """A chunk's documents from its segments' alignments: their figures, the digest of their groups, and their distinct links with how often each occurs."""
-    lists = documents.column("codes").combine_chunks()
-    at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-    codes, n = lists.flatten().to_numpy(zero_copy_only=False), len(at) - 1
-    replies = Replies(bundles.column("bundle").to_pylist())
+    unpacker = zstandard.ZstdDecompressor()
+    lists = [unpacked(x, unpacker) for x in documents.column("codes").to_pylist()]
+    at, n = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64), len(lists)
+    codes = np.concatenate([*lists, np.zeros(0, np.int32)])
+    replies = Replies(bundles.column("bundle").to_pylist(), width)
     owner = np.repeat(np.arange(n), np.diff(at))
     whole = np.bincount(owner[replies.bad[codes]], minlength=n) == 0
     out = {"chunk": documents.column("of"), "id": documents.column("id")}
@@ -273,7 +323,7 @@ def compose(documents: pa.Table, bundles: pa.Table) -> pa.Table:
         out[name] = pa.array(np.where(whole, sums[at[1:]] - sums[at[:-1]], 0).astype(np.int64))
     text, flat = replies.groups.__getitem__, codes.tolist()
     digests = [hashlib.sha256(";".join(map(text, flat[a:b])).encode()).hexdigest() if good and b > a else "" for a, b, good in zip(at[:-1].tolist(), at[1:].tolist(), whole.tolist())]
-    keep, width, held, links, times = whole[owner], max(1, len(replies.values)), [], [], []
+    keep, distinct, held, links, times = whole[owner], max(1, len(replies.values)), [], [], []
     first = 0
     while first < n:
         # whole documents, as many as WORDS_AT_ONCE bounds: distinct segments of each, then distinct links
@@ -283,9 +333,9 @@ def compose(documents: pa.Table, bundles: pa.Table) -> pa.Table:
         doc, code = np.divmod(pairs, max(1, len(replies.bad)))
         m = replies.n_links[code]
         spread = np.repeat(replies.first[code] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        found, back = np.unique(np.repeat(doc, m) * width + replies.which[spread], return_inverse=True)
-        held.append(found // width)
-        links.append(replies.values[found % width])
+        found, back = np.unique(np.repeat(doc, m) * distinct + replies.which[spread], return_inverse=True)
+        held.append(found // distinct)
+        links.append(replies.values[found % distinct])
         times.append(np.bincount(back, np.repeat(often, m), len(found)).astype(np.int64))
         first = after
     offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64), minlength=n)))).astype(np.int32))
@@ -327,16 +377,17 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_
     an empty digest. Of repeated rows each counts as a document. Empty table: no rows.
     """
     configure(df.sparkSession)
+    width = len(Pieces(path_b).bytes)
     encoded = materialize(chunked(df, path_a, path_b, id_col, text), "chunks")
     asked = encoded.where("segment is not null").select("place", "segment")
     alignments = materialize(align_segments(asked.select("segment").distinct(), path_a, path_b), "alignments")
     replies = bundled(asked.join(alignments, "segment").select("place", "reply"))
     documents = encoded.where("codes is not null").select(F.col("chunk").alias("of"), "id", "codes")
     schema = with_fields(documents.select(F.col("of").alias("chunk"), "id"), ["chunk", "id"], ", ".join(f"{f} long" for f in FIGURES) + ", groups_sha256 string, links array<long>, times array<long>")
-    composed = materialize(documents.groupBy("of").cogroup(replies.groupBy("chunk")).applyInArrow(compose, schema), "composed")
+    composed = materialize(documents.groupBy("of").cogroup(replies.groupBy("chunk")).applyInArrow(composer(width), schema), "composed")
     discard(encoded, alignments)
     # every chunk gets the counts of its own links
     wanted = composed.select("chunk", F.explode("links").alias("link")).distinct()
-    counts = wanted.join(link_counts(composed, len(Pieces(path_b).bytes)), "link").select(F.col("chunk").alias("of"), "link", "docs", "is_best")
+    counts = wanted.join(link_counts(composed, width), "link").select(F.col("chunk").alias("of"), "link", "docs", "is_best")
     schema = with_fields(composed, ["id"], ", ".join(f"{f} long" for f in RESULTS) + ", groups_sha256 string")
     return composed.groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(summed, schema).withColumnRenamed("id", id_col)
