@@ -230,7 +230,7 @@ def disguised_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[i
                     if kind == "email" and view is not part and not re.search(r"\.[A-Za-z]{2,}$", view.text[s:e]):
                         continue
                     src = view.span(s, e)
-                    if text[src[0] : src[1]] != view.text[s:e] and not (kind == "email" and src[1] - src[0] > 4 * (e - s) + 40):
+                    if text[src[0] : src[1]] != view.text[s:e]:
                         found[(*src, kind)] = None
     taken = sorted((s, e) for s, e, _ in base)
     out: list[tuple[int, int, str]] = []

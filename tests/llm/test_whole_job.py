@@ -79,6 +79,9 @@ def test_disguises_of_any_length():
     assert [(k, s, e) for s, e, k in pii.disguised_spans(text, [])] == [("email", 2, len(text))]
     for said, kind, want in (("mail jane (at)\nexample\n[dot]\ncom now", "email", "jane (at)\nexample\n[dot]\ncom"), ("call ip 10.¹.²³.4 now", "ip", "10.¹.²³.4")):
         assert [(k, said[s:e]) for s, e, k in pii.disguised_spans(said, [])] == [(kind, want)]
+    for gap in (1, 60, 400):  # nothing is too far apart
+        said = f"jane{' ' * gap}(at){' ' * gap}example.com"
+        assert [(k, said2) for said2, k in ((f"x {said} y"[s:e], k) for s, e, k in pii.disguised_spans(f"x {said} y", []))] == [("email", said)]
     for n in (19, 60, 400, 2000):
         digits = "4 1" * n + "１"
         assert [k for _, _, k in pii.disguised_spans("no " + digits, pii.base_spans("no " + digits)) if k == "card"] == []
