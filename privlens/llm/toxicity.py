@@ -222,12 +222,14 @@ def in_training(id_col: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, most: int) -> DataFrame:
-    """A bounded sample of labelled texts, ``(id, toxic, text)``."""
+    """A bounded sample of labelled texts, ``(id, toxic, text)``: one row an id, of an id that repeats the one of least digest."""
     ids = labels.select(labels[id_col].alias("id"), labels[label].alias("toxic")).where("id is not null and toxic in (0, 1)")
     ids = ids.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")).where(in_training(F.col("id")))
     order = F.xxhash64("id", F.lit(9))
     drawn = ids.where("toxic = 1").orderBy(order, "id").limit(most).unionAll(ids.where("toxic = 0").orderBy(order, "id").limit(most))
-    return docs.select(docs[id_col].alias("id"), docs[text].alias("text")).join(F.broadcast(drawn), "id")
+    rows = docs.select(docs[id_col].alias("id"), docs[text].alias("text")).join(F.broadcast(drawn), "id")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return rows.groupBy("id", "toxic").agg(F.min_by("text", digest).alias("text")).select("id", "toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> ToxicityModel:

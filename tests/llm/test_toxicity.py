@@ -136,3 +136,12 @@ def test_odd_rows(spark):
     for r in got:
         by[r["text"] or ""].add(r["score"])
     assert all(len(v) == 1 for v in by.values()) and min(by["bad worse"]) >= 0.7 > max(by[""])
+
+
+def test_a_labelled_id_that_repeats_is_one_example(spark):
+    docs = spark.createDataFrame([(i, f"word{i} bad" if i % 2 else f"word{i} good") for i in range(60)], "doc_id long, text string")
+    many = docs.unionByName(spark.range(500).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("other good "), F.col("id")).alias("text")))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    sample = toxicity._sample(many, labels, "doc_id", "text", "toxic", 30)
+    assert sample.count() == sample.select("id").distinct().count() <= 60
+    assert {len(r["text"]) for r in toxicity._sample(many.repartition(5), labels, "doc_id", "text", "toxic", 30).where("id = 2").collect()} == {len(r["text"]) for r in sample.where("id = 2").collect()}
