@@ -5,6 +5,7 @@ Doubles are rounded to six places on both sides; results hold scalars and text o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,9 @@ from privlens.operators.hierarchy import Hierarchy
 from privlens.operators.privacy import Model
 from privlens.operators.schema import AttributeSpec
 from privlens.plans import assessment as pa
+from privlens.sources import config as cf
+from privlens.sources import shared
+from privlens.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,6 +89,50 @@ def scan_typed(spark, sf):
     return schema.typed_projection(text, specs, ["p_partkey"])
 
 
+_ACCOUNTS = [cf.AttributeConfig("c_custkey", "continuous", "INSENSITIVE"), cf.AttributeConfig("c_mktsegment"), cf.AttributeConfig("c_acctbal", "continuous")]
+
+
+def _delimited(spark, df: DataFrame, what: str) -> str:
+    """``df`` as a delimited table in the shared folder."""
+    path = f"{shared.shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    tb.write_csv(df, path)
+    return path
+
+
+@query("SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_mktsegment, c_acctbal FROM customer")
+def scan_delimited(spark, sf):
+    """A delimited table, written and scanned by its configuration."""
+    path = _delimited(spark, table(spark, sf, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", "c_nationkey"), "customers")
+    return tb.read_table(spark, cf.DataConfig(path, _ACCOUNTS)).drop("row_id")
+
+
+@query("SELECT CAST(s_suppkey AS DOUBLE) AS c_custkey, CASE WHEN s_suppkey % 9 = 0 THEN '*' ELSE 'S' || CAST(s_nationkey AS VARCHAR) END AS c_mktsegment, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS c_acctbal FROM supplier")
+def scan_like_another(spark, sf):
+    """A second file with the columns and declarations of a known table; suppressed numbers are missing."""
+    known = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    key = F.col("s_suppkey")
+    suppliers = table(spark, sf, "supplier").select(key.alias("c_custkey"), F.when(key % 9 == 0, F.lit("*")).otherwise(F.concat(F.lit("S"), F.col("s_nationkey"))).alias("c_mktsegment"), F.when(key % 7 == 0, F.lit("*")).otherwise(F.col("s_acctbal").cast("string")).alias("c_acctbal"))
+    return tb.read_like(spark, _delimited(spark, suppliers, "suppliers"), known, [a.spec() for a in _ACCOUNTS]).drop("row_id")
+
+
+@query("SELECT DISTINCT 'c_mktsegment' AS attribute, c_mktsegment AS value FROM customer UNION ALL SELECT DISTINCT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer")
+def attack_attributes(spark, sf):
+    """The values of included attributes of all roles; a quasi-identifier that is not included is none of them."""
+    specs = [AttributeSpec.of("c_mktsegment"), AttributeSpec.of("c_name", include=False), AttributeSpec.of("c_nationkey", role="SENSITIVE")]
+    return schema.distinct_values(table(spark, sf, "customer"), schema.attack_attributes(specs, everything=True))
+
+
+@query("SELECT n_regionkey AS run_id, n_nationkey AS target_id FROM nation WHERE n_nationkey % 3 <> 0")
+def checkpoint_remaining(spark, sf):
+    """Jobs without a stored artifact: one partition a job, written twice, as after a failure."""
+    jobs = table(spark, sf, "nation").select(F.col("n_regionkey").alias("run_id"), F.col("n_nationkey").alias("target_id"))
+    store = tb.CheckpointStore(spark, f"{shared.shared_dir(spark)}/store-{uuid.uuid4().hex}", "any")
+    made = jobs.where("target_id % 3 = 0").withColumn("value", F.lit(1))
+    for part_of in (made.where("target_id < 12"), made):
+        store.save("releases", part_of)
+    return store.remaining(jobs, "releases")
+
+
 @query("SELECT c_custkey, 'c_acctbal' AS attribute FROM customer WHERE c_acctbal < 0")
 def empty_check(spark, sf):
     blank = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, F.lit(" ")).otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"))
@@ -282,6 +330,34 @@ def reid_risk(spark, sf):
     return rounded(cl.reidentification_risk(cl.equivalence_classes(released(spark, sf), QIS)))
 
 
+@query(f"WITH {_KSUP} SELECT p_partkey, p_brand, p_type, p_size, CAST(is_suppressed AS VARCHAR) AS is_suppressed FROM rel")
+def release_sink(spark, sf):
+    """A release written as text and read back."""
+    path = f"{shared.shared_dir(spark)}/release-{uuid.uuid4().hex}"
+    tb.write_release(released(spark, sf), path, as_csv=True)
+    back = tb.read_csv(spark, path)
+    return back.select(F.col("p_partkey").cast("long").alias("p_partkey"), *QIS, "is_suppressed")
+
+
+@query("SELECT c_custkey, r_name AS c_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def inline_hierarchy(spark, sf):
+    """A hierarchy given as a tree, regions over nations."""
+    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.collect_list("n_nationkey").alias("keys"))
+    tree = {"*": {r["r_name"]: sorted(map(str, r["keys"])) for r in nations.collect()}}  # a configuration: the nations of the world
+    df = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return hierarchy.generalize(df, {"c_nationkey": 1}, {"c_nationkey": Hierarchy.nested("c_nationkey", tree)})
+
+
+@query(
+    f"WITH g AS (SELECT p_partkey, {_B[1]} AS p_brand, {_T[1]} AS p_type, p_size, count(*) OVER (PARTITION BY {_B[1]}, {_T[1]}, p_size) AS n FROM part) "
+    "SELECT p_partkey, CASE WHEN n >= 5 THEN p_brand ELSE '*' END AS p_brand, CASE WHEN n >= 5 THEN CAST(p_size AS DOUBLE) END AS p_size FROM g"
+)
+def live_cells(spark, sf):
+    """A release by its declared types: what was suppressed is missing where numbers are wanted."""
+    out = recode.release(part(spark, sf).select("p_partkey", *QIS), LEVELS | {"p_size": 0}, part_hierarchies(), [Model("k-Anonymity", 5)])
+    return schema.typed_projection(out, [AttributeSpec.of("p_brand"), AttributeSpec.of("p_size", "continuous")], ["p_partkey"])
+
+
 # --- privacy models --------------------------------------------------------------------------------
 
 SEGMENTS = {"*": {"INDUSTRY": ["AUTOMOBILE", "MACHINERY"], "HOME": ["BUILDING", "FURNITURE", "HOUSEHOLD"]}}
@@ -370,6 +446,18 @@ def b_likeness(spark, sf):
     return rounded(privacy.enhanced_b_likeness(_nations(spark, sf), ["c_nationkey"], "c_mktsegment", 0.4))
 
 
+@query("SELECT nullif(c_nationkey, 3) AS nation, count(DISTINCT c_mktsegment) >= 5 AND count(DISTINCT CAST(floor(c_acctbal / 1000) AS INT)) >= 11 AS ok FROM customer GROUP BY 1")
+def sensitive_columns(spark, sf):
+    """A model that names no attributes holds for every sensitive column."""
+    specs = [AttributeSpec.of("nation"), AttributeSpec.of("c_mktsegment", role="SENSITIVE"), AttributeSpec.of("balance", role="SENSITIVE")]
+    df = customers(spark, sf).select(F.nullif(F.col("c_nationkey"), F.lit(3)).alias("nation"), "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).cast("int").alias("balance"))
+    sensitive = schema.sensitive_attributes(specs)
+    five, eleven = Model("DistinctLDiversity", 5, ("c_mktsegment",)), Model("DistinctLDiversity", 5)
+    both = privacy.satisfied(df, ["nation"], [five, eleven], sensitive)
+    more = privacy.satisfied(df, ["nation"], [Model("DistinctLDiversity", 11)], ["balance"])
+    return both.join(more.select(F.col("nation").alias("__n"), F.col("ok").alias("__ok")), F.col("nation").eqNullSafe(F.col("__n"))).select("nation", (F.col("ok") & F.col("__ok")).alias("ok"))
+
+
 _FINE_SQL = f"g AS (SELECT p_partkey, {_B[1]} AS p_brand, {_T[0]} AS p_type, {_S[1]} AS p_size FROM part)"
 
 
@@ -611,6 +699,30 @@ _search("search_d_disclosure", " AND ".join(f"CASE WHEN f{i} > 0 THEN abs(ln(f{i
 _search("search_two_models", "z >= 8 AND (" + " + ".join(f"CAST(f{i} > 0 AS INT)" for i in _EACH) + ") >= 3", [Model("k-Anonymity", 8), Model("DistinctLDiversity", 3)], 0.05)
 
 
+@query(
+    "WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal > -950 THEN c_acctbal END AS a FROM customer) SELECT c_custkey, round(avg(a) OVER w, 6) AS skipped, round(CASE WHEN count(a) OVER w = count(*) OVER w THEN avg(a) OVER w END, 6) AS kept FROM c WINDOW w AS (PARTITION BY c_nationkey)"
+)
+def microagg_missing(spark, sf):
+    """Missing values are skipped, or make their class's aggregate missing."""
+    value = F.when(F.col("c_acctbal") > -950, F.col("c_acctbal"))
+    df = table(spark, sf, "customer").select("c_custkey", "c_nationkey", value.alias("skipped"), value.alias("kept"))
+    out = recode.micro_aggregate(df, ["c_nationkey"], {"skipped": "ARITHMETIC_MEAN", "kept": "ARITHMETIC_MEAN"}, {"skipped": True, "kept": False})
+    return rounded(out.select("c_custkey", "skipped", "kept"))
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, p_partkey % 3 AS sample_id, p_size % 5 AS bin, p_type FROM part), n AS (SELECT *, count(*) OVER (PARTITION BY sample_id, bin) AS n FROM p), "
+    "m AS (SELECT sample_id, bin, p_type AS mode FROM p GROUP BY sample_id, bin, p_type QUALIFY row_number() OVER (PARTITION BY sample_id, bin ORDER BY count(*) DESC, p_type) = 1) "
+    "SELECT p_partkey, CASE WHEN n >= 130 THEN CAST(bin AS VARCHAR) ELSE '*' END AS bin, CASE WHEN n >= 130 THEN mode ELSE '*' END AS p_type, n < 130 AS is_suppressed FROM n JOIN m USING (sample_id, bin)"
+)
+def microagg_samples(spark, sf):
+    """Samples released by a configured method: classes of each, and an attribute that becomes its class's commonest value."""
+    df = part(spark, sf).select("p_partkey", (F.col("p_partkey") % 3).alias("sample_id"), (F.col("p_size") % 5).alias("bin"), "p_type")
+    models = [Model("k-Anonymity", 130)]
+    method = Anonymizer(search.Search({"bin": Hierarchy.identity("bin")}, models=models), models, "p_partkey", micro={"p_type": "MODE"})
+    return method.release_each(df, ["sample_id"]).select("p_partkey", "bin", "p_type", "is_suppressed")
+
+
 _OF = 6
 
 
