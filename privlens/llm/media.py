@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from privlens.llm.common import configure, discard, materialize, utf8, with_fields
+from privlens.llm.common import configure, discard, materialize, shared_dir, utf8, with_fields
 
 #: Payloads are padded with zero bytes to a positive multiple of this.
 UNIT = 64
@@ -166,15 +166,17 @@ def chunk_bodies(df: DataFrame, text: str, dictionary: bytes = b"") -> DataFrame
 
 
 class MediaStore:
-    """A chunk table in the warehouse and the table of chunk lists that refer to it."""
+    """A chunk table in the shared folder and the table of chunk lists that refer to it."""
 
     def __init__(self, spark, table: str, lists: DataFrame):
         self.spark, self.table, self.lists = spark, table, lists
 
     def drop(self) -> None:
         """Delete the store; what was read from it lazily is gone with it."""
+        bodies = self.spark.table(self.table)
+        bodies.written_to = f"{shared_dir(self.spark)}/{self.table}"
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        discard(self.lists)
+        discard(self.lists, bodies)
 
 
 def store(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> MediaStore:
@@ -189,7 +191,8 @@ def store(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> M
     dictionary = train_dictionary(src, "__payload")
     distinct = chunk_bodies(src, "__payload", dictionary).repartition(n, "digest").dropDuplicates(["digest"])
     distinct = distinct.unionByName(spark.createDataFrame([(bytearray(DICTIONARY_KEY), bytearray(dictionary))], "digest binary, body binary"))
-    distinct.write.option("compression", "zstd").bucketBy(n, "digest").saveAsTable(table)
+    # bucketed, so a table; its files lie in the shared folder, wherever the warehouse is
+    distinct.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").bucketBy(n, "digest").saveAsTable(table)
     lists = materialize(chunk_lists(src, "__payload", keep).withColumn("media_key", F.monotonically_increasing_id()), "media")
     return MediaStore(spark, table, lists)
 
