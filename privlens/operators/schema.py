@@ -160,20 +160,37 @@ def enrich(specs: Sequence[AttributeSpec], df: DataFrame) -> list[AttributeSpec]
     ]
 
 
+#: Half the width of a bracket of the middle, as a share of the values bracketed, and the accuracy that finds it: its rank error is a tenth of that.
+BRACKET, BRACKET_ACCURACY = 0.001, 10_000
+
+
 def exact_medians(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """``(attribute, median)`` of numeric columns over a whole table, without gathering a column in one task.
 
-    A first pass brackets the middle by approximate quantiles, whose rank error is a tenth of the bracket's width;
-    a second counts the values below the bracket and each value in it, and the middle ranks are read off those.
+    The middle is bracketed twice by approximate quantiles, the second time among the values of the first bracket, so
+    that some four in a million values are left. A last pass counts the values below the bracket and each value in it,
+    and the middle ranks are read off those. The brackets are a row per attribute.
     """
     cells = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("v")) for a in attributes])
     long = df.select(F.explode(cells).alias("c")).select("c.*").where("v is not null")
-    ends = long.groupBy("attribute").agg(F.percentile_approx("v", [0.499, 0.501], 10_000).alias("ends"), F.count("*").alias("n"))
-    ends = ends.select("attribute", F.col("ends")[0].alias("lo"), F.col("ends")[1].alias("hi"), "n")
-    near = long.join(F.broadcast(ends), "attribute").where(F.col("v") <= F.col("hi"))  # a row per attribute
-    counts = near.groupBy("attribute", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    around = F.percentile_approx("v", [0.5 - BRACKET, 0.5 + BRACKET], BRACKET_ACCURACY)
+    wide = {r["attribute"]: r for r in long.groupBy("attribute").agg(around.alias("ends"), F.count("*").alias("n")).collect()}
+    if not wide:
+        return long.select("attribute", F.col("v").alias("median")).where("false")
+    v, names = F.col("v"), list(wide)
+    own = lambda a, x: F.when(F.col("attribute") == a, x)
+    inside = {a: own(a, F.when((v >= wide[a]["ends"][0]) & (v <= wide[a]["ends"][1]), v)) for a in names}
+    counts = long.agg(*[F.count(own(a, F.when(v < wide[a]["ends"][0], v))).alias(f"b{i}") for i, a in enumerate(names)], *[F.count(inside[a]).alias(f"i{i}") for i, a in enumerate(names)]).first()
+    # where the middle ranks lie among the values of the first bracket
+    ranks = {a: [(wide[a]["n"] + 1) // 2 - counts[f"b{i}"], wide[a]["n"] // 2 + 1 - counts[f"b{i}"]] for i, a in enumerate(names)}
+    near = lambda i, a: [min(1.0, max(0.0, rank / max(1, counts[f"i{i}"]) + x)) for rank, x in zip(ranks[a], (-BRACKET, BRACKET))]
+    narrow = long.agg(*[F.percentile_approx(inside[a], near(i, a), BRACKET_ACCURACY).alias(f"e{i}") for i, a in enumerate(names)]).first()
+    ends = [(a, float(narrow[f"e{i}"][0]), float(narrow[f"e{i}"][1]), wide[a]["n"]) for i, a in enumerate(names)]
+    ends = df.sparkSession.createDataFrame(ends, "attribute string, lo double, hi double, n long")
+    left = long.join(F.broadcast(ends), "attribute").where(F.col("v") <= F.col("hi"))
+    counted = left.groupBy("attribute", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("attribute").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto)
+    ranked = counted.withColumn("upto", upto)
     middle = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
     return ranked.groupBy("attribute").agg(((middle(F.floor((F.col("n") + 1) / 2)) + middle(F.floor(F.col("n") / 2) + 1)) / 2).alias("median"))
 

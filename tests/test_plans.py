@@ -25,7 +25,7 @@ def test_row_ids_are_contiguous(spark):
     assert with_row_id(spark.range(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 5, 4000, 4001])
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 4000, 4001, 60_000])
 def test_medians_equal_the_aggregate(spark, n):
     rng = np.random.default_rng(n)
     rows = [(float(x), int(x * 3) if i % 5 else None) for i, x in enumerate(rng.normal(size=n).round(2))]
