@@ -45,6 +45,20 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return placed.join(F.broadcast(starts), "__p").select(*df.columns, (F.col("__start") + F.col("__i")).alias(name))
 
 
+def with_file_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
+    """A scan of files with a contiguous 0-based row position, by file name and place in the file.
+
+    However files are split and packed into partitions, a row has the same position. No row is moved: a block of a file
+    is read in order by one task, and the blocks' counts, a row per block, give each its start.
+    """
+    placed = scan.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__m"))
+    blocks = placed.groupBy(F.col("__file").alias("__f"), F.col("__block").alias("__b")).agg(F.min("__m").alias("__low"), F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("__f", "__b"))  # a row per block
+    starts = blocks.select("__f", "__b", (upto - F.col("__n") - F.col("__low")).alias("__shift"))
+    found = placed.join(F.broadcast(starts), (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    return found.select(*scan.columns, (F.col("__m") + F.col("__shift")).alias(name))
+
+
 def three_decimals(value: Column) -> Column:
     """``%.3f`` with ``NaN`` as text and null as ``NaN``; minus zero prints as zero."""
     clean = F.when(value == 0, F.lit(0.0)).otherwise(value)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from privlens.functions.scalar import three_decimals, with_row_id
+from privlens.functions.scalar import three_decimals, with_file_row_id
 from privlens.operators.schema import AttributeSpec, typed_projection
 from privlens.sources.config import DataConfig
 
@@ -31,17 +31,17 @@ def read_csv(spark: SparkSession, path: str, sep: str = ";", columns: Sequence[s
 
 
 def read_table(spark: SparkSession, config: DataConfig, sep: str = ";") -> DataFrame:
-    """The configured table, typed, with ``row_id`` by position."""
+    """The configured table, typed, with ``row_id`` by file name and place in the file."""
     raw = spark.read.parquet(config.path) if config.path.endswith(".parquet") else read_csv(spark, config.path, sep)
     if "row_id" not in raw.columns:
-        raw = with_row_id(raw)
+        raw = with_file_row_id(raw)
     return typed_projection(raw, config.specs, ["row_id"])
 
 
 def read_like(spark: SparkSession, path: str, reference: DataFrame, specs: Sequence[AttributeSpec], sep: str = ";") -> DataFrame:
     """Another file with a known table's columns and declarations."""
     raw = read_csv(spark, path, sep, [c for c in reference.columns if c != "row_id"])
-    return typed_projection(with_row_id(raw), specs, ["row_id"])
+    return typed_projection(with_file_row_id(raw), specs, ["row_id"])
 
 
 def read_target_ids(spark: SparkSession, path: str, key: str = "row_id") -> DataFrame:

@@ -17,6 +17,7 @@ from privlens.operators.hierarchy import Hierarchy
 from privlens.operators.privacy import REGIONS, Model
 from privlens.plans import assessment as pa
 from privlens.sources import config as cf
+from privlens.sources import tables as tb
 
 
 def test_row_ids_are_contiguous(spark):
@@ -25,6 +26,22 @@ def test_row_ids_are_contiguous(spark):
     assert with_row_id(spark.range(0)).count() == 0
 
 
+def test_row_ids_of_files_do_not_depend_on_their_packing(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    rows = []
+    for i, n in enumerate((3, 400, 50, 1, 900)):
+        rows += [f"{i}-{j}" for j in range(n)]
+        (tmp_path / "t" / f"part-{i}.csv").write_text("a;b\n" + "".join(f"{i}-{j};{'x' * (j % 30)}\n" for j in range(n)))
+    data = cf.DataConfig(f"{tmp_path}/t", [cf.AttributeConfig("a"), cf.AttributeConfig("b")])
+    try:
+        for size in ("128m", "2k", "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = tb.read_table(spark, data)
+            assert [r["a"] for r in df.orderBy("row_id").collect()] == rows and df.agg(F.min("row_id"), F.max("row_id")).first() == (0, len(rows) - 1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 4000, 4001, 60_000])
 def test_medians_equal_the_aggregate(spark, n):
     rng = np.random.default_rng(n)
