@@ -395,16 +395,18 @@ class Search:
         base = base_tuples(df, self.hierarchies, self.sensitive, population=population).persist()
         began, self.seen = time.monotonic(), {}
         try:
-            least = (least_losses(base, self.hierarchies, self.gs).first() or {"least": []})["least"]
+            least = least_losses(base, self.hierarchies, self.gs).first()["least"]
             for turn in itertools.count():
                 nodes = self.planner.propose(self.seen, least, turn)
-                if not nodes or not least:
+                if not nodes:
                     break
+                known = len(self.seen)
                 for at in range(0, len(nodes), BATCH):
                     for r in self._evaluated(base, nodes[at : at + BATCH]).collect():
                         v = tuple(r["levels"])
                         self.seen[v] = self.planner.score(v, r["rows"], r["suppressed"], r["losses"], self.limit)
-                if self.millis is not None and (time.monotonic() - began) * 1000 >= self.millis:
+                # a table without rows leaves no node to be seen
+                if len(self.seen) == known or (self.millis is not None and (time.monotonic() - began) * 1000 >= self.millis):
                     break
         finally:
             base.unpersist()

@@ -140,6 +140,16 @@ def test_pruning_on_a_large_lattice():
     assert counts[True][1] == counts[False][1] and counts[True][0] < counts[False][0] / 3
 
 
+def test_searches_of_nothing(spark):
+    none = people(spark).where("false")
+    models = [Model("k-Anonymity", 4)]
+    for s in (search.Search(H, models=models), search.Search(H, models=models, algorithm="GENETIC"), search.PrivateSearch(H, "row_id", 2.0, 1e-2, 0.5)):
+        assert set(s.run(none).values()) == {0}
+        assert s.run_each(none.withColumn("sample_id", F.lit(1)), ["sample_id"]).isEmpty()
+    made = anonymizer.Anonymizer(search.Search(H, models=models), models, "row_id", rounds=3, micro={"ill": "MODE"})
+    assert made.release(none).isEmpty() and set(made.release(none).columns) == {*none.columns, LEVELS, SUPPRESSED}
+
+
 def test_antichains_cover_what_they_span():
     rng = np.random.default_rng(1)
     nodes = [tuple(map(int, v)) for v in rng.integers(0, 5, (40, 4))]
