@@ -2,10 +2,12 @@
 
 Pieces as long as a sequence stand alone. The others are dealt evenly into blocks of bounded size, and
 a block is described by how many pieces it has of each length. Every block is evolved on several
-islands, one task each: a solution is a multiset of bins (a bin: its piece lengths), crossover injects
-whole well-filled bins of one parent into the other, bins that would use a piece twice are removed, and
-the displaced pieces are put back best-fit. Between epochs each island receives its neighbour's elite.
-The best solution of a block then gives every piece its sequence and offset.
+islands, dealt out over tasks: a solution is a multiset of bins (a bin: its piece lengths), crossover injects
+whole well-filled bins of one parent into the other, bins that would use a piece twice are removed,
+mutation empties bins, and the displaced pieces are put back so that they fill bins exactly where they can.
+Between epochs each island receives its neighbour's elite. A block is done when no packing can have fewer
+bins, or when a whole epoch bettered none of its islands. The best solution of a block then gives every
+piece its sequence and offset.
 """
 
 from __future__ import annotations
@@ -28,7 +30,12 @@ from privlens.llm.common import configure, materialize, with_fields
 
 CAPACITY = 1024
 #: Pieces of a block; islands that evolve it; epochs between migrations; generations of an epoch; children of a generation.
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, CHILDREN = 25_000, 2, 2, 2, 2
+#: The numbers of epochs and generations only end what still gets better; see ``PATIENCE`` and ``least_bins``.
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, CHILDREN = 25_000, 2, 8, 100, 4
+#: Solutions that an island keeps, and generations without a better one after which an epoch ends.
+KEPT, PATIENCE = 5, 12
+#: Longest pieces that are tried as the first of three which complete a bin.
+TRIPLES = 6
 #: Encodings of space-delimited pieces kept by a worker, and the longest piece kept.
 MAX_PIECES, LONGEST_PIECE = 250_000, 48
 #: A space that follows white space and does not end its run: where a text may not be cut at spaces.
@@ -133,11 +140,15 @@ def best_fit(bins: Bins, lengths: list[int], capacity: int) -> Bins:
     """Put ``lengths``, longest first, each into the open bin it fills best; new bins where none fits."""
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0
-    open_bins = [list(b) for b in bins]
-    for i, b in enumerate(open_bins):
+    full, open_bins = [], []
+    for b in bins:
         room = capacity - sum(b)
-        rooms[room].append(i)
-        mask |= 1 << room
+        if room:
+            rooms[room].append(len(open_bins))
+            mask |= 1 << room
+            open_bins.append(list(b))
+        else:
+            full.append(b)
     for size in sorted(lengths, reverse=True):
         fits = mask >> size
         if fits:
@@ -152,7 +163,92 @@ def best_fit(bins: Bins, lengths: list[int], capacity: int) -> Bins:
         left = room - size
         rooms[left].append(at)
         mask |= 1 << left
-    return [tuple(sorted(b, reverse=True)) for b in open_bins]
+    return full + [tuple(sorted(b, reverse=True)) for b in open_bins]
+
+
+def complete(bins: Bins, lengths: list[int], capacity: int, rng: np.random.Generator) -> Bins:
+    """Put ``lengths`` into full bins of their own where they can, the rest best-fit into ``bins`` and new ones.
+
+    The longest piece left is completed by the piece, or by two or three pieces, that fill its bin exactly; where
+    none do, it takes the longest that fits and is completed from there, or waits for the best-fit at the end. How is
+    drawn for each call: which of these two, the most or the least even of several pairs or either by turns, and how often
+    pairs come before single pieces. Lengths at hand are the bits of an integer, ``avail`` by length and ``mirror`` by what
+    is missing to ``capacity``.
+    """
+    counts = Counter(lengths)
+    avail = mirror = 0
+    for x in counts:
+        avail |= 1 << x
+        mirror |= 1 << (capacity - x)
+
+    def flip(x: int) -> None:
+        nonlocal avail, mirror
+        avail ^= 1 << x
+        mirror ^= 1 << (capacity - x)
+
+    def take(x: int) -> None:
+        counts[x] -= 1
+        if not counts[x]:
+            flip(x)
+
+    def pairs(room: int) -> int:
+        """The shorter halves of the pairs that fill ``room``, as bits."""
+        found = avail & (mirror >> (capacity - room)) & ((2 << room // 2) - 1)
+        if not room % 2 and found >> (room // 2) & 1 and counts[room // 2] < 2:
+            found ^= 1 << (room // 2)
+        return found
+
+    def completion(room: int, even: bool, single: bool) -> list[int] | None:
+        exact = avail >> room & 1
+        if exact and single:
+            return [room]
+        if found := pairs(room):
+            x = (found if even else found & -found).bit_length() - 1
+            return [x, room - x]
+        if exact:
+            return [room]
+        fits = avail & ((1 << room) - 1)
+        for _ in range(TRIPLES):
+            if not fits:
+                break
+            x = fits.bit_length() - 1
+            fits ^= 1 << x
+            take(x)
+            found = pairs(room - x)
+            if not counts[x]:
+                flip(x)
+            counts[x] += 1
+            if found:
+                y = found.bit_length() - 1
+                return [x, y, room - x - y]
+        return None
+
+    evenness, singles, aside = rng.choice([0.0, 0.5, 1.0]), 1.0 if rng.random() < 0.75 else rng.random(), rng.random() < 0.5
+    draws = rng.random((len(lengths), 2)) < (evenness, singles)
+    full, loose, rest = [], [], []
+    for even, single in draws.tolist():
+        if not avail:
+            break
+        x = avail.bit_length() - 1
+        take(x)
+        bin_, room = [x], capacity - x
+        while room:
+            others = completion(room, even, single)
+            fits = 0 if aside or others else avail & ((1 << room) - 1)
+            others = others or ([fits.bit_length() - 1] if fits else [])
+            if not others:
+                break
+            for y in others:
+                take(y)
+            bin_ += others
+            room -= sum(others)
+        if not room:
+            full.append(tuple(sorted(bin_, reverse=True)))
+        elif aside:
+            rest.append(x)
+        else:
+            loose.append(tuple(bin_))
+    return best_fit(bins + loose, rest, capacity) + full
 
 
 def fitness(bins: Bins, capacity: int) -> tuple[int, float]:
@@ -160,19 +256,37 @@ def fitness(bins: Bins, capacity: int) -> tuple[int, float]:
     return len(bins), -sum((sum(b) / capacity) ** 2 for b in bins)
 
 
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """No packing has fewer bins: for each ``k``, pieces over half a bin stand alone, and those of ``k`` and more fill what room they leave."""
+    n = np.bincount(np.asarray(lengths, np.int64), minlength=capacity + 1)
+    above = lambda x: x[::-1].cumsum()[::-1]
+    number, total = above(n), above(n * np.arange(capacity + 1))
+    half = capacity // 2 + 1
+    k = np.arange(half)
+    # pieces over capacity - k leave no room for those of k and more
+    room = (number[half] - np.append(number, 0)[capacity - k + 1]) * capacity - (total[half] - np.append(total, 0)[capacity - k + 1])
+    return int(max(number[half] + np.maximum(0, -(-(total[k] - total[half] - room) // capacity))))
+
+
 def crossover(a: Bins, b: Bins, capacity: int, rng: np.random.Generator) -> Bins:
-    """Half of ``b``'s well-filled bins injected whole into ``a``; ``a``'s bins keep their pieces as far as supply lasts, the rest is put best-fit."""
+    """Half of ``b``'s well-filled bins injected whole into ``a``; ``a``'s bins keep their pieces as far as supply lasts, the rest is completed.
+
+    Bins that both have stay: what is left of either is the same pieces.
+    """
+    mine, theirs = Counter(a), Counter(b)
+    child = list((mine & theirs).elements())
+    good = [x for x in (theirs - mine).elements() if sum(x) >= WELL_FILLED * capacity]
+    a = list((mine - theirs).elements())
     supply = Counter(x for bin_ in a for x in bin_)
-    good = [x for x in b if sum(x) >= WELL_FILLED * capacity]
     take = rng.random(len(good)) < 0.5
-    child = [x for x, t in zip(good, take) if t]
-    for bin_ in child:
-        supply.subtract(bin_)
+    child += [x for x, t in zip(good, take) if t]
+    for bin_, t in zip(good, take):
+        if t:
+            supply.subtract(bin_)
     displaced = []
-    order = sorted(a, key=sum, reverse=True)
-    for bin_ in order:
+    for bin_ in sorted(a, key=sum, reverse=True):
         if sum(bin_) < WELL_FILLED * capacity:
-            continue
+            break
         need = Counter(bin_) if len(set(bin_)) < len(bin_) else dict.fromkeys(bin_, 1)
         if all(supply[x] >= k for x, k in need.items()):
             child.append(bin_)
@@ -180,21 +294,37 @@ def crossover(a: Bins, b: Bins, capacity: int, rng: np.random.Generator) -> Bins
                 supply[x] -= k
     for size, k in supply.items():
         displaced += [size] * k
-    return best_fit(child, displaced, capacity)
+    return complete(child, displaced, capacity, rng)
+
 
+def mutate(bins: Bins, capacity: int, rng: np.random.Generator) -> Bins:
+    """All bins that are not full and a share of the full ones, from one in a thousand to all, are emptied and completed anew."""
+    share = 10.0 ** rng.uniform(-3, 0.2)
+    kept, emptied = [], []
+    for bin_, x in zip(bins, rng.random(len(bins)).tolist()):
+        (emptied if x < share or sum(bin_) < capacity else kept).append(bin_)
+    return complete(kept, [x for bin_ in emptied for x in bin_], capacity, rng)
 
-def evolve(start: list[Bins], capacity: int, rng: np.random.Generator, generations: int = GENERATIONS, children: int = CHILDREN) -> list[Bins]:
-    """A few generations from ``start``; returns the population, best first."""
-    population = sorted(start, key=lambda s: fitness(s, capacity))
-    keep = max(3, len(population))
+
+def evolve(start: list[Bins], capacity: int, rng: np.random.Generator, generations: int = GENERATIONS, children: int = CHILDREN, patience: int = PATIENCE) -> list[Bins]:
+    """Generations from ``start`` until no packing can have fewer bins, or ``patience`` of them found no better one; returns the population, best first."""
+    population = sorted(((fitness(s, capacity), s) for s in start), key=lambda s: s[0])
+    least = least_bins([x for bin_ in start[0] for x in bin_], capacity)
+    keep = max(KEPT, len(population))
+    waited = 0
     for _ in range(generations):
-        if fitness(population[0], capacity)[0] <= -(-sum(map(sum, population[0])) // capacity):
-            break  # no packing has fewer bins
-        for _ in range(children):
+        best = population[0][0]
+        if best[0] <= least or waited >= patience:
+            break
+        for k in range(children):
             i, j = rng.permutation(len(population))[:2] if len(population) > 1 else (0, 0)
-            population.append(crossover(population[i], population[j], capacity, rng))
-        population = sorted(population, key=lambda s: fitness(s, capacity))[:keep]
-    return population
+            # every other child has one parent
+            child = mutate(population[i][1], capacity, rng) if k % 2 else crossover(population[i][1], population[j][1], capacity, rng)
+            population.append((fitness(child, capacity), child))
+        # equal fitness counts once, so that the population does not fill with copies
+        population = sorted({f: (f, s) for f, s in population}.values(), key=lambda s: s[0])[:keep]
+        waited = 0 if population[0][0] < best else waited + 1
+    return [s for _, s in population]
 
 
 def shuffled_fit(lengths: list[int], capacity: int, rng: np.random.Generator) -> Bins:
@@ -224,11 +354,14 @@ def _expand(patterns, counts) -> Bins:
     return [tuple(int(x) for x in p) for p, n in zip(patterns, counts) for _ in range(int(n))]
 
 
-_POPULATION = "block int, island int, rank int, patterns array<array<int>>, counts array<int>"
+_POPULATION = "block int, island int, rank int, patterns array<array<int>>, counts array<int>, open boolean"
+
 
+def _epochs(lengths: DataFrame, blocks: int, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """The best solution of each block, ``(block, patterns, counts)``; ``lengths`` is ``(block, length, n)``.
 
-def _epochs(lengths: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
-    """The best solution of each block, ``(block, patterns, counts)``; ``lengths`` is ``(block, length, n)``."""
+    A block ends early when an island has met its bound or an epoch bettered none of its islands.
+    """
 
     def first(key, pdf: pd.DataFrame) -> pd.DataFrame:
         block, island = int(key[0]), int(key[1])
@@ -236,25 +369,39 @@ def _epochs(lengths: DataFrame, capacity: int, islands: int, epochs: int) -> Dat
         sizes = np.repeat(pdf["length"].to_numpy(), pdf["n"].to_numpy()).tolist()
         start = [best_fit([], sizes, capacity)] if island == 0 else []
         start += [shuffled_fit(sizes, capacity, rng) for _ in range(1 if island == 0 else 2)]
-        return _frame(block, island, evolve(start, capacity, rng))
-
-    def again(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, island = int(key[0]), int(key[1])
-        rng = np.random.default_rng([block, island, 1])
-        pdf = pdf.sort_values(["rank", "source"], kind="stable")
-        return _frame(block, island, evolve([_expand(p, c) for p, c in zip(pdf["patterns"], pdf["counts"])], capacity, rng))
-
-    def _frame(block: int, island: int, population: list[Bins]) -> pd.DataFrame:
-        rows = [(block, island, rank, *_solution(s)) for rank, s in enumerate(population[:2])]
-        return pd.DataFrame(rows, columns=["block", "island", "rank", "patterns", "counts"])
+        return _frame(block, island, start, rng)
+
+    def later(epoch: int):
+        def again(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            block, island = int(key[0]), int(key[1])
+            if not pdf["open"].any():
+                return pdf[pdf["source"] == island][["block", "island", "rank", "patterns", "counts", "open"]]
+            pdf = pdf.sort_values(["rank", "source"], kind="stable")
+            start = [_expand(p, c) for p, c in zip(pdf["patterns"], pdf["counts"])]
+            return _frame(block, island, start, np.random.default_rng([block, island, epoch]))
+
+        return again
+
+    def _frame(block: int, island: int, start: list[Bins], rng: np.random.Generator) -> pd.DataFrame:
+        population = evolve(start, capacity, rng)
+        least = least_bins([x for bin_ in start[0] for x in bin_], capacity)
+        better = fitness(population[0], capacity) < min(fitness(s, capacity) for s in start)
+        rows = [(block, island, rank, *_solution(s), better and len(population[0]) > least) for rank, s in enumerate(population[:2])]
+        return pd.DataFrame(rows, columns=["block", "island", "rank", "patterns", "counts", "open"])
+
+    def each_island(df: DataFrame):
+        # a number of one's own keeps adaptive execution from putting all islands, whose rows are few, into one task
+        return df.repartition(blocks * islands, "block", "island").groupBy("block", "island")
 
     each = lengths.select("block", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), "length", "n")
-    population = each.groupBy("block", "island").applyInPandas(first, _POPULATION)
-    for _ in range(epochs - 1):
-        population = materialize(population, "population")
+    population = materialize(each_island(each).applyInPandas(first, _POPULATION), "population")
+    for epoch in range(1, epochs):
+        if population.where("open").isEmpty():
+            break
         own = population.withColumn("source", F.col("island"))
         elite = population.where("rank = 0").withColumn("source", F.col("island")).withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
-        population = own.unionByName(elite).groupBy("block", "island").applyInPandas(again, _POPULATION)
+        both = own.unionByName(elite) if islands > 1 else own
+        population = materialize(each_island(both).applyInPandas(later(epoch), _POPULATION), "population")
     size = F.aggregate("counts", F.lit(0), lambda x, y: x + y)
     best = population.where("rank = 0").select("block", F.struct(size.alias("bins"), "island", "patterns", "counts").alias("s"))
     return best.groupBy("block").agg(F.min_by("s", F.struct("s.bins", "s.island")).alias("s")).select("block", "s.patterns", "s.counts")
@@ -277,7 +424,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, bl
     blocks = max(1, -(-short.count() // block_size))
     short = short.withColumn("__block", F.pmod(F.xxhash64("__key"), F.lit(blocks)).cast("int"))
     lengths = short.groupBy(F.col("__block").alias("block"), F.col("__length").alias("length")).agg(F.count("*").cast("int").alias("n"))
-    best = materialize(_epochs(lengths, capacity, islands, epochs), "packed")
+    best = materialize(_epochs(lengths, blocks, capacity, islands, epochs), "packed")
 
     def place(batches):
         for batch in batches:

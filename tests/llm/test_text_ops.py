@@ -180,6 +180,72 @@ def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "length long")).count() == 0
 
 
+def fewest(sizes, capacity):
+    """The fewest bins, by trying every place of every piece."""
+    best = len(sizes)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= sizes[i]:
+                put(i + 1, rooms[:k] + [rooms[k] - sizes[i]] + rooms[k + 1 :])
+        put(i + 1, [*rooms, capacity - sizes[i]])
+
+    put(0, [])
+    return best
+
+
+def test_least_bins_is_a_bound():
+    rng, met = np.random.default_rng(1), 0
+    for _ in range(200):
+        capacity = int(rng.integers(2, 40))
+        sizes = rng.integers(1, capacity + 1, rng.integers(1, 8)).tolist()
+        least, few = packing.least_bins(sizes, capacity), fewest(sorted(sizes, reverse=True), capacity)
+        assert -(-sum(sizes) // capacity) <= least <= few <= len(packing.pack_lengths(sizes, capacity)), (capacity, sizes)
+        met += least == few
+    assert met > 100
+
+
+def test_completion_and_mutation_keep_every_piece():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 30, 500):
+        open_bins = [tuple(sorted(rng.integers(1, 500, 2).tolist(), reverse=True)) for _ in range(n // 3)]
+        sizes = np.concatenate((rng.integers(1, 1025, n), rng.integers(1, 40, n))).tolist()
+        for _ in range(20):
+            one = packing.complete(open_bins, sizes, 1024, rng)
+            for s in (one, packing.mutate(one, 1024, rng)):
+                assert sorted(x for b in s for x in b) == sorted([*sizes, *(x for b in open_bins for x in b)]) and all(sum(x) <= 1024 for x in s)
+
+
+@pytest.mark.parametrize("low, high, n", [(150, 400, 3000), (200, 700, 3000)])
+def test_search_closes_most_of_the_gap_of_best_fit(low, high, n):
+    sizes = np.random.default_rng(3).integers(low, high, n).tolist()
+    least, greedy = packing.least_bins(sizes, 1024), len(packing.best_fit([], sizes, 1024))
+    assert greedy - least > 15
+    assert len(packing.pack_lengths(sizes)) - least <= (greedy - least) / 4
+
+
+def test_blocks_of_a_table_come_near_their_bounds(spark):
+    sizes = np.random.default_rng(5).integers(150, 400, 6000).tolist()
+    least, greedy = packing.least_bins(sizes, 1024), len(packing.best_fit([], sizes, 1024))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "id long, length long")
+    got = packing.pack(df, block_size=2500, islands=3, epochs=3).collect()
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(r["id"] for r in got) == list(range(len(sizes))) and all(r["length"] == sizes[r["id"]] for r in got)
+    for found in places.values():
+        found.sort()
+        assert [o for o, _ in found] == [sum(x for _, x in found[:k]) for k in range(len(found))] and sum(x for _, x in found) <= 1024
+    # best-fit over all is 47 above the bound; three blocks are each rounded up
+    assert len(places) - least <= (greedy - least) / 3
+
+
 @pytest.mark.parametrize("which", ["docs", "real"])
 def test_media_round_trip(which, request):
     df = request.getfixturevalue(which)
